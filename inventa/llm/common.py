@@ -57,6 +57,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder: lineage ends here, and losing an executor loses nothing."""
+    path = work_path(prepare(df.sparkSession), name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def width(spark: SparkSession) -> int:
     """Shuffle partitions of the session; every count of buckets follows it, and so the size of the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -101,7 +101,7 @@ def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(1, k):
         acc *= M3
         acc += h[i : i + n]
-    return mix(acc + U(k) * M2)
+    return mix(acc + U(k * int(M2) & 0xFFFFFFFFFFFFFFFF))
 
 
 def inside(first: np.ndarray, n: int, k: int) -> np.ndarray:
