@@ -6,8 +6,9 @@ repeated windows, and mean word length. Each signal may reject a document that l
 all strata and signals together (Bonferroni), no more than ALPHA of the good documents (quality = 1) of the stratum
 are rejected by all its signals together, each having an equal share of ALPHA: candidates on a fixed grid are tested
 from the most lenient one on, each by the exact binomial upper bound, until one fails (fixed-sequence testing needs no
-further correction, and any accepted candidate may be taken). Of the accepted ones that is taken which rejects most of
-the bad documents (quality = 0), less PRICE times its share of good ones; none if that gains nothing. A stratum that
+further correction, and any accepted candidate may be taken). The gain of a candidate is the share of bad documents
+(quality = 0) that it rejects, less PRICE times its share of good ones; of the accepted ones the most lenient is taken
+whose gain is within SLACK of the best, none if that is below SLACK. A stratum that
 has too few labels to prove anything rejects nothing.
 
 Only counts on the grid leave the executors: strata times signals times grid points, whatever the input.
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from inventa.llm.common import keep, prepare, table
 from inventa.llm.textscan import SPACE, U, cover, gram_hash, inside, mix, pieces, span_hash, spans, utf8
 
-REPEAT, ALPHA, DELTA, PRICE, GRID = 8, 0.05, 0.05, 5.0, 40
+REPEAT, ALPHA, DELTA, PRICE, SLACK, GRID = 8, 0.05, 0.05, 5.0, 0.02, 40
 PIECE_BYTES = 2 << 20
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[*b"#*$%&|<>"]] = True
@@ -143,12 +144,14 @@ def cutoffs(found: list[tuple], grids: dict[str, list[float]], alpha: float = AL
     out = {}
     for stratum, good, bad, beyond in found:
         for name, grid in grids.items():
-            best = 0.0
+            gains = []
             for cut, (k, b) in zip(grid, beyond[name]):
                 if not passes(k, good, share, each):
                     break
-                if (gain := b / max(bad, 1) - price * k / good) > best:
-                    best, out[stratum, name] = gain, cut
+                gains.append((b / max(bad, 1) - price * k / good, cut))
+            best = max((g for g, _ in gains), default=0.0)
+            if best >= SLACK:
+                out[stratum, name] = next(cut for g, cut in gains if g >= best - SLACK)
     return out
 
 
@@ -157,11 +160,15 @@ def learn(measured: DataFrame, labels: DataFrame, stratum_col: str, id_col: str
     sig = signals()
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), (F.col(label_col) == 1).alias("__good"))
     held = measured.join(known, F.col(id_col) == F.col("__id"))
-    good, bad = F.col("__good"), ~F.col("__good")
-    aggs = [F.count_if(good).alias("good"), F.count_if(bad).alias("bad")]
-    aggs += [F.count_if((s > F.lit(c)) & side).alias(f"{name}:{i}:{tag}") for name, (s, grid) in sig.items() for i, c in enumerate(grid) for tag, side in (("g", good), ("b", bad))]
-    rows = held.groupBy(F.col(stratum_col).alias("stratum")).agg(*aggs).collect()
-    found = [(r.stratum, r.good, r.bad, {name: [(r[f"{name}:{i}:g"], r[f"{name}:{i}:b"]) for i in range(len(grid))] for name, (_, grid) in sig.items()}) for r in rows]
+    passed = lambda v, grid: F.size(F.filter(F.array(*map(F.lit, grid)), lambda c: v > c))
+    places = F.explode(F.array(*[F.struct(F.lit(name).alias("signal"), passed(v, grid).alias("beyond")) for name, (v, grid) in sig.items()])).alias("x")
+    rows = held.select(F.col(stratum_col).alias("stratum"), "__good", places).groupBy("stratum", "x.signal", "x.beyond", "__good").count().collect()
+    table_: dict = {}
+    for r in rows:  # a grid goes from lenient to strict: what is beyond its i-th point is beyond the later ones, too
+        n = len(sig[r.signal][1])
+        table_.setdefault(r.stratum, {name: np.zeros((2, n_ + 1), np.int64) for name, n_ in ((k, len(v[1])) for k, v in sig.items())})[r.signal][int(r["__good"]), n - r.beyond] += r["count"]
+    first = next(iter(sig))
+    found = [(st, int(t[first][1].sum()), int(t[first][0].sum()), {name: [*zip(np.cumsum(c[1])[:-1].tolist(), np.cumsum(c[0])[:-1].tolist())] for name, c in t.items()}) for st, t in table_.items()]
     return cutoffs(found, {name: grid for name, (_, grid) in sig.items()}, alpha, delta)
 
 
