@@ -51,47 +51,64 @@ def hue_distance(a: Column, b: Column) -> Column:
     return F.least(d, F.lit(360) - d)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hsl(r: Column, g: Column, b: Column) -> dict[str, Column]:
     """Hue in degrees, saturation 0..1, lightness 0..100 of channels 0..255."""
+    x = hsl_struct(r, g, b)
+    return {k: x[k] for k in "hsl"}
+
+
+def hsl_struct(r: Column, g: Column, b: Column) -> Column:
+    def last(x: Column) -> Column:
+        r, g, b, top, low, d = (x[k] for k in ("r", "g", "b", "top", "low", "d"))
+        light = (top + low) / 2
+        span = F.when(light > 0.5, F.lit(2.0) - top - low).otherwise(top + low)
+        s = F.when(d == 0, 0.0).otherwise(d / F.when(span == 0, F.lit(1.0)).otherwise(span))
+        safe = F.when(d == 0, F.lit(1.0)).otherwise(d)
+        h = F.when(d == 0, 0.0).when(top == r, (g - b) / safe + F.when(g < b, 6.0).otherwise(0.0)).when(top == g, (b - r) / safe + 2).otherwise((r - g) / safe + 4)
+        return F.struct((h * 60).alias("h"), s.alias("s"), (light * 100).alias("l"))
+
     r, g, b = (x.cast("double") / 255 for x in (r, g, b))
     top, low = F.greatest(r, g, b), F.least(r, g, b)
-    d, light = top - low, (top + low) / 2
-    span = F.when(light > 0.5, F.lit(2.0) - top - low).otherwise(top + low)
-    s = F.when(d == 0, 0.0).otherwise(d / F.when(span == 0, F.lit(1.0)).otherwise(span))
-    safe = F.when(d == 0, F.lit(1.0)).otherwise(d)
-    h = F.when(d == 0, 0.0).when(top == r, (g - b) / safe + F.when(g < b, 6.0).otherwise(0.0)).when(top == g, (b - r) / safe + 2).otherwise((r - g) / safe + 4)
-    return {"h": h * 60, "s": s, "l": light * 100}
+    return let(F.struct(r.alias("r"), g.alias("g"), b.alias("b"), top.alias("top"), low.alias("low"), (top - low).alias("d")), last)
 
 
 def colour_category(r: Column, g: Column, b: Column) -> Column:
     """Fixed colour families in order of their rules; null where hue decides."""
-    x = hsl(r, g, b)
-    h, s, light = x["h"], x["s"], x["l"]
+    def rules(x: Column) -> Column:
+        h, s, light = x["h"], x["s"], x["l"]
+        grey = s < F.when(h.between(195, 235), F.lit(0.22)).otherwise(F.lit(0.13))
+        return (
+            F.when((light < 15) & (spread < 30), "black")
+            .when(light > 90, "white")
+            .when(grey, F.when(light > 82, "white").when(light < 25, "black").otherwise("grey"))
+            .when((h >= 18) & (h < 50) & (light >= 10) & (light <= 62) & (s < 0.65), "brown")
+            .when((h >= 30) & (h < 46) & (light > 68) & (light <= 88), "brown")
+        )
+
     spread = F.greatest(r, g, b) - F.least(r, g, b)
-    grey = s < F.when(h.between(195, 235), F.lit(0.22)).otherwise(F.lit(0.13))
-    return (
-        F.when((light < 15) & (spread < 30), "black")
-        .when(light > 90, "white")
-        .when(grey, F.when(light > 82, "white").when(light < 25, "black").otherwise("grey"))
-        .when((h >= 18) & (h < 50) & (light >= 10) & (light <= 62) & (s < 0.65), "brown")
-        .when((h >= 30) & (h < 46) & (light > 68) & (light <= 88), "brown")
-    )
+    return let(hsl_struct(r, g, b), rules)
 
 
 def colour_sort_key(r: Column, g: Column, b: Column) -> Column:
-    x = hsl(r, g, b)
-    return F.when(x["s"] < 0.15, F.lit(400.0) + x["l"]).otherwise(x["h"])
+    return let(hsl_struct(r, g, b), lambda x: F.when(x["s"] < 0.15, F.lit(400.0) + x["l"]).otherwise(x["h"]))
 
 
 def hue_name(h: Column) -> Column:
     """Name of the nearest anchor, or of the two nearest ones in order of hue where none is within 18 degrees."""
-    anchors = F.array(*[F.struct(hue_distance(h, F.lit(float(v))).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, (n, v) in enumerate(HUES)])
-    ranked = F.array_sort(anchors)
-    one, two = ranked[0], ranked[1]
-    low, high = F.when(one["i"] < two["i"], one).otherwise(two), F.when(one["i"] < two["i"], two).otherwise(one)
-    wraps = (low["i"] == 0) & (high["i"] == len(HUES) - 1)
-    pair = F.when(wraps, F.concat_ws("-", high["n"], low["n"])).otherwise(F.concat_ws("-", low["n"], high["n"]))
-    return F.when(one["d"] <= 18, one["n"]).otherwise(pair)
+    def name(ranked: Column) -> Column:
+        one, two = ranked[0], ranked[1]
+        low, high = F.when(one["i"] < two["i"], one).otherwise(two), F.when(one["i"] < two["i"], two).otherwise(one)
+        wraps = (low["i"] == 0) & (high["i"] == len(HUES) - 1)
+        pair = F.when(wraps, F.concat_ws("-", high["n"], low["n"])).otherwise(F.concat_ws("-", low["n"], high["n"]))
+        return F.when(one["d"] <= 18, one["n"]).otherwise(pair)
+
+    anchors = lambda x: F.array_sort(F.array(*[F.struct(hue_distance(x, F.lit(float(v))).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, (n, v) in enumerate(HUES)]))
+    return let(let(h, anchors), name)
 
 
 def luminance(r: Column, g: Column, b: Column) -> Column:

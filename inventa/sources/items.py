@@ -16,7 +16,9 @@ TRUTH = T.StructType([T.StructField("pdf", T.StringType()), T.StructField("note"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; times without a zone are taken as those of the session (UTC)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in df.schema])
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
