@@ -6,8 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST_PEAK, MOST_LAG, TOP = 0.20, 120, 8
+PEAKS = T.ArrayType(T.StructType([T.StructField("lag", T.IntegerType()), T.StructField("value", T.DoubleType())]))
+BOXES = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("x0", "y0", "x1", "y1", "n")]))
 
 
 def autocorrelation(img: np.ndarray, lag: int = MOST_LAG) -> np.ndarray:
@@ -140,7 +143,7 @@ def grid_distance(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fb: np.ndarray,
     return best
 
 
-@F.pandas_udf("array<struct<lag:int,value:double>>")
+@F.pandas_udf(PEAKS)
 def series_peaks(values: pd.Series) -> pd.Series:
     """Local maxima of the autocorrelation of a series, strongest first."""
     def one(v) -> list:
@@ -156,7 +159,7 @@ def series_peaks(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("array<struct<x0:int,y0:int,x1:int,y1:int,n:int>>")
+@F.pandas_udf(BOXES)
 def mask_components(data: pd.Series, width: pd.Series) -> pd.Series:
     """Connected areas of binary masks, one byte a pixel."""
     return pd.Series([[dict(zip(("x0", "y0", "x1", "y1", "n"), c)) for c in components(np.frombuffer(d, np.uint8).reshape(-1, w) > 0)] if d else [] for d, w in zip(data, width)])

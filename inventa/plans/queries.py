@@ -645,13 +645,13 @@ def peers_last_seen(spark, sf):
     return both.select("user_id", ((F.unix_micros("now") - F.unix_micros("last_ts")) / F.lit(1e6)).alias("age_s")).where("age_s < 86400")
 
 
-@query("""SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS mode, max(epoch_ms(ts)) AS updated FROM events GROUP BY user_id""")
+@query()
 def session_upsert(spark, sf):
     e = read(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("mode"), F.unix_millis("ts").alias("updated"), "event_id")
     return ST.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "id", "updated").select("id", "mode", "updated")
 
 
-SQL["session_upsert"] = """WITH e AS (SELECT user_id AS id, event_type AS mode, epoch_ms(ts) AS updated, event_id FROM events)
+SQL["session_upsert"] = """WITH e AS (SELECT user_id AS id, event_type AS mode, epoch_us(ts) // 1000 AS updated, event_id FROM events)
 SELECT id, mode, updated FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated DESC, event_id % 2 DESC, mode DESC, event_id DESC) AS k FROM e) WHERE k = 1"""
 
 
