@@ -123,7 +123,8 @@ def segments(data: np.ndarray, off: np.ndarray, marks: tuple[bytes, ...]) -> tup
         edges += [s, e]
     edges = np.sort(np.array(edges))
     moved = np.concatenate([[0], np.cumsum(keep)])[edges]
-    return data[keep], moved, np.searchsorted(off, edges[:-1], "right") - 1, found
+    row = np.minimum(np.searchsorted(off, edges[:-1], "right") - 1, len(off) - 2)  # an empty segment at the end has no row of its own
+    return data[keep], moved, row, found
 
 
 class Counter8:
