@@ -25,7 +25,8 @@ def half_up(v: Column, digits: int = 0) -> Column:
 
 def chebyshev(a: list[Column], b: list[Column]) -> Column:
     """Largest difference over channels."""
-    return F.greatest(*[F.abs(x - y) for x, y in zip(a, b)])
+    gaps = [F.abs(x - y) for x, y in zip(a, b)]
+    return F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
 
 
 def chebyshev_arrays(a: Column, b: Column) -> Column:

@@ -1,0 +1,234 @@
+"""Boxes, glyphs and labels on a page: predicates over columns, and cuts of pixel masks in numpy.
+
+Pixel constants are those of a page rendered at scale 2; `SCALE` carries them over to the scale in use.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
+
+from inventa.functions.scalars import chebyshev, chebyshev_arrays
+from inventa.operators.kernels import components, fit_glyph
+
+SCALE = 1.5
+GLYPH_BITS = 22 * 30
+
+
+def near_colour(c: Column, target: Column, tolerance: float = 14) -> Column:
+    return F.forall(F.zip_with(c, target, lambda x, y: F.abs(x - y)), lambda d: d <= tolerance)
+
+
+def foreground(c: Column, background: Column, threshold: float = 35) -> Column:
+    return chebyshev_arrays(c, background) > threshold
+
+
+def is_frame(top: Column, bottom: Column, left: Column, right: Column, share: float = 0.7) -> Column:
+    """Whether each edge is covered."""
+    return F.least(top, bottom, left, right) >= share
+
+
+def box_shape(w: Column, h: Column, page_area: Column, fill: Column, frame: Column, content: Column, k: float = SCALE) -> Column:
+    side, area = 40 * k, 400 * k * k
+    return (w >= side) & (h >= side) & (w * h >= area) & (w * h <= 0.55 * page_area) & ((fill >= 0.5) | frame) & (content >= 0.02)
+
+
+def interior_ok(inner: list[Column], learned: list[Column], tolerance: float = 14) -> Column:
+    """Boxes of the learned interior; all where none was learned."""
+    return F.coalesce(chebyshev(inner, learned) <= tolerance, F.lit(True))
+
+
+def glyph_size(w: Column, h: Column) -> Column:
+    return (h >= 12) & (w >= 3) & (w <= 1.6 * h)
+
+
+def vetoed(colour_gap: Column, aspect_gap: Column, colour: float = 45, aspect: float = 0.09) -> Column:
+    return (colour_gap > colour) | (F.abs(aspect_gap) > aspect)
+
+
+def part_or_junk(comps: DataFrame, item: str, ink: str, distance: str, short: str, k: float = SCALE, bits: int = GLYPH_BITS) -> DataFrame:
+    """(item, is_part): enough ink and size, and little of it that looks like digits. comps: one row for each component."""
+    total = F.sum(ink)
+    digits = F.sum(F.when((F.col(ink) >= 0.05 * F.col("__all")) & (F.col(distance) <= 0.145 * bits), F.col(ink)).otherwise(0))
+    sized = comps.join(comps.groupBy(item).agg(F.sum(ink).alias("__all")), item)
+    return sized.groupBy(item).agg(((F.max(short) >= 9 * k) & (total >= 60 * k * k) & (digits < 0.55 * total)).alias("is_part"))
+
+
+def fractions(df: DataFrame, width: Column, height: Column) -> DataFrame:
+    """Rectangles as shares of their page."""
+    return df.withColumns({"fx": F.col("x") / width, "fy": F.col("y") / height, "fw": F.col("w") / width, "fh": F.col("h") / height})
+
+
+def inset(df: DataFrame, by: int = 4) -> DataFrame:
+    """Rectangles without their rim; empty ones go."""
+    out = df.withColumns({"x0": F.col("x0") + by, "y0": F.col("y0") + by, "x1": F.col("x1") - by, "y1": F.col("y1") - by})
+    return out.where("x1 > x0 and y1 > y0")
+
+
+def reading_order(df: DataFrame, page: str, y: Column, h: Column, x: str, tie: str) -> DataFrame:
+    """Place of each box: bands of a fiftieth of the page (halves to even), then left to right."""
+    w = W.partitionBy(page).orderBy(F.bround(y / h * 50), x, tie)
+    return df.withColumn("place", F.row_number().over(w).cast("long") - 1)
+
+
+def label_bands(bands: DataFrame, group: list[str], small: int = 30, likeness: float = 0.25) -> DataFrame:
+    """Bands (band_ord, height, has_digit) and the row each belongs to: the largest set of small bands of like height are
+    the labels, if two or more of them and one with a digit; each label closes a row. Fewer than three bands are one row."""
+    a, b = bands.alias("a"), bands.alias("b")
+    on = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
+    near = F.abs(F.col("b.height") - F.col("a.height")) <= likeness * F.col("a.height")
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    sets = a.join(b, cond & (F.col("a.height") <= small) & (F.col("b.height") <= small) & near)
+    sets = sets.groupBy(*[F.col(f"a.{g}").alias(g) for g in group], F.col("a.band_ord").alias("seed"), F.col("a.height").alias("ref")).agg(F.count("*").alias("n"), F.bool_or("b.has_digit").alias("digit"))
+    best = sets.groupBy(*group).agg(F.max(F.struct("n", (-F.col("seed")).alias("first"), "ref", "digit")).alias("x"))
+    total = bands.groupBy(*group).agg(F.count("*").alias("bands"))
+    chosen = best.join(total, group).where("x.n >= 2 and x.digit and bands >= 3").select(*group, F.col("x.ref").alias("ref"))
+    marked = bands.join(chosen, group, "left").withColumn("is_label", F.coalesce((F.col("height") <= small) & (F.abs(F.col("height") - F.col("ref")) <= likeness * F.col("ref")), F.lit(False)))
+    before = W.partitionBy(*group).orderBy("band_ord").rowsBetween(W.unboundedPreceding, -1)
+    return marked.withColumn("row_in_box", F.coalesce(F.sum(F.col("is_label").cast("long")).over(before), F.lit(0))).drop("ref")
+
+
+def merge_lines(labels: DataFrame, group: list[str], overlap: float = 0.4, reach: float = 1.2) -> DataFrame:
+    """Labels (x0, y0, x1, y1) to text lines: neighbours in x that overlap in height and are near are one line. line_id
+    is the x of its first label; a gap is measured to all that stands to the left of it."""
+    w = W.partitionBy(*group).orderBy("x0", "y0")
+    prev = {c: F.lag(c).over(w) for c in ("y0", "y1")}
+    right = F.max("x1").over(w.rowsBetween(W.unboundedPreceding, -1))
+    h = F.least(F.col("y1") - F.col("y0"), prev["y1"] - prev["y0"])
+    shared = F.least(F.col("y1"), prev["y1"]) - F.greatest(F.col("y0"), prev["y0"])
+    joins = F.coalesce((shared > overlap * h) & (F.col("x0") - right < reach * h), F.lit(False))
+    flagged = labels.withColumn("__new", (~joins).cast("int"))
+    return flagged.withColumn("line", F.sum("__new").over(w)).drop("__new")
+
+
+# Pixel masks ---------------------------------------------------------------------------------------------------------
+
+
+def run_ends(bits: np.ndarray, gap: int) -> list[tuple[int, int]]:
+    """Half-open runs of true places; shorter gaps are bridged."""
+    out: list[list[int]] = []
+    n = len(bits)
+    for i in np.flatnonzero(bits).tolist():
+        if out and i - out[-1][1] < gap:
+            out[-1][1] = i + 1
+        else:
+            out.append([i, i + 1])
+    if out and 0 < n - out[-1][1] < gap:
+        out[-1][1] = n
+    return [tuple(x) for x in out]
+
+
+def slots(mask: np.ndarray, column_gap: int = 9) -> list[tuple[int, int, int, int, int]]:
+    """(x0, x1, top, split, bottom) of each column of a row: picture above, text below the middle of the largest gap inside it; the others' median text height, or 0.22 of the height, where there is none."""
+    found = []
+    for a, b in run_ends(mask.any(0), column_gap):
+        if b - a < 8:
+            continue
+        rows = np.flatnonzero(mask[:, a:b].any(1))
+        jumps = np.diff(rows)
+        k = int(np.argmax(jumps)) if len(jumps) else 0
+        split = (int(rows[k]) + 1 + int(rows[k + 1])) // 2 if len(jumps) and jumps[k] > 1 else None
+        found.append([a, b, int(rows[0]), split, int(rows[-1]) + 1])
+    heights = sorted(s[4] - s[3] for s in found if s[3] is not None)
+    for s in found:
+        if s[3] is None:
+            h = heights[len(heights) // 2] if heights else int(np.floor(0.22 * (s[4] - s[2]) + 0.5))
+            s[3] = max(s[2], s[4] - h)
+    return [tuple(s) for s in found]
+
+
+def split_by_labels(parts: list[tuple[float, float]], labels: list[tuple[float, float]]) -> list[int]:
+    """Label of each part: least dx + dy, dy three times for labels above; the first of equal ones."""
+    out = []
+    for x, y in parts:
+        costs = [abs(lx - x) + (ly - y if ly >= y else 3 * (y - ly)) for lx, ly in labels]
+        out.append(int(np.argmin(costs)))
+    return out
+
+
+def read_quantity(mask: np.ndarray, templates: list[tuple[str, np.ndarray]], most: int = 200) -> tuple[int | None, bool]:
+    """(quantity, unsure) of a text mask: glyphs of plausible and like size, left to right, each to its nearest template."""
+    boxes = [(x0, y0, x1, y1) for x0, y0, x1, y1, _ in components(mask, True) if y1 - y0 + 1 >= 12 and 3 <= x1 - x0 + 1 <= 1.6 * (y1 - y0 + 1)]
+    if not boxes:
+        return None, True
+    upper = lambda v: sorted(v)[len(v) // 2]
+    h, base = upper([b[3] - b[1] + 1 for b in boxes]), upper([b[3] for b in boxes])
+    alike = [b for b in boxes if abs(b[3] - b[1] + 1 - h) <= 0.3 * h and abs(b[3] - base) <= 0.35 * h] or boxes
+    text, unsure = "", False
+    for x0, y0, x1, y1 in sorted(alike):
+        glyph = fit_glyph(mask[y0 : y1 + 1, x0 : x1 + 1]).ravel()
+        distances = [int((glyph != t.ravel()).sum()) for _, t in templates]
+        k = int(np.argmin(distances))
+        if distances[k] > 0.22 * GLYPH_BITS:
+            unsure = True
+            continue
+        text += templates[k][0]
+    digits = text.rstrip("xX")
+    if not digits.isdigit() or not 1 <= int(digits) <= most:
+        return None, True
+    return int(digits), unsure
+
+
+def learn_glyphs(glyphs: list[np.ndarray], last: list[bool], tolerance: float = 0.13, least: int = 4, enough: int = 30) -> list[tuple[np.ndarray, int, bool]]:
+    """(prototype, members, is_suffix) of clusters of like glyphs: leaders by Hamming distance, then a majority of each bit."""
+    if len(glyphs) < enough:
+        return []
+    x = np.stack([g.ravel() for g in glyphs]).astype(np.uint8)
+    heads, label = [], np.empty(len(x), int)
+    for i, g in enumerate(x):
+        d = (x[heads] != g).sum(1) if heads else np.zeros(0)
+        if len(d) and d.min() <= tolerance * x.shape[1]:
+            label[i] = int(d.argmin())
+        else:
+            label[i] = len(heads)
+            heads.append(i)
+    out = []
+    for k in range(len(heads)):
+        m = label == k
+        if m.sum() >= least:
+            out.append((2 * x[m].sum(0) > m.sum(), int(m.sum()), bool(np.mean(np.array(last)[m]) > 0.8)))
+    return out
+
+
+def conv3x3(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Channels first, zero padding, stride 1."""
+    p = np.pad(x, ((0, 0), (1, 1), (1, 1)))
+    cols = np.stack([p[:, i : i + x.shape[1], j : j + x.shape[2]] for i in range(3) for j in range(3)], 1)
+    return np.einsum("ock,ckhw->ohw", w.reshape(w.shape[0], w.shape[1], 9), cols) + b[:, None, None]
+
+
+def pool(x: np.ndarray) -> np.ndarray:
+    x = np.maximum(x, 0)[:, : x.shape[1] // 2 * 2, : x.shape[2] // 2 * 2]
+    return x.reshape(x.shape[0], x.shape[1] // 2, 2, x.shape[2] // 2, 2).max((2, 4))
+
+
+def embed(image: np.ndarray, aspect: float, layers: list[tuple[np.ndarray, np.ndarray]], head: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Unit vector of an image: three pooled convolutions, one more, global mean, log aspect, a dense layer. Weights come from outside."""
+    x = np.moveaxis(image.astype(np.float64) / 255, -1, 0)
+    for w, b in layers[:-1]:
+        x = pool(conv3x3(x, w, b))
+    x = np.maximum(conv3x3(x, *layers[-1]), 0).mean((1, 2))
+    v = head[0] @ np.append(x, aspect) + head[1]
+    return v / max(np.linalg.norm(v), 1e-12)
+
+
+def signature(grid: np.ndarray, filled: np.ndarray) -> tuple[list[float], float]:
+    """Mean colour of what is filled (all of it where that is under five cells) and the share filled."""
+    some = filled.astype(bool)
+    px = grid[some] if some.sum() >= 5 else grid.reshape(-1, grid.shape[-1])
+    return px.mean(0).tolist(), float(some.mean())
+
+
+SLOT = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("x0", "x1", "top", "split", "bottom")]))
+
+
+@F.pandas_udf(SLOT)
+def mask_slots(data: pd.Series, width: pd.Series) -> pd.Series:
+    """Slots of binary row masks, one byte a pixel."""
+    return pd.Series([[dict(zip(("x0", "x1", "top", "split", "bottom"), s)) for s in slots(np.frombuffer(d, np.uint8).reshape(-1, w) > 0)] if d else [] for d, w in zip(data, width)])

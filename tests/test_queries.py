@@ -1,5 +1,6 @@
 import pytest
 
+from inventa.plans import regions  # noqa: F401
 from inventa.plans.queries import QUERIES, SQL
 
 
