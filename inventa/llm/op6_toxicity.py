@@ -33,20 +33,24 @@ FOLD[65:91] += 32
 BREAK = np.array([b < 0x80 and not (48 <= b < 58 or 97 <= b < 123 or 65 <= b < 91) for b in range(256)])
 
 
-def features(data: np.ndarray, off: np.ndarray, bits: int = BITS, skips: int = SKIPS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature numbers of all rows, row after row, and where each row starts (one entry more than rows)."""
+def features(data: np.ndarray, off: np.ndarray, bits: int = BITS, skips: int = SKIPS, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct feature numbers of all rows, row after row, and where each row starts (one entry more than rows).
+    wanted: for each number whether it is of interest; the others are left out before anything is sorted."""
     folded = FOLD[data]
     starts, ends, first = spans(folded, off, BREAK)
     h, n = span_hash(folded, starts, ends, 6), len(starts)
     row = np.repeat(np.arange(len(off) - 1, dtype=np.int64), np.diff(first))
-    keys = [h], [row]
-    for gap in range(1, skips + 2):
-        if n > gap:
-            same = row[gap:] == row[:-gap]
-            keys[0].append(mix(h[:-gap] * M3 + h[gap:] + U(gap))[same])
-            keys[1].append(row[gap:][same])
-    k = np.concatenate(keys[0]) >> U(64 - bits) | (np.concatenate(keys[1]).astype(U) << U(bits))
-    k = np.unique(k)
+    keys = []
+    for gap in range(skips + 2):
+        if n <= gap:
+            break
+        f = (h if gap == 0 else mix(h[:-gap] * M3 + h[gap:] + U(gap))) >> U(64 - bits)
+        ok = row[gap:] == row[: n - gap]
+        if wanted is not None:
+            ok &= wanted[f.view(np.int64)]
+        at = np.flatnonzero(ok)
+        keys.append(f[at] | (row[at].astype(U) << U(bits)))
+    k = np.unique(np.concatenate(keys)) if keys else np.zeros(0, U)
     return (k & U((1 << bits) - 1)).astype(np.uint32), np.searchsorted(k >> U(bits), np.arange(len(off)).astype(U))
 
 
@@ -139,10 +143,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
         numbers, values, bias = shipped.value
         w = np.zeros(1 << bits, np.float32)
         w[numbers] = values
+        wanted = w != 0
         for batch in batches:
             data, off = utf8(batch.column(text_col))
             for i, j in pieces(off, PIECE_BYTES):
-                f, at = features(data[off[i] : off[j]], off[i : j + 1] - off[i], bits, skips)
+                f, at = features(data[off[i] : off[j]], off[i : j + 1] - off[i], bits, skips, wanted)
                 total = np.concatenate([[0.0], np.cumsum(w[f], dtype=np.float64)])
                 s = 1 / (1 + np.exp(-np.clip(total[at[1:]] - total[at[:-1]] + bias, -35, 35)))
                 part = batch.slice(i, j - i)
