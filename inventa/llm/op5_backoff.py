@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from inventa.llm import buckets as B
 from inventa.llm.common import keep, table
-from inventa.llm.textscan import M1, U, cuts, gram_hash, inside, mix, pack, pack_ints, span_hash, spans, unpack, unpack_ints, utf8
+from inventa.llm.textscan import U, cuts, gram_hash, inside, pack, pack_ints, span_hash, spans, unpack, unpack_ints, utf8
 
 ORDER, BACKOFF, FLOOR = 3, 0.4, 0.5
 
@@ -40,16 +40,22 @@ class Grams:
         self.at = [np.flatnonzero(inside(self.first, self.n, k)) for k in range(1, order + 1)]
         self.hash = [gram_hash(h, k)[a] >> U(64 - bits) if len(a) else np.zeros(0, U) for k, a in zip(range(1, order + 1), self.at)]
 
-    def own(self, k: int) -> np.ndarray:
-        """How often the row of each n-gram of order k has it."""
-        key = mix(self.hash[k - 1] * M1 ^ mix(self.row[self.at[k - 1]].astype(U)))
-        order = np.argsort(key)
-        s = key[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        out = np.empty(len(s), np.int64)
-        out[order] = np.repeat(np.diff(np.append(start, len(s))), np.diff(np.append(start, len(s))))
-        return out
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes of all orders, which of them each n-gram has (order after order), and how often its own row has it.
+        One stable sort by hash leaves the places, and so the rows, of equal hashes in order."""
+        h, row = np.concatenate(self.hash), np.concatenate([self.row[a] for a in self.at])
+        order = np.argsort(h, kind="stable")
+        s, r = h[order], row[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        new_row = new.copy()
+        new_row[1:] |= r[1:] != r[:-1]
+        which, own = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
+        which[order] = np.cumsum(new) - 1
+        start = np.flatnonzero(new_row)
+        times = np.diff(np.append(start, len(s)))
+        own[order] = np.repeat(times, times)
+        return s[new], which, own
 
 
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = BACKOFF, floor: float = FLOOR) -> DataFrame:
@@ -81,14 +87,15 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if left.num_rows == 0:
             return pa.table([left.column(id_col), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         g = Grams(left, id_col, text_col, order, bits)
-        distinct = np.unique(np.concatenate(g.hash))
+        distinct, which, own = g.counted()
         cut, total = cuts(distinct, bits, parts), np.zeros(len(distinct), np.int64)
         for p, reply in zip(right.column(B.PART).to_pylist(), right.column("reply").to_pylist()):
             total[cut[p] : cut[p + 1]] = unpack_ints(reply)
-        others = []  # by order, at the place of the first word
-        for k in range(1, order + 1):
+        rest = total[which] - own
+        others, end = [], 0  # by order, at the place of the first word
+        for at in g.at:
             c = np.zeros(g.n, np.int64)
-            c[g.at[k - 1]] = total[np.searchsorted(distinct, g.hash[k - 1])] - g.own(k)
+            c[at] = rest[end : (end := end + len(at))]
             others.append(c)
         place = np.arange(g.n) - g.first[g.row]
         value, done = np.zeros(g.n), np.zeros(g.n, bool)
@@ -106,7 +113,10 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 single = np.zeros(g.n, np.int64)
                 single[w] = 1
         add = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[g.first])
-        sums = np.array([value[a:b].sum() for a, b in zip(g.first[:-1], g.first[1:])])
+        some = np.diff(g.first) > 0
+        sums = np.zeros(len(some))
+        if some.any():
+            sums[some] = np.add.reduceat(value, g.first[:-1][some])
         return pa.table([g.group.column(id_col), pa.array(np.diff(g.first), pa.int64()), pa.array(add(single), pa.int64()), pa.array(sums, pa.float64())], names=names)
 
     by_bucket = docs.groupBy(B.BUCKET)

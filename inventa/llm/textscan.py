@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 U = np.uint64
 #: White space of the word pattern [^\x20\x09-\x0D]+.
@@ -122,40 +123,50 @@ def cover(marks: np.ndarray, n: int, k: int) -> np.ndarray:
     return np.cumsum(d[:-1]) > 0
 
 
+def squeeze(plane: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(plane.tobytes())
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Sorted distinct unsigned values as planes of bytes of their differences."""
+    """Sorted distinct unsigned values as planes of bytes of their differences; only the highest plane is worth compressing."""
     n = len(values)
     if not n:
         return b""
     d = values.astype(U).copy()
     d[1:] -= values[:-1].astype(U)
     wide = max(1, (int(d.max()).bit_length() + 7) // 8)
-    return bytes([wide]) + np.ascontiguousarray(d.view(np.uint8).reshape(n, 8)[:, :wide].T).tobytes()
+    planes = np.ascontiguousarray(d.view(np.uint8).reshape(n, 8)[:, :wide].T)
+    top = squeeze(planes[-1])
+    return bytes([wide]) + len(top).to_bytes(4, "little") + top + planes[:-1].tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, U)
-    wide = blob[0]
-    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(wide, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :wide] = planes.T
+    wide, size = blob[0], int.from_bytes(blob[1:5], "little")
+    top = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[5 : 5 + size]), np.uint8)
+    out = np.zeros((len(top), 8), np.uint8)
+    out[:, wide - 1] = top
+    if wide > 1:
+        out[:, : wide - 1] = np.frombuffer(blob, np.uint8, offset=5 + size).reshape(wide - 1, -1).T
     return np.cumsum(out.view(U).ravel(), dtype=U)
 
 
 def pack_ints(values: np.ndarray) -> bytes:
-    """Unsigned or signed 64-bit integers as planes of bytes; planes of one value compress to nothing."""
+    """Signed 64-bit integers as compressed planes of bytes."""
     n = len(values)
+    if not n:
+        return b""
     v = values.astype(np.int64).view(U)
-    wide = max(1, (int(v.max()).bit_length() + 7) // 8) if n else 0
-    return bytes([wide]) + np.ascontiguousarray(v.view(np.uint8).reshape(n, 8)[:, :wide].T).tobytes() if n else b""
+    wide = max(1, (int(v.max()).bit_length() + 7) // 8)
+    return bytes([wide]) + squeeze(np.ascontiguousarray(v.view(np.uint8).reshape(n, 8)[:, :wide].T))
 
 
 def unpack_ints(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.int64)
     wide = blob[0]
-    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(wide, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(wide, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :wide] = planes.T
     return out.view(np.int64).ravel()
