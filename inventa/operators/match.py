@@ -37,6 +37,25 @@ def nearest_with_veto(items: DataFrame, rows: DataFrame, keys: list[str], eligib
     return argmin(items, rows, keys, eligible, distance, order, keep).where(F.col("distance") <= tolerance)
 
 
+def in_bins(items: DataFrame, rows: DataFrame, channels: list[tuple[str, str]], veto: float) -> DataFrame:
+    """All pairs whose channels differ by at most `veto`, as an equi-join: a row lies in one bin of that width, an item asks its own bin and both neighbours. Exact, and neither side has to be small."""
+    bins = [f"__bin{i}" for i in range(len(channels))]
+    where = lambda c: F.floor(F.col(c) / F.lit(float(veto))).cast("int")
+    right = rows.select("*", *[where(r).alias(b) for (_, r), b in zip(channels, bins)])
+    left = items
+    for (c, _), b in zip(channels, bins):
+        left = left.withColumn(b, F.explode(F.array(where(c) - 1, where(c), where(c) + 1)))
+    near = reduce(Column.__and__, [F.abs(F.col(c) - F.col(r)) <= veto for c, r in channels])
+    return left.join(right, bins).where(near).drop(*bins)
+
+
+def nearest_in_bins(items: DataFrame, rows: DataFrame, keys: list[str], channels: list[tuple[str, str]], veto: float, eligible: Column, distance: Column, order: str, tolerance: float, keep: list[str]) -> DataFrame:
+    """nearest_with_veto for rows that are too many to broadcast."""
+    best = F.min(F.struct(distance.alias("distance"), F.col(order), *[F.col(k) for k in keep if k != order])).alias("best")
+    met = in_bins(items, rows, channels, veto).where(eligible).groupBy(*keys).agg(best).select(*keys, "best.*")
+    return met.where(F.col("distance") <= tolerance)
+
+
 def first_match(items: DataFrame, rows: DataFrame, keys: list[str], rule: Column, order: str) -> DataFrame:
     """The first row in order that satisfies the rule, not the nearest."""
     return items.join(small(rows), rule).groupBy(*keys).agg(F.min(order).alias(order))

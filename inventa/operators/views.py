@@ -42,11 +42,12 @@ def part_entries(items: DataFrame, row_id: int) -> DataFrame:
     return items.where(F.col("row_id") == row_id)
 
 
-def publish(items: DataFrame, name: str, first: int, last: int) -> DataFrame:
-    """One JSON document of all rows with counts, doubts and sorted pages."""
-    rows = items.groupBy("row_id").agg(F.sum(F.coalesce("qty", F.lit(1))).alias("c"), F.bool_or(F.col("qty").isNull()).alias("u"), F.array_sort(F.collect_set("page")).alias("p"))
+def publish(items: DataFrame, name: Column) -> DataFrame:
+    """One JSON document for each name: its first and last page, and its rows with counts, doubts and sorted pages."""
+    rows = items.groupBy(name.alias("name"), "row_id").agg(F.sum(F.coalesce("qty", F.lit(1))).alias("c"), F.bool_or(F.col("qty").isNull()).alias("u"), F.array_sort(F.collect_set("page")).alias("p"))
     body = F.array_sort(F.collect_list(F.struct("row_id", "c", "u", "p"))).alias("rows")
-    return rows.agg(body).select(F.to_json(F.struct(F.lit(name).alias("name"), F.lit(first).alias("from"), F.lit(last).alias("to"), "rows")).alias("payload"))
+    docs = rows.groupBy("name").agg(F.min(F.array_min("p")).alias("from"), F.max(F.array_max("p")).alias("to"), body)
+    return docs.select(F.to_json(F.struct("name", "from", "to", "rows")).alias("payload"))
 
 
 def adopt(payloads: DataFrame, column: str = "payload") -> DataFrame:

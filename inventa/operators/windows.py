@@ -26,29 +26,29 @@ def remaining_after(items: DataFrame, step: int, page: str = "page") -> DataFram
     return items.where(F.col(page) > step).groupBy("row_id").agg(F.sum(F.coalesce("qty", F.lit(1))).alias("remaining"), F.bool_or(F.col("qty").isNull()).alias("unsure"), F.count_distinct(page).alias("n_pages"))
 
 
-def remaining_all(items: DataFrame, page: str = "page") -> DataFrame:
-    """(page, row_id, remaining) for every page of the items and every row that is still needed after it."""
-    per = items.groupBy("row_id", page).agg(F.sum(F.coalesce("qty", F.lit(1))).alias("q"))
-    steps = items.select(F.col(page).alias("__step")).distinct()
-    last = per.groupBy("row_id").agg(F.max(page).alias("__last"))
-    need = last.join(steps, F.col("__step") < F.col("__last")).select("row_id", F.col("__step").alias(page))
-    dense = need.join(per, ["row_id", page], "full").withColumn("__dense", F.lit(True))
-    w = W.partitionBy("row_id").orderBy(page).rowsBetween(1, W.unboundedFollowing)
-    return dense.select(page, "row_id", F.coalesce(F.sum("q").over(w), F.lit(0)).alias("remaining")).where("remaining > 0")
-
-
-def hue_clusters(df: DataFrame, key: str, hue: str, step: float = 22.0) -> DataFrame:
-    """(key, cluster, unrolled): hues cut at the largest gap of the circle, unrolled from there, a new cluster wherever
-    the next is at least `step` away. One circle is one ordered list: it holds the colours of a document's rows."""
-    order = W.orderBy(hue, key)
-    gaps = df.select(key, hue).withColumn("i", F.row_number().over(order)).withColumn("next", F.lead(hue).over(order))
-    gaps = gaps.withColumn("gap", F.coalesce(F.col("next"), F.first(hue).over(order) + 360) - F.col(hue))
-    cut = gaps.agg(F.max(F.struct("gap", (-F.col("i")).alias("j"))).alias("c"), F.count("*").alias("n")).select((-F.col("c.j")).alias("cut"), "n")
-    turned = gaps.join(F.broadcast(cut)).withColumn("unrolled", F.when(F.col("i") > F.col("cut"), F.col(hue)).otherwise(F.col(hue) + 360))
-    turned = turned.withColumn("unrolled", F.when(F.col("cut") == F.col("n"), F.col(hue)).otherwise(F.col("unrolled")))
-    by = W.orderBy("unrolled", key)
+def remaining_all(items: DataFrame, doc: str, page: str = "page") -> DataFrame:
+    """(doc, page, row_id, remaining) for every page of a document and every row of it that is still needed after the page."""
+    per = items.groupBy(doc, "row_id", page).agg(F.sum(F.coalesce("qty", F.lit(1))).alias("q"))
+    steps = items.select(doc, F.col(page).alias("__step")).distinct()
+    last = per.groupBy(doc, "row_id").agg(F.max(page).alias("__last"))
+    need = last.join(steps, doc).where(F.col("__step") < F.col("__last")).select(doc, "row_id", F.col("__step").alias(page))
+    dense = need.join(per, [doc, "row_id", page], "full")
+    w = W.partitionBy(doc, "row_id").orderBy(page).rowsBetween(1, W.unboundedFollowing)
+    return dense.select(doc, page, "row_id", F.coalesce(F.sum("q").over(w), F.lit(0)).alias("remaining")).where("remaining > 0")
+
+
+def hue_clusters(df: DataFrame, doc: str, key: str, hue: str, step: float = 22.0) -> DataFrame:
+    """(doc, key, cluster, unrolled): hues of a document cut at the largest gap of the circle, unrolled from there, a new
+    cluster wherever the next is at least `step` away."""
+    every, order = W.partitionBy(doc), W.partitionBy(doc).orderBy(hue, key)
+    gaps = df.select(doc, key, hue).withColumns({"i": F.row_number().over(order), "n": F.count("*").over(every)})
+    gaps = gaps.withColumn("gap", F.coalesce(F.lead(hue).over(order), F.first(hue).over(order) + 360) - F.col(hue))
+    cut = gaps.withColumn("cut", -F.max(F.struct("gap", (-F.col("i")).alias("j"))).over(every)["j"])
+    stays = (F.col("i") > F.col("cut")) | (F.col("cut") == F.col("n"))
+    turned = cut.withColumn("unrolled", F.when(stays, F.col(hue)).otherwise(F.col(hue) + 360))
+    by = W.partitionBy(doc).orderBy("unrolled", key)
     fresh = (F.col("unrolled") - F.lag("unrolled").over(by) >= step).cast("int")
-    return turned.withColumn("cluster", F.sum(F.coalesce(fresh, F.lit(0))).over(by)).select(key, "cluster", "unrolled")
+    return turned.withColumn("__fresh", F.coalesce(fresh, F.lit(0))).withColumn("cluster", F.sum("__fresh").over(by)).select(doc, key, "cluster", "unrolled")
 
 
 def circular_centroid(df: DataFrame, group: list[str], unrolled: str, weight: str) -> DataFrame:

@@ -93,9 +93,9 @@ def systematic_page_sample(spark, sf):
     return SC.systematic_sample(pages, 1, 1000)
 
 
-@query("""SELECT o_orderkey AS page, s.scale FROM orders, (VALUES (3.0::DOUBLE), (2.4::DOUBLE), (1.9::DOUBLE)) s(scale) WHERE o_orderkey < 500""")
+@query("""SELECT o_orderkey AS page, s.scale FROM orders, (VALUES (3.0::DOUBLE), (2.4::DOUBLE), (1.9::DOUBLE)) s(scale)""")
 def pages_at_scales(spark, sf):
-    return SC.at_scales(read(spark, sf, "orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("page")), [3.0, 2.4, 1.9])
+    return SC.at_scales(read(spark, sf, "orders").select(F.col("o_orderkey").alias("page")), [3.0, 2.4, 1.9])
 
 
 @query(f"""WITH {ITEMS} SELECT row_id, sum(coalesce(qty, 1))::BIGINT AS count, bool_or(qty IS NULL) AS unsure,
@@ -246,11 +246,13 @@ def remaining_after_step(spark, sf):
     return WN.remaining_after(items(spark, sf), 7000)
 
 
-@query(f"""WITH {ITEMS}, i AS (SELECT * FROM items WHERE page <= 200),
-per AS (SELECT row_id, page, sum(coalesce(qty, 1)) AS q FROM i GROUP BY ALL), steps AS (SELECT DISTINCT page AS step FROM i)
-SELECT step AS page, row_id, sum(q)::BIGINT AS remaining FROM steps JOIN per ON page > step GROUP BY ALL""")
+@query(f"""WITH {ITEMS}, i AS (SELECT o_custkey AS doc, items.* FROM items JOIN orders ON o_orderkey = page),
+per AS (SELECT doc, row_id, page, sum(coalesce(qty, 1)) AS q FROM i GROUP BY ALL), steps AS (SELECT DISTINCT doc, page AS step FROM i)
+SELECT steps.doc, step AS page, row_id, sum(q)::BIGINT AS remaining FROM steps JOIN per ON per.doc = steps.doc AND page > step GROUP BY ALL""")
 def remaining_all_steps(spark, sf):
-    return WN.remaining_all(items(spark, sf).where("page <= 200"))
+    """All orders of a customer are one document."""
+    docs = read(spark, sf, "orders").select(F.col("o_orderkey").alias("page"), F.col("o_custkey").alias("doc"))
+    return WN.remaining_all(items(spark, sf).join(docs, "page"), "doc")
 
 
 @query(f"""WITH {ORDINALS} SELECT page, item_ord, qty, sum(coalesce(qty, 1)) OVER ()::BIGINT AS pieces, count(*) OVER () AS entries FROM placed WHERE row_id = 42""")
@@ -261,27 +263,28 @@ def part_occurrences(spark, sf):
 
 
 HUE = NAMED + """, g AS (
-  SELECT row_id, hue, row_number() OVER (ORDER BY hue, row_id) AS i, coalesce(lead(hue) OVER (ORDER BY hue, row_id), first(hue) OVER (ORDER BY hue, row_id) + 360) - hue AS gap
-  FROM (SELECT row_id, round(h, 3) AS hue FROM fixed WHERE category IS NULL AND row_id % 29 = 0)),
-cut AS (SELECT i AS c FROM g ORDER BY gap DESC, i LIMIT 1),
-t AS (SELECT row_id, CASE WHEN i > c OR c = (SELECT count(*) FROM g) THEN hue ELSE hue + 360 END AS u FROM g, cut),
-k AS (SELECT row_id, u, CASE WHEN u - lag(u) OVER (ORDER BY u, row_id) >= 22 THEN 1 ELSE 0 END AS f FROM t),
-cl AS (SELECT row_id, u, sum(f) OVER (ORDER BY u, row_id)::BIGINT AS cluster FROM k)"""
+  SELECT doc, row_id, hue, row_number() OVER w AS i, coalesce(lead(hue) OVER w, first(hue) OVER w + 360) - hue AS gap
+  FROM (SELECT size AS doc, row_id, round(h, 3) AS hue FROM fixed WHERE category IS NULL) WINDOW w AS (PARTITION BY doc ORDER BY hue, row_id)),
+cut AS (SELECT doc, i AS c FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY gap DESC, i) AS o FROM g) WHERE o = 1),
+t AS (SELECT doc, row_id, CASE WHEN i > c OR c = count(*) OVER (PARTITION BY doc) THEN hue ELSE hue + 360 END AS u FROM g JOIN cut USING (doc)),
+k AS (SELECT doc, row_id, u, CASE WHEN u - lag(u) OVER (PARTITION BY doc ORDER BY u, row_id) >= 22 THEN 1 ELSE 0 END AS f FROM t),
+cl AS (SELECT doc, row_id, u, sum(f) OVER (PARTITION BY doc ORDER BY u, row_id)::BIGINT AS cluster FROM k)"""
 
 
-@query(f"WITH {HUE} SELECT row_id, cluster, round(u, 3) AS unrolled FROM cl")
+@query(f"WITH {HUE} SELECT doc, row_id, cluster, round(u, 3) AS unrolled FROM cl")
 def hue_gap_clusters(spark, sf):
+    """Parts of one size are one document."""
     r, g, b = F.col("r"), F.col("g"), F.col("b")
-    p = parts(spark, sf).where(S.colour_category(r, g, b).isNull() & (F.col("row_id") % 29 == 0)).select("row_id", F.round(S.hsl(r, g, b)["h"], 3).alias("hue"))
-    return WN.hue_clusters(p, "row_id", "hue").select("row_id", "cluster", F.round("unrolled", 3).alias("unrolled"))
+    p = parts(spark, sf).where(S.colour_category(r, g, b).isNull()).select(F.col("size").alias("doc"), "row_id", F.round(S.hsl(r, g, b)["h"], 3).alias("hue"))
+    return WN.hue_clusters(p, "doc", "row_id", "hue").select("doc", "row_id", "cluster", F.round("unrolled", 3).alias("unrolled"))
 
 
-@query(f"WITH {HUE} SELECT cluster, round((((sum(u * row_id) / sum(row_id)) % 360) + 360) % 360, 4) AS centre FROM cl GROUP BY cluster")
+@query(f"WITH {HUE} SELECT doc, cluster, round((((sum(u * row_id) / sum(row_id)) % 360) + 360) % 360, 4) AS centre FROM cl GROUP BY doc, cluster")
 def hue_cluster_centres(spark, sf):
-    return WN.circular_centroid(hue_gap_clusters(spark, sf), ["cluster"], "unrolled", "row_id").select("cluster", F.round("centre", 4).alias("centre"))
+    return WN.circular_centroid(hue_gap_clusters(spark, sf), ["doc", "cluster"], "unrolled", "row_id").select("doc", "cluster", F.round("centre", 4).alias("centre"))
 
 
-@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value > 30 AS f FROM events WHERE user_id <= 60),
+@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value > 30 AS f FROM events),
 n AS (SELECT user_id, max(i) + 1 AS n FROM e GROUP BY user_id),
 m AS (SELECT user_id, i, i - lag(i) OVER (PARTITION BY user_id ORDER BY i) - 1 AS gap FROM e WHERE f),
 r AS (SELECT user_id, i, sum(CASE WHEN gap IS NULL OR gap >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS k FROM m),
@@ -289,14 +292,14 @@ s AS (SELECT user_id, k, min(i) AS start, max(i) + 1 AS e FROM r GROUP BY ALL)
 SELECT user_id, start, CASE WHEN k = max(k) OVER (PARTITION BY user_id) AND n > e AND n - e < 2 THEN n ELSE e END AS "end" FROM s JOIN n USING (user_id)""")
 def gap_runs(spark, sf):
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, sf, "events").where("user_id <= 60").select("user_id", (F.row_number().over(w).cast("long") - 1).alias("i"), "value")
+    e = read(spark, sf, "events").select("user_id", (F.row_number().over(w).cast("long") - 1).alias("i"), "value")
     return WN.runs(e, ["user_id"], "i", F.col("value") > 30, 2)
 
 
-@query("""SELECT event_id, round(sum(value) OVER w, 4) AS around, min(value) OVER w AS low, max(value) OVER w AS high FROM events WHERE user_id <= 40
+@query("""SELECT event_id, round(sum(value) OVER w, 4) AS around, min(value) OVER w AS low, max(value) OVER w AS high FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)""")
 def moving_neighbourhood(spark, sf):
-    e = WN.moving(read(spark, sf, "events").where("user_id <= 40"), ["user_id"], "event_id", "value", 4)
+    e = WN.moving(read(spark, sf, "events"), ["user_id"], "event_id", "value", 4)
     return e.select("event_id", F.round("around", 4).alias("around"), "low", "high")
 
 
@@ -386,10 +389,10 @@ def scale_agreement(spark, sf):
     return A.scale_agreement(i, ["page"], 3, "size")
 
 
-@query(f"""WITH {ITEMS}, per AS (SELECT page, l_linenumber AS scale, count(DISTINCT row_id) AS slots FROM items WHERE l_linenumber <= 3 GROUP BY ALL)
+@query(f"""WITH {ITEMS}, per AS (SELECT page, l_linenumber % 3 AS scale, count(DISTINCT row_id) AS slots FROM items GROUP BY ALL)
 SELECT page, count(*) AS scales, min(slots) AS slots FROM per GROUP BY page HAVING count(*) = 3 AND min(slots) = max(slots)""")
 def consistent_boxes(spark, sf):
-    return SC.consistent_boxes(items(spark, sf).where("l_linenumber <= 3").withColumnRenamed("l_linenumber", "scale"), ["page"], "scale", "row_id", 3)
+    return SC.consistent_boxes(items(spark, sf).withColumn("scale", F.col("l_linenumber") % 3), ["page"], "scale", "row_id", 3)
 
 
 @query("""SELECT p_size AS size, count(*) AS members, """ + " || ".join(f"CASE WHEN 2 * sum((p_partkey >> {9 - i}) & 1) > count(*) THEN '1' ELSE '0' END" for i in range(10)) + " AS prototype FROM part GROUP BY p_size")
@@ -404,11 +407,11 @@ def last_position_share(spark, sf):
     return A.last_share(i, "label", ["page"], ["item_ord"]).select("label", "n", F.round("share", 6).alias("share"), "is_suffix")
 
 
-PAIRS = "pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label = b.label AS same, " + DIST.format(a="a.embedding", b="b.embedding") + " AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 300 AND b.vec_id < 300)"
+PAIRS = "pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label = b.label AS same, " + DIST.format(a="a.embedding", b="b.embedding") + " AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
 
 
-def _vector_pairs(spark, sf, limit: int = 300) -> DataFrame:
-    e = read(spark, sf, "embeddings").where(F.col("vec_id") < limit)  # the two halves of a quality check: a stated set of vectors
+def _vector_pairs(spark, sf) -> DataFrame:
+    e = read(spark, sf, "embeddings")
     a, b = e.alias("a"), e.alias("b")
     return a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), (F.col("a.label") == F.col("b.label")).alias("same"), _dist("a.embedding", "b.embedding").alias("d"))
 
@@ -474,25 +477,30 @@ def nearest_template_hamming(spark, sf):
     return M.nearest_template(p, t, ["row_id"], S.hamming_packed(F.col("own"), F.col("bits")), ["label"])
 
 
-@query(f"""WITH d AS (SELECT a.vec_id, b.vec_id AS row_id, {DIST.format(a='a.embedding', b='b.embedding')} AS d FROM embeddings a JOIN embeddings b
-  ON b.vec_id < 100 AND a.vec_id >= 100 AND abs(a.vec_id * 37 % 256 - b.vec_id * 37 % 256) <= 45)
-SELECT vec_id, row_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, row_id) AS k FROM d) WHERE k = 1 AND d <= 1.25""")
+@query(f"""WITH heads AS (SELECT min(vec_id) AS row_id FROM embeddings GROUP BY label),
+d AS (SELECT a.vec_id, b.vec_id AS row_id, {DIST.format(a='a.embedding', b='b.embedding')} AS d FROM embeddings a JOIN embeddings b
+  ON b.vec_id IN (SELECT row_id FROM heads) AND a.vec_id NOT IN (SELECT row_id FROM heads) AND abs(a.vec_id * 37 % 256 - b.vec_id * 37 % 256) <= 45)
+SELECT vec_id, row_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, row_id) AS k FROM d) WHERE k = 1 AND d <= 1.45""")
 def nearest_neighbor_veto(spark, sf):
-    e = read(spark, sf, "embeddings")
-    rows = e.where("vec_id < 100").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("head"))
-    new = e.where("vec_id >= 100").select("vec_id", "embedding")
-    fine = F.abs(F.col("vec_id") * 37 % 256 - F.col("row_id") * 37 % 256) <= 45
-    out = M.nearest_with_veto(new, rows, ["vec_id"], fine, _dist("embedding", "head"), "row_id", 1.25, [])
+    """The first vector of each label is a row, the others are new."""
+    e = read(spark, sf, "embeddings").withColumn("shade", (F.col("vec_id") * 37 % 256).cast("int"))
+    rows = e.groupBy("label").agg(F.min(F.struct("vec_id", "embedding", "shade")).alias("h")).select(F.col("h.vec_id").alias("row_id"), F.col("h.embedding").alias("head"), F.col("h.shade").alias("head_shade"))
+    new = e.join(rows.select(F.col("row_id").alias("vec_id")), "vec_id", "left_anti")
+    out = M.nearest_in_bins(new, rows, ["vec_id"], [("shade", "head_shade")], 45, F.lit(True), _dist("embedding", "head"), "row_id", 1.45, [])
     return out.select("vec_id", "row_id", F.round("distance", 6).alias("distance"))
 
 
-@query(f"""WITH {PARTS} SELECT a.row_id AS item, min(b.row_id) AS row_id FROM parts a JOIN parts b ON b.row_id <= 200 AND a.row_id > 200
+@query(f"""WITH {PARTS}, heads AS (SELECT min(row_id) AS row_id FROM parts GROUP BY size), h AS (SELECT parts.* FROM parts JOIN heads USING (row_id))
+SELECT a.row_id AS item, min(b.row_id) AS row_id FROM parts a JOIN h b ON a.row_id NOT IN (SELECT row_id FROM heads)
   AND greatest(abs(a.r - b.r), abs(a.g - b.g), abs(a.b - b.b)) <= 40 GROUP BY a.row_id""")
 def first_match_rule(spark, sf):
+    """The first part of each size is a row, the others are new."""
     p = parts(spark, sf)
-    heads = p.where("row_id <= 200").select("row_id", *[F.col(c).alias(f"h{c}") for c in "rgb"])
-    new = p.where("row_id > 200").select(F.col("row_id").alias("item"), "r", "g", "b")
-    return M.first_match(new, heads, ["item"], S.chebyshev([F.col(c) for c in "rgb"], [F.col(f"h{c}") for c in "rgb"]) <= 40, "row_id")
+    first = p.groupBy("size").agg(F.min("row_id").alias("row_id")).select("row_id")
+    heads = p.join(first, "row_id").select("row_id", *[F.col(c).alias(f"h{c}") for c in "rgb"])
+    new = p.join(first, "row_id", "left_anti").select(F.col("row_id").alias("item"), "r", "g", "b")
+    met = M.in_bins(new, heads, [(c, f"h{c}") for c in "rgb"], 40)
+    return met.groupBy("item").agg(F.min("row_id").alias("row_id"))
 
 
 @query(f"""WITH {ORDINALS} SELECT a.row_id, a.page AS page_a, b.page AS page_b FROM placed a JOIN placed b ON a.row_id = b.row_id AND a.page * 1000 + a.item_ord < b.page * 1000 + b.item_ord""")
@@ -507,14 +515,14 @@ def negative_pairs(spark, sf):
     return M.pairs(i, ["page"], "row_id", "row_id").select("a.page", F.col("a.row_id").alias("row_a"), F.col("b.row_id").alias("row_b"))
 
 
-RECTS = """rects AS (SELECT o_orderkey AS id, o_custkey % 40 AS doc, o_orderkey % 97 AS x0, o_orderkey % 89 AS y0, o_orderkey % 97 + 5 + o_custkey % 31 AS x1, o_orderkey % 89 + 5 + o_custkey % 29 AS y1 FROM orders WHERE o_orderkey % 5 = 0)"""
+RECTS = """rects AS (SELECT o_orderkey AS id, o_custkey AS doc, o_orderkey % 97 AS x0, o_orderkey % 89 AS y0, o_orderkey % 97 + 5 + o_custkey % 31 AS x1, o_orderkey % 89 + 5 + o_custkey % 29 AS y1 FROM orders)"""
 
 
 @query(f"""WITH {RECTS} SELECT id, doc FROM rects a WHERE NOT EXISTS (SELECT 1 FROM rects b WHERE b.doc = a.doc AND b.x0 <= a.x0 AND b.y0 <= a.y0 AND b.x1 >= a.x1 AND b.y1 >= a.y1
   AND ((b.x1 - b.x0) * (b.y1 - b.y0) > (a.x1 - a.x0) * (a.y1 - a.y0) OR ((b.x1 - b.x0) * (b.y1 - b.y0) = (a.x1 - a.x0) * (a.y1 - a.y0) AND b.id < a.id)))""")
 def containment_antijoin(spark, sf):
-    o, k, c = read(spark, sf, "orders").where("o_orderkey % 5 = 0"), F.col("o_orderkey"), F.col("o_custkey")
-    r = o.select(k.alias("id"), (c % 40).alias("doc"), (k % 97).alias("x0"), (k % 89).alias("y0"), (k % 97 + 5 + c % 31).alias("x1"), (k % 89 + 5 + c % 29).alias("y1"))
+    o, k, c = read(spark, sf, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    r = o.select(k.alias("id"), c.alias("doc"), (k % 97).alias("x0"), (k % 89).alias("y0"), (k % 97 + 5 + c % 31).alias("x1"), (k % 89 + 5 + c % 29).alias("y1"))
     return M.outermost(r, "id", ["doc"]).select("id", "doc")
 
 
@@ -559,37 +567,30 @@ def nearest_label(spark, sf):
 
 # Order-dependent -----------------------------------------------------------------------------------------------------
 
-LEADERS = """WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding FROM embeddings WHERE vec_id < 500),
-d AS MATERIALIZED (SELECT a.i, b.i AS j, {dist} AS d FROM v a JOIN v b ON b.i < a.i),
+LEADERS = """WITH RECURSIVE v AS ({items}),
+d AS MATERIALIZED (SELECT a.doc, a.i, b.i AS j, {dist} AS d FROM v a JOIN v b ON a.doc = b.doc AND b.i < a.i),
 run AS (
-  SELECT 0::BIGINT AS i, []::BIGINT[] AS heads, NULL::BIGINT AS row_id
+  SELECT DISTINCT doc, 0::BIGINT AS i, []::BIGINT[] AS heads, NULL::BIGINT AS row_id FROM v
   UNION ALL
-  SELECT run.i + 1, CASE WHEN m.j IS NULL THEN list_append(heads, run.i + 1) ELSE heads END,
+  SELECT run.doc, run.i + 1, CASE WHEN m.j IS NULL THEN list_append(heads, run.i + 1) ELSE heads END,
     CASE WHEN m.j IS NULL THEN len(heads) ELSE list_position(heads, m.j) - 1 END
-  FROM run LEFT JOIN LATERAL (SELECT arg_min(d.j, (d.d, d.j)) AS j FROM d WHERE d.i = run.i + 1 AND d.d <= 1.2 AND list_contains(heads, d.j)) m ON true
-  WHERE run.i < (SELECT count(*) FROM v))
-SELECT v.vec_id, run.row_id FROM run JOIN v USING (i)""".format(dist=DIST.format(a="a.embedding", b="b.embedding"))
+  FROM run JOIN v ON v.doc = run.doc AND v.i = run.i + 1
+  LEFT JOIN LATERAL (SELECT arg_min(d.j, (d.d, d.j)) AS j FROM d WHERE d.doc = run.doc AND d.i = run.i + 1 AND d.d <= {tolerance} AND list_contains(heads, d.j)) m ON true)
+SELECT v.doc, v.id, run.row_id FROM run JOIN v USING (doc, i)"""
 
 
-@query(LEADERS)
+@query(LEADERS.format(items="SELECT label AS doc, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, vec_id AS id, embedding FROM embeddings", dist=DIST.format(a="a.embedding", b="b.embedding"), tolerance=1.3))
 def leader_clusters(spark, sf):
-    e = read(spark, sf, "embeddings").where("vec_id < 500").withColumn("doc", F.lit(0))
-    return C.leader_clusters(e, "doc", "vec_id", "embedding", 1.2).select("vec_id", "row_id")
+    """Vectors of one label are one document."""
+    e = read(spark, sf, "embeddings").withColumnsRenamed({"label": "doc", "vec_id": "id"})
+    return C.leader_clusters(e, "doc", "id", "embedding", 1.3)
 
 
-@query("""WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey AS id, p_partkey * 2654435761 % 65536 AS bits FROM part WHERE p_partkey <= 150),
-d AS MATERIALIZED (SELECT a.i, b.i AS j, bit_count(xor(a.bits, b.bits)) AS d FROM v a JOIN v b ON b.i < a.i),
-run AS (
-  SELECT 0::BIGINT AS i, []::BIGINT[] AS heads, NULL::BIGINT AS row_id
-  UNION ALL
-  SELECT run.i + 1, CASE WHEN m.j IS NULL THEN list_append(heads, run.i + 1) ELSE heads END,
-    CASE WHEN m.j IS NULL THEN len(heads) ELSE list_position(heads, m.j) - 1 END
-  FROM run LEFT JOIN LATERAL (SELECT arg_min(d.j, (d.d, d.j)) AS j FROM d WHERE d.i = run.i + 1 AND d.d <= 4 AND list_contains(heads, d.j)) m ON true
-  WHERE run.i < (SELECT count(*) FROM v))
-SELECT v.id, run.row_id FROM run JOIN v USING (i)""")
+@query(LEADERS.format(items="SELECT p_size AS doc, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS i, p_partkey AS id, p_partkey * 2654435761 % 65536 AS bits FROM part", dist="bit_count(xor(a.bits, b.bits))", tolerance=4))
 def leader_clusters_hamming(spark, sf):
-    p = parts(spark, sf).where("row_id <= 150").select(F.col("row_id").alias("id"), (F.col("row_id") * 2654435761 % 65536).alias("bits"), F.lit(0).alias("doc"))
-    return C.leader_clusters_bits(p, "doc", "id", "bits", 4).select("id", "row_id")
+    """Parts of one size are one document."""
+    p = parts(spark, sf).select(F.col("size").alias("doc"), F.col("row_id").alias("id"), (F.col("row_id") * 2654435761 % 65536).alias("bits"))
+    return C.leader_clusters_bits(p, "doc", "id", "bits", 4)
 
 
 @query()
@@ -597,15 +598,14 @@ def two_means_split(spark, sf):
     return C.split_rows(read(spark, sf, "embeddings"), "label", "vec_id", "embedding").select("label", "vec_id", "side", F.round("gap", 6).alias("gap"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS u, l_suppkey + 10000000 AS v FROM lineitem WHERE l_orderkey % 40 = 0 AND l_linenumber = 1),
-b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+@query("""WITH RECURSIVE b AS (SELECT o_orderkey AS u, o_custkey + 1000000000 AS v FROM orders UNION SELECT o_custkey + 1000000000, o_orderkey FROM orders),
 reach AS (SELECT u AS id, u AS r FROM b UNION SELECT reach.id, b.v FROM reach JOIN b ON b.u = reach.r)
 SELECT id, min(r) AS component FROM reach GROUP BY id""")
 def connected_components(spark, sf):
     from inventa.sources.shared import prepare
 
     prepare(spark)
-    e = read(spark, sf, "lineitem").where("l_orderkey % 40 = 0 AND l_linenumber = 1").select(F.col("l_orderkey").alias("u"), (F.col("l_suppkey") + 10_000_000).alias("v"))
+    e = read(spark, sf, "orders").select(F.col("o_orderkey").alias("u"), (F.col("o_custkey") + 1_000_000_000).alias("v"))
     return C.connected_components(e, "u", "v")
 
 
@@ -655,10 +655,10 @@ SQL["session_upsert"] = """WITH e AS (SELECT user_id AS id, event_type AS mode,
 SELECT id, mode, updated FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated DESC, event_id % 2 DESC, mode DESC, event_id DESC) AS k FROM e) WHERE k = 1"""
 
 
-@query("""SELECT c_custkey AS file_key FROM customer WHERE c_custkey NOT IN (SELECT coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END, o_orderkey) FROM orders WHERE o_orderkey % 2 = 0)""")
+@query("""SELECT c_custkey AS file_key FROM customer WHERE c_custkey NOT IN (SELECT coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END, o_orderkey) FROM orders WHERE o_orderstatus <> 'F')""")
 def refcount_gc(spark, sf):
     files = read(spark, sf, "customer").select(F.col("c_custkey").alias("file_key"))
-    sessions = read(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("file_key"))
+    sessions = read(spark, sf, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("file_key"))
     return ST.collect_garbage(files, sessions)
 
 
@@ -674,9 +674,10 @@ def collected_toggle(spark, sf):
     return ST.toggle(read(spark, sf, "orders").withColumnRenamed("o_custkey", "row_id"), "row_id", ["o_orderkey"])
 
 
-@query(f"""WITH {ITEMS} SELECT 'parts' AS name, row_id, sum(coalesce(qty, 1))::BIGINT AS c, bool_or(qty IS NULL) AS u, count(DISTINCT page) AS n_pages FROM items WHERE page <= 300 GROUP BY row_id""")
+@query(f"""WITH {ITEMS} SELECT 'box ' || box AS name, row_id, sum(coalesce(qty, 1))::BIGINT AS c, bool_or(qty IS NULL) AS u, count(DISTINCT page) AS n_pages FROM items GROUP BY box, row_id""")
 def results_json(spark, sf):
-    payload = V.publish(items(spark, sf).where("page <= 300"), "parts", 1, 300)
+    """One payload for each box, and back."""
+    payload = V.publish(items(spark, sf), F.concat(F.lit("box "), F.col("box").cast("string")))
     return V.adopt(payload).select("name", "row_id", "c", "u", F.size("p").cast("long").alias("n_pages"))
 
 

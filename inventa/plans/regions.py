@@ -34,11 +34,11 @@ def box_filter(spark, sf):
     return o.where(ok).select(k.alias("id"))
 
 
-@query(f"""WITH {PARTS}, learned AS (SELECT size, max(r) AS lr, max(g) AS lg, max(b) AS lb FROM parts WHERE size % 2 = 0 GROUP BY size)
+@query(f"""WITH {PARTS}, learned AS (SELECT size, max(r) AS lr, max(g) AS lg, max(b) AS lb FROM parts WHERE size <= 25 GROUP BY size)
 SELECT row_id FROM parts LEFT JOIN learned USING (size) WHERE coalesce(greatest(abs(r - lr), abs(g - lg), abs(b - lb)) <= 120, true)""")
 def interior_filter(spark, sf):
     p = parts(spark, sf)
-    learned = p.where("size % 2 = 0").groupBy("size").agg(*[F.max(c).alias(f"l{c}") for c in "rgb"])
+    learned = p.where("size <= 25").groupBy("size").agg(*[F.max(c).alias(f"l{c}") for c in "rgb"])
     ok = R.interior_ok([F.col(c) for c in "rgb"], [F.col(f"l{c}") for c in "rgb"], 120)
     return p.join(learned, "size", "left").where(ok).select("row_id")
 

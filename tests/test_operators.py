@@ -96,13 +96,13 @@ def test_parts_list_counts_unread_once(spark):
     out = {r.row_id: (r["count"], r.unsure, r.n_pages, r.first_page) for r in A.parts_list(df).collect()}
     assert out == {7: (4, True, 2, 1), 8: (1, False, 1, 2)}
     assert WN.remaining_after(df, 2).count() == 0
-    rest = {(r.page, r.row_id): r.remaining for r in WN.remaining_all(df).collect()}
+    rest = {(r.page, r.row_id): r.remaining for r in WN.remaining_all(df.withColumn("doc", F.lit(0)), "doc").collect()}
     assert rest == {(1, 7): 3, (1, 8): 1}
 
 
 def test_publish_and_adopt(spark):
     df = spark.createDataFrame([(1, 7, None), (2, 7, 3)], "page long, row_id long, qty long")
-    r = V.adopt(V.publish(df, "n", 1, 2)).head()
+    r = V.adopt(V.publish(df, F.lit("n"))).head()
     assert (r.row_id, r.c, r.u, r.p, r.a) == (7, 4, True, [1, 2], [128.0] * 3)
 
 
