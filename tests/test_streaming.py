@@ -32,3 +32,14 @@ def test_once_per_key(spark, small, tmp_path):
     batch, stream = source(spark, small, tmp_path)
     got = sync.drain(sync.once_per_key(stream, ["user_id", "event_type"]), "once", "append", str(tmp_path / "c"))
     assert got.count() == batch.select("user_id", "event_type").distinct().count()
+
+
+def test_versions_only_rise(spark, tmp_path):
+    rows = [("a", 1, 3), ("a", 2, 2), ("a", 3, 5), ("b", 1, 1), ("b", 2, 1), ("a", 4, 4)]
+    for k, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame(part, "key string, t long, version long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = sync.changes(spark, str(tmp_path / "in"), "key string, t long, version long", 1)
+    got = sync.drain(sync.above_last(stream, "key", "version"), "rise", "append", str(tmp_path / "c"))
+    for key in ("a", "b"):
+        versions = [r.version for r in got.where(f"key = '{key}'").collect()]
+        assert len(versions) == len(set(versions)) and max(versions) == max(v for k, _, v in rows if k == key)
