@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    _libc = ctypes.CDLL("libc.so.6") if hasattr(ctypes.CDLL("libc.so.6"), "malloc_trim") else None
+except OSError:  # another C library
+    _libc = None
+
 #: Rows and bytes that one Arrow batch may hold: long texts must not pile up in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -57,6 +64,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a worker that is kept for the next task must not hold the last one's peak."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: lineage ends here, and losing an executor loses nothing."""
     path = work_path(prepare(df.sparkSession), name)

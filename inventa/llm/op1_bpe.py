@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inventa.llm.common import prepare, table
+from inventa.llm.common import prepare, table, tidy
 from inventa.llm.pretokens import class_table, pretokens
 from inventa.llm.textscan import pieces, utf8
 
 #: Text that is scanned at once, and slices that a worker keeps: both bound its memory.
-PIECE_BYTES, CACHE_SLICES, CACHE_SLICE_BYTES = 1 << 20, 400_000, 64
+PIECE_BYTES, CACHE_SLICES, CACHE_SLICE_BYTES = 1 << 20, 250_000, 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -159,6 +159,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
                 starts = [enc.offsets(np.frombuffer(x, "<u4")).astype("<u4").tobytes() for x in ids]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(ids, pa.binary()), pa.array(starts, pa.binary())], names=schema.names)
+        tidy()
 
     return df.select(*kept).mapInArrow(run, schema)
 
@@ -176,6 +177,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", offsets_col: str = "o
             ids, starts = batch.column(ids_col), batch.column(offsets_col)
             out = [None if a.as_py() is None else enc.decode(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")) for a, b in zip(ids, starts)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(out, pa.binary())], names=schema.names)
+        tidy()
 
     return df.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inventa.llm import buckets as B
-from inventa.llm.common import table
+from inventa.llm.common import table, tidy
 from inventa.llm.textscan import U, cover, cuts, gram_hash, inside, pack, pack_bits, pack_ints, span_hash, spans, unpack, unpack_bits, unpack_ints, utf8
 
 WINDOW, BLOCK = 13, 7
@@ -172,6 +172,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = b.group.drop_columns(B.BUCKET)
         for name, column in ((kept_col, pa.array(kept, pa.string())), ("n_words", pa.array(np.diff(b.first), pa.int64())), ("n_removed", pa.array(total[b.first[1:]] - total[b.first[:-1]], pa.int64()))):
             out = out.append_column(name, column)
+        tidy()
         return out
 
     return docs.groupBy(B.BUCKET).cogroup(answers.groupBy(B.BUCKET)).applyInArrow(cut_out, schema)

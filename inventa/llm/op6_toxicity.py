@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inventa.llm.common import prepare, table
+from inventa.llm.common import prepare, table, tidy
 from inventa.llm.textscan import M3, U, mix, pieces, span_hash, spans, utf8
 
 BITS, SKIPS = 22, 2
-TRAIN_ROWS, TRAIN_FEATURES, EPOCHS, LEAST_ROWS = 20_000, 32_000_000, 8, 3
+TRAIN_ROWS, TRAIN_FEATURES, EPOCHS, LEAST_ROWS = 16_000, 24_000_000, 8, 3
 ALPHA_RATE, BETA, L1, L2 = 1.0, 1.0, 10.0, 1.0
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: ASCII signs end a word, letters are made small; bytes of other letters stay.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -75,7 +75,7 @@ class Ftrl:
     """FTRL-proximal with per-coordinate rates; the last coordinate is the bias, which has no L1."""
 
     def __init__(self, size: int, rate: float = ALPHA_RATE, beta: float = BETA, l1: float = L1, l2: float = L2):
-        self.z, self.n = np.zeros(size + 1), np.zeros(size + 1)
+        self.z, self.n = np.zeros(size + 1, np.float32), np.zeros(size + 1, np.float32)
         self.rate, self.beta, self.l2 = rate, beta, l2
         self.l1 = l1
 
@@ -99,7 +99,8 @@ def train(examples: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int
     times = np.zeros(1 << bits, np.int32)
     for f, _ in examples:
         times[f] += 1
-    examples = [(f[times[f] >= LEAST_ROWS], y) for f, y in examples]
+    for k, (f, y) in enumerate(examples):  # in place: the driver holds one copy
+        examples[k] = f[times[f] >= LEAST_ROWS], y
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for k in order.permutation(len(examples)):
@@ -124,12 +125,18 @@ def gather(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows
             continue
         spent += len(f)
         out.append((r["__id"], r["__y"], f))
-    return [(f, y) for _, y, f in sorted(out, key=lambda x: (x[0], x[1], x[2].tobytes()))]
+    out.sort(key=lambda x: (x[0], x[1], x[2].tobytes()))
+    for k, (_, y, f) in enumerate(out):
+        out[k] = f, y
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     examples = gather(docs, labels, id_col, label_col, rows)
-    return train(examples) if examples else (np.zeros(0, np.uint32), np.zeros(0), -40.0)
+    model = train(examples) if examples else (np.zeros(0, np.uint32), np.zeros(0), -40.0)
+    del examples
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", out_col: str = "score", bits: int = BITS, skips: int = SKIPS) -> DataFrame:
@@ -152,6 +159,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text_col
                 s = 1 / (1 + np.exp(-np.clip(total[at[1:]] - total[at[:-1]] + bias, -35, 35)))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(np.round(s, 9))], names=schema.names)
+        tidy()
 
     return docs.select(*kept).mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ from inventa.llm.pretokens import class_table, pretokens
 from inventa.llm.textscan import M1, M3, MASKS, U, mix, pieces, utf8
 
 SAMPLE_ROWS, TABLE_KEYS, PROBES = 4000, 60_000, 4
-PIECE_BYTES, CACHE_SLICES, CACHE_SLICE_BYTES = 1 << 20, 500_000, 64
+PIECE_BYTES, CACHE_SLICES, CACHE_SLICE_BYTES = 1 << 20, 300_000, 64
 
 
 @lru_cache(2)
