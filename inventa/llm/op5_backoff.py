@@ -3,12 +3,12 @@
 The n-gram count table is partitioned by hash; the exploded n-grams of the documents meet it as the sorted hash lists
 of buckets (see `buckets`): a bucket sends each part its distinct n-grams with their local counts (combined before the
 shuffle, so the most frequent word of the language is one entry a bucket), the part sums them over the whole corpus
-and answers with the totals, and the bucket adds the logarithms up per document. A document's own occurrences are
+and answers with what the other buckets have, and the bucket adds the logarithms up per document. A document's own occurrences are
 taken off every count, so that a text does not vouch for itself.
 
 S(w | context) is the count of the longest n-gram that other documents have, over the count of its context, times
 BACKOFF for each word by which it was shortened; for a word that no other document has, FLOOR stands for its count.
-N-grams are told apart by 46 bits of hash besides those that choose the part.
+N-grams are told apart by 44 bits of hash besides those that choose the part.
 
 Defined results: a null or empty text has no words, log_prob 0 and a null score. Equal ids are different documents.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inventa.llm import buckets as B
-from inventa.llm.common import keep, table
+from inventa.llm.common import keep, table, tidy
 from inventa.llm.textscan import U, cuts, gram_hash, inside, pack, pack_ints, span_hash, spans, unpack, unpack_ints, utf8
 
 ORDER, BACKOFF, FLOOR = 3, 0.4, 0.5
@@ -40,8 +40,8 @@ class Grams:
         self.at = [np.flatnonzero(inside(self.first, self.n, k)) for k in range(1, order + 1)]
         self.hash = [gram_hash(h, k)[a] >> U(64 - bits) if len(a) else np.zeros(0, U) for k, a in zip(range(1, order + 1), self.at)]
 
-    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes of all orders, which of them each n-gram has (order after order), and how often its own row has it.
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes of all orders, which of them each n-gram has (order after order), how often its own row has it, and how often the bucket has each.
         One stable sort by hash leaves the places, and so the rows, of equal hashes in order."""
         h, row = np.concatenate(self.hash), np.concatenate([self.row[a] for a in self.at])
         order = np.argsort(h, kind="stable")
@@ -55,14 +55,14 @@ class Grams:
         start = np.flatnonzero(new_row)
         times = np.diff(np.append(start, len(s)))
         own[order] = np.repeat(times, times)
-        return s[new], which, own
+        return s[new], which, own, np.diff(np.append(np.flatnonzero(new), len(s)))
 
 
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = BACKOFF, floor: float = FLOOR) -> DataFrame:
     """(id_col, n_words, log_prob, score): sum of the logarithms and their mean per word, both without rounding."""
     docs, n_buckets = B.spread(docs.select(id_col, text_col), id_col, text_col)
     parts = max(1, n_buckets // 2)
-    bits = min(63, 46 + parts.bit_length())
+    bits = min(63, 44 + parts.bit_length())
 
     def ask(group: pa.Table) -> pa.Table:
         g = Grams(group, id_col, text_col, order, bits)
@@ -78,6 +78,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         total = np.add.reduceat(times[order_], start)
         out = np.empty(len(h), np.int64)
         out[order_] = np.repeat(total, np.diff(np.append(start, len(s))))
+        out -= times  # what the other buckets have: mostly nothing, which packs well
         ends = np.cumsum([len(x) for x in lists])
         part = group.column(B.PART)[0].as_py()
         return B.rows([(b, part, 0, pack_ints(out[e - len(x) : e])) for b, x, e in zip(group.column(B.BUCKET).to_pylist(), lists, ends)], B.ANSWER_SCHEMA)
@@ -87,11 +88,11 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if left.num_rows == 0:
             return pa.table([left.column(id_col), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         g = Grams(left, id_col, text_col, order, bits)
-        distinct, which, own = g.counted()
+        distinct, which, own, here = g.counted()
         cut, total = cuts(distinct, bits, parts), np.zeros(len(distinct), np.int64)
         for p, reply in zip(right.column(B.PART).to_pylist(), right.column("reply").to_pylist()):
             total[cut[p] : cut[p + 1]] = unpack_ints(reply)
-        rest = total[which] - own
+        rest = (total + here)[which] - own
         others, end = [], 0  # by order, at the place of the first word
         for at in g.at:
             c = np.zeros(g.n, np.int64)
@@ -114,6 +115,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 single[w] = 1
         add = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[g.first])
         some = np.diff(g.first) > 0
+        tidy()
         sums = np.zeros(len(some))
         if some.any():
             sums[some] = np.add.reduceat(value, g.first[:-1][some])
