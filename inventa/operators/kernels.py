@@ -63,6 +63,67 @@ def sample(img: np.ndarray, x: float, y: float) -> float | None:
     return float((img[j, i] * (1 - fx) + img[j, i + 1] * fx) * (1 - fy) + (img[j + 1, i] * (1 - fx) + img[j + 1, i + 1] * fx) * fy)
 
 
+def lattice_score(r: np.ndarray, a: tuple[float, float], b: tuple[float, float], found: list[tuple[int, int, float]], reach: int = 3, near: float = 2.5) -> float:
+    """Mean value of an autocorrelation at the lattice points around its middle, times the share of peaks that lie on the lattice."""
+    lag = r.shape[0] // 2
+    values = [sample(r, lag + m * a[0] + n * b[0], lag + m * a[1] + n * b[1]) for m in range(-reach, reach + 1) for n in range(-reach, reach + 1) if (m, n) != (0, 0)]
+    values = [v for v in values if v is not None]
+    basis = np.array([a, b], float).T
+    if not values or not found or abs(np.linalg.det(basis)) < 1e-9:
+        return 0.0
+    points = np.array([p[:2] for p in found], float).T
+    off = points - basis @ np.floor(np.linalg.solve(basis, points) + 0.5)
+    return float(np.mean(values)) * float((np.hypot(*off) <= near).mean())
+
+
+def best_lattice(r: np.ndarray, found: list[tuple[int, int, float]], sine: float = 0.3, ratio: float = 0.8) -> tuple[tuple[float, float], tuple[float, float], float] | None:
+    """The square-like lattice of two peaks with the best score above 0; equal lattices are tried once."""
+    best, seen = None, set()
+    for i, p in enumerate(found):
+        for q in found[i + 1 :]:
+            a, b = reduce_basis(p[:2], q[:2])
+            la, lb = np.hypot(*a), np.hypot(*b)
+            key = tuple(sorted((tuple(np.round(np.abs(a)).tolist()), tuple(np.round(np.abs(b)).tolist()))))
+            if min(la, lb) == 0 or key in seen:
+                continue
+            seen.add(key)
+            if abs(a[0] * b[1] - a[1] * b[0]) / (la * lb) <= sine or min(la, lb) / max(la, lb) < ratio:
+                continue
+            score = lattice_score(r, a, b, found)
+            if score > 0 and (best is None or score > best[2]):
+                best = a, b, score
+    return best
+
+
+def detail(img: np.ndarray, radius: int = 4) -> np.ndarray:
+    """What is left of an image without its moving mean; at the rim the mean is over what is there."""
+    def box(x: np.ndarray) -> np.ndarray:
+        c = np.pad(np.cumsum(np.cumsum(np.pad(x, radius), 0), 1), ((1, 0), (1, 0)))
+        k = 2 * radius + 1
+        return c[k:, k:] - c[:-k, k:] - c[k:, :-k] + c[:-k, :-k]
+
+    return img - box(img.astype(float)) / box(np.ones(img.shape))
+
+
+def overlap_support(img: np.ndarray, dx: int, dy: int) -> float:
+    """Correlation of an image with itself, moved by whole pixels, over the part that overlaps."""
+    h, w = img.shape
+    if abs(dx) >= w or abs(dy) >= h:
+        return 0.0
+    a = img[max(0, dy) : min(h, h + dy), max(0, dx) : min(w, w + dx)]
+    b = img[max(0, -dy) : min(h, h - dy), max(0, -dx) : min(w, w - dx)]
+    return float((a * b).sum() / max(np.sqrt((a * a).sum() * (b * b).sum()), 1e-12))
+
+
+def corners(mask: np.ndarray, least: int = 200, width: int = 16) -> tuple[tuple[int, int], tuple[int, int]] | None:
+    """(x, y) of the leftmost and the rightmost pixel, the upper ones of several; None for masks that are too small."""
+    ys, xs = np.nonzero(mask)
+    if len(xs) < least or xs.max() - xs.min() + 1 < width:
+        return None
+    left, right = xs.min(), xs.max()
+    return (int(left), int(ys[xs == left].min())), (int(right), int(ys[xs == right].min()))
+
+
 def solve_size(a: tuple[float, float], b: tuple[float, float], span: tuple[float, float], most_error: float = 0.18) -> tuple[int, int, float] | None:
     """(long, short, error) of a grid of vectors a and b that spans a diagonal; None where it is no grid."""
     det = a[0] * b[1] - a[1] * b[0]

@@ -184,6 +184,21 @@ def test_kernels():
     assert math.isclose(float(K.autocorrelation(img, 5)[5, 5]), 1.0)
 
 
+def test_lattices():
+    y, x = np.mgrid[0:120, 0:120]
+    img = np.cos(2 * np.pi * x / 14) + np.cos(2 * np.pi * y / 15)
+    r = K.autocorrelation(img, 40)
+    a, b, score = K.best_lattice(r, K.peaks(r))
+    assert sorted([tuple(map(abs, a)), tuple(map(abs, b))]) == [(0.0, 15.0), (14.0, 0.0)] and score > 0.5
+    assert K.best_lattice(r, []) is None and K.best_lattice(r, [(10, 0, 1.0), (0, 20, 0.5)]) is None  # too long a side
+    d = K.detail(img)
+    assert K.overlap_support(d, 14, 0) > 0.9 > 0.1 > K.overlap_support(d, 7, 0) and K.overlap_support(d, 500, 0) == 0
+    assert np.allclose(K.detail(np.ones((9, 9))), 0)
+    mask = np.zeros((40, 40), bool)
+    mask[10:30, 5:25] = True
+    assert K.corners(mask) == ((5, 10), (24, 10)) and K.corners(mask[:15]) is None
+
+
 def test_sources(spark, tmp_path):
     from inventa.sources import items as I
 
