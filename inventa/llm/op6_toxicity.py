@@ -118,7 +118,8 @@ def gather(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows
         return []
     chosen = known.orderBy(F.xxhash64("__id"), "__id", "__y").limit(rows)
     texts = docs.select(F.col(id_col).alias("__id"), "text").join(F.broadcast(chosen), "__id")  # `rows` ids at most
-    found, out, spent = featurise(texts, "text").toLocalIterator(), [], 0
+    few = featurise(texts, "text").repartition(8, "__id")  # one job makes them all; then some rows at a time come to the driver
+    found, out, spent = few.toLocalIterator(), [], 0
     for r in found:
         f = np.frombuffer(bytes(r.features), np.uint32)
         if spent + len(f) > TRAIN_FEATURES:
