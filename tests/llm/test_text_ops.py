@@ -361,6 +361,21 @@ def test_op9_hot_group_is_one_class(spark, monkeypatch):
     assert op9_simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_op9_links_across_blocks_by_members(spark, monkeypatch):
+    """Copies that are similar to one base text only, which leads no class, in blocks."""
+    monkeypatch.setattr(op9_simhash, "BLOCK", 100)
+    rng = np.random.default_rng(4)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(150, " ".join(base))]
+    for i in [*range(150), *range(151, 300)]:
+        c = [*base]
+        for k in rng.choice(np.arange(5, 195), 4, replace=False):
+            c[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(c)))
+    out = sorted([(r.id, r.class_id) for r in op9_simhash.near_duplicates(table(spark, rows)).collect()], key=str)
+    assert out == plain_classes(rows) and {c for _, c in out} == {0}
+
+
 def test_long_lists_recurse(monkeypatch):
     rng = np.random.default_rng(0)
     f = rng.integers(0, 1 << 63, (4000, 2)).astype(np.uint64)
