@@ -376,6 +376,18 @@ def test_op9_links_across_blocks_by_members(spark, monkeypatch):
     assert out == plain_classes(rows) and {c for _, c in out} == {0}
 
 
+def test_op9_unrelated_texts_do_not_link():
+    """No chance links among random fingerprints, nor among texts of two or four shingles, and hardly one in 12 million texts."""
+    rng = np.random.default_rng(9)
+    f = rng.integers(0, 1 << 64, (20_000, op9_simhash.BITS // 64), dtype=np.uint64)
+    assert len(op9_simhash.forest(f)[0]) == 0
+    for n in (6, 8):
+        texts = pa.array([" ".join(f"w{i}x{k}" for k in range(n)) for i in range(500)])
+        sh, at, *_ = op9_simhash.shingles(*textscan.utf8(texts))
+        assert len(op9_simhash.forest(op9_simhash.fingerprints(sh, at))[0]) == 0
+    assert op9_simhash.tail(op9_simhash.BITS, op9_simhash.RADIUS) * 12e6**2 / 2 < 0.1
+
+
 def test_long_lists_recurse(monkeypatch):
     rng = np.random.default_rng(0)
     f = rng.integers(0, 1 << 63, (4000, 2)).astype(np.uint64)
