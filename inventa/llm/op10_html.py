@@ -87,7 +87,7 @@ class Frame:
         self.features = tuple([f"inner:{inner}", f"block:{block}", f"inner:{inner}+{block}"] + [f"kind:{k}" for k in sorted(kinds)] + [f"in:{t}" for t in holds])
 
     def child(self, tag: str, attributes: str) -> Frame:
-        key = (tag, attributes if len(attributes) < 200 else attributes[:200])
+        key = (tag, attributes)
         if (f := self.children.get(key)) is None:
             f = Frame(tag, attributes, self)
             if len(self.children) < 50:

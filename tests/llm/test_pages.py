@@ -80,6 +80,12 @@ def test_surroundings_go(field):
     assert field.extract(page) == "Title\n\nBody text of the page, long enough to read."
 
 
+def test_long_attributes_are_told_apart():
+    style = "x" * 300
+    blocks = op10_html.leaf_blocks(f'<div style="{style}" class="article-body">One</div><div style="{style}" class="comments">Two</div>')
+    assert [(t, f.inner) for t, f, _ in blocks] == [("One", "content"), ("Two", "comment")]
+
+
 def test_deep_and_broken_pages_end(field):
     assert isinstance(field.extract("<div>" * 5000 + "x" + "</p>" * 5000), str)
     assert isinstance(field.extract('<a href="' * 2000 + ">x"), str)
