@@ -8,8 +8,10 @@ a generator of layouts with many kinds of content and surroundings, since the ta
 to `train` for another model. Training is deterministic and takes a second or two.
 
 Defined results: null or empty html gives an empty text; so does a page on which no block is content. Unfinished tags
-at the end are dropped, unfinished character references stay as they are. Scripts, styles, comments, the head and
-other text that is never shown are no blocks. All Unicode white space counts as such.
+at the end are dropped, unfinished character references stay as they are. Scripts, styles, comments of the markup, the
+head, and what a browser with scripts never shows (templates, frames, noscript) are no blocks; formulas, drawings and what
+stands inside objects are text like any other. A script or style without an end hides the rest of the page, as in a
+browser; any other element without an end ends with its parent. All Unicode white space counts as such.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,10 +32,16 @@ from pyspark.sql import types as T
 from inventa.llm.common import prepare, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/a-zA-Z!?][^>]*(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|itemprop|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Name and value of each attribute, one after the other, so that nothing inside a value or a longer name is taken for one.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s"'>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+TELLING = frozenset("class id role aria-label itemprop hidden style".split())
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math canvas object".split())
+#: Elements whose inside is no markup; without an end tag the first two hide the rest of the page.
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+SILENT = RAW | {"head", "noscript", "template"}
+#: What may stand in a head; any other tag, or text, ends it.
+IN_HEAD = frozenset("title meta link base script style noscript template".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 #: Start tags that close an open element, and where the search for it ends.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
@@ -59,10 +68,13 @@ TAGS_SEEN = "p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figcaption div sp
 class Frame:
     """An open element and what its ancestors say; features of a block are those of its frame and its text."""
 
-    __slots__ = ("tag", "inner", "kinds", "tags", "features", "children")
+    __slots__ = ("tag", "inner", "kinds", "tags", "features", "children", "silent", "foreign", "owner")
 
     def __init__(self, tag: str, attributes: str, parent: Frame | None):
         self.tag, self.children = tag, {}
+        self.silent = tag in SILENT or bool(parent and parent.silent)
+        self.foreign = tag in ("svg", "math") or bool(parent and parent.foreign)
+        self.owner = self if parent is None or tag in BLOCK else parent.owner  # the block element that text here belongs to
         inner, kinds = (parent.inner, parent.kinds) if parent else ("none", frozenset())
         found = []
         if tag in TAG_KIND:
@@ -71,6 +83,8 @@ class Frame:
         if attributes and tag not in ("html", "body"):
             for name, *values in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), next((v for v in values if v), "")
+                if name not in TELLING:
+                    continue
                 if name == "hidden" or name == "style":
                     if name == "hidden" or re.search(r"display\s*:\s*none", value):
                         found.append("notice")
@@ -95,10 +109,63 @@ class Frame:
         return f
 
 
+class Stack:
+    """Open elements, and how many there are of each tag, so that a tag without a partner costs nothing at any depth."""
+
+    def __init__(self):
+        self.frames, self.open = [Frame("body", "", None)], defaultdict(int)
+
+    def push(self, tag: str, attributes: str) -> None:
+        self.frames.append(self.frames[-1].child(tag, attributes))
+        self.open[tag] += 1
+
+    def cut(self, i: int) -> None:
+        for f in self.frames[i:]:
+            self.open[f.tag] -= 1
+        del self.frames[i:]
+
+    def end(self, tag: str) -> None:
+        """An end tag: inline elements end inside their block only."""
+        if not self.open[tag]:
+            return
+        for i in range(len(self.frames) - 1, 0, -1):
+            f = self.frames[i]
+            if f.tag == tag:
+                return self.cut(i)
+            if tag not in BLOCK and tag not in SILENT and f.tag in BLOCK:
+                return
+
+    def end_implied(self, what: set[str] | frozenset[str], until: set[str] | frozenset[str], several: bool = False) -> None:
+        """What a start tag ends: the innermost of these elements, or several, up to a container."""
+        if not any(self.open[t] for t in what):
+            return
+        for i in range(len(self.frames) - 1, 0, -1):
+            if self.frames[i].tag in until:
+                return
+            if self.frames[i].tag in what:
+                self.cut(i)
+                if not several:
+                    return
+
+
+def after_raw(page: str, tag: str, place: int) -> int | None:
+    """The place after the end tag of a raw element, None if there is none."""
+    m = END_OF[tag].search(page, place)
+    if m is None:
+        return None
+    stop = page.find(">", m.end())
+    return len(page) if stop < 0 else stop + 1
+
+
+END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+
+
 def leaf_blocks(page: str) -> list[tuple[str, Frame, int]]:
     """(text, frame of its block element, characters inside links) of each leaf block, in page order."""
-    root = Frame("body", "", None)
-    stack, out, text, links, place, in_link, owner = [root], [], [], 0, 0, 0, root
+    stack = Stack()
+    frames = stack.frames
+    out, text, links, place, owner = [], [], 0, 0, frames[0]
+    endless = set()  # raw elements that no end tag follows any more
 
     def flush() -> None:
         nonlocal text, links
@@ -110,14 +177,18 @@ def leaf_blocks(page: str) -> list[tuple[str, Frame, int]]:
 
     def say(raw: str) -> None:
         nonlocal links, owner
+        if frames[-1].silent:
+            if frames[-1].tag != "head" or raw.isspace():
+                return
+            stack.end("head")
         t = html_lib.unescape(raw) if "&" in raw else raw
         if not text and not t.isspace():
-            owner = next(f for f in reversed(stack) if f.tag in BLOCK)
+            owner = frames[-1].owner
         text.append(t)
-        if in_link:
+        if stack.open["a"]:
             links += len(t.strip())
 
-    n, lower = len(page), None
+    n = len(page)
     while place < n:
         m = TOKEN.search(page, place)
         if m is None:
@@ -135,56 +206,42 @@ def leaf_blocks(page: str) -> list[tuple[str, Frame, int]]:
         if closing:
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
-            in_link = sum(f.tag == "a" for f in stack)
+            stack.end(tag)
             continue
+        if frames[-1].tag == "head" and tag not in IN_HEAD:
+            stack.end("head")
         if tag in VOID:
             if tag in BLOCK:
                 flush()
             continue
-        if tag in RAW or tag == "head":
-            lower = page.lower() if lower is None and page.isascii() else lower
-            end = lower.find(f"</{tag}", place) if lower is not None else (r.start() if (r := re.compile(f"</{tag}", re.I).search(page, place)) else -1)
-            if end < 0 and tag != "head":
+        if tag in RAW and tag not in endless:
+            if frames[-1].foreign and m[3].endswith("/"):
+                continue
+            stop = after_raw(page, tag, place)
+            if stop is None and tag in ("script", "style"):
                 break
-            if end >= 0:
-                stop = page.find(">", end)
-                place = n if stop < 0 else stop + 1
-            continue
+            if stop is not None:
+                place = stop
+                continue
+            endless.add(tag)
         if tag in BLOCK:
             flush()
-            if "p" in (f.tag for f in stack) and tag not in ("button", "option", "select"):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        del stack[i:]
-                        break
-                    if stack[i].tag in P_STOPS:
-                        break
+            if tag not in ("button", "option", "select"):
+                stack.end_implied({"p"}, P_STOPS)
             if tag in CLOSES:
-                what, until = CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in until:
-                        break
-                    if stack[i].tag in what:
-                        del stack[i:]
-                        if tag not in ("tr", "tbody"):
-                            break
-            in_link = sum(f.tag == "a" for f in stack)
+                stack.end_implied(*CLOSES[tag], tag in ("tr", "tbody"))
         if tag in ("html", "body"):
             continue
-        if len(stack) < 400:
-            stack.append(stack[-1].child(tag, m[3]))
-        in_link += tag == "a"
+        if m[3].endswith("/") and (frames[-1].foreign or tag in ("svg", "math")):
+            continue
+        stack.push(tag, m[3])
     flush()
     return out
 
 
 LENGTHS = (3, 10, 25, 60, 140, 300)
+#: A text hints at what surrounds an article if it has a phrase of HINTS for each so many characters.
+HINT_EVERY = 400
 
 
 def block_features(blocks: list[tuple[str, Frame, int]]) -> list[tuple[str, ...]]:
@@ -195,7 +252,7 @@ def block_features(blocks: list[tuple[str, Frame, int]]) -> list[tuple[str, ...]
         share = 3 if links >= 0.9 * n else 2 if links >= 0.4 * n else 1 if links else 0
         end = "stop" if t[-1] in ".!?…:\"”»" else "none"
         f = [f"len:{size}", f"link:{share}", f"end:{end}", f"len+link:{size},{share}", f"inner+len:{frame.inner},{size}"]
-        if n < 400 and HINTS.search(t):
+        if HINT_EVERY * sum(1 for _ in HINTS.finditer(t)) > n:
             f.append("hint")
         if i == 0:
             f.append("first")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -86,6 +87,66 @@ def test_long_attributes_are_told_apart():
     assert [(t, f.inner) for t, f, _ in blocks] == [("One", "content"), ("Two", "comment")]
 
 
+def test_attributes_are_parsed():
+    page = '<article><p title="a hidden gem">One</p><p data-id="comments">Two</p><p data-class=nav>Three</p><p title=\'id="footer"\'>Four</p><p HIDDEN>Five</p><p x="" class=comments>Six</p></article>'
+    assert [(t, f.inner) for t, f, _ in op10_html.leaf_blocks(page)] == [("One", "content"), ("Two", "content"), ("Three", "content"), ("Four", "content"), ("Five", "notice"), ("Six", "comment")]
+
+
+@pytest.mark.parametrize("depth", [10, 390, 420, 3000])
+def test_depth_changes_nothing(field, depth):
+    story = "<p>" + "A sentence of the story stands here. " * 3 + "</p>"
+    page = f'<article><h1>Title</h1>{story}{"<div>" * depth}<div class="comments"><p>I liked it very much, thanks.</p></div>{"</div>" * depth}{story}</article>'
+    text = "A sentence of the story stands here. " * 3
+    assert field.extract(page) == f"Title\n\n{text.strip()}\n\n{text.strip()}"
+
+
+BLOCKS = [
+    ("<p>Energy is <math><mi>E</mi>=<mi>mc2</mi></math> and that.</p><p>Next</p>", ["Energy is E=mc2 and that.", "Next"]),
+    ("<p>One<svg><path d=x>Label</p><p>Two</p>", ["OneLabel", "Two"]),
+    ("<p>One</p><svg/><canvas><p>Two</p>", ["One", "Two"]),
+    ("<p>One <object>three</object> four</p>", ["One three four"]),
+    ("<p>One</p><template><p>Not</p></template><p>Two</p>", ["One", "Two"]),
+    ("<div><template><p>Not</p></div><p>Two</p>", ["Two"]),
+    ("<div><noscript>Not</div><p>Two</p>", ["Two"]),
+    ("<head><title>Not</title><article><header><h1>One</h1></header><p>Two</p></article>", ["One", "Two"]),
+    ("<head><meta name=x>One<p>Two", ["One", "Two"]),
+    ("<head><noscript>Not<img></noscript></head><p>Two", ["Two"]),
+    ("<p>One<iframe src=x><p>Two", ["One", "Two"]),
+    ("<div>One<iframe src=x></div><p>Two", ["One", "Two"]),
+    ("<svg><title>Not</title><style/><text>One</text></svg><scripty>Two</scripty><script>no</scripty></script>", ["OneTwo"]),
+    ("<textarea>Not</textarea ><p>One", ["One"]),
+]
+
+
+@pytest.mark.parametrize(("page", "texts"), BLOCKS)
+def test_only_what_is_never_shown_is_no_block(page, texts):
+    assert [t for t, _, _ in op10_html.leaf_blocks(page)] == texts
+
+
+def test_many_open_elements_are_no_burden():
+    start = time.monotonic()
+    assert len(op10_html.leaf_blocks("<b>x</i>" * 50_000)) == 1
+    assert len(op10_html.leaf_blocks("<div><b>x" * 20_000)) == 20_000
+    assert time.monotonic() - start < 20
+
+
+LAYOUTS = [  # made by hand, unlike those of the generator
+    ('<body class="post-template"><div id="page"><div class="site-top"><ul class="main-menu"><li><a href="/">Home</a></li><li><a href="/a">About</a></li></ul></div>'
+     '<div class="entry-content"><h1>How to mend a kettle</h1><p>First, unplug it and let it cool for an hour.</p><ul><li>Screwdriver</li><li>New fuse</li></ul><p>Then open the base and look at the fuse.</p></div>'
+     '<div class="sidebar"><h3>Popular</h3><ul><li><a href="/x">Ten mugs</a></li></ul></div><div class="footer">© 2020 Kettle House. All rights reserved.</div></div></body>',
+     "How to mend a kettle\n\nFirst, unplug it and let it cool for an hour.\n\nScrewdriver\n\nNew fuse\n\nThen open the base and look at the fuse."),
+    ('<main><nav class="breadcrumb"><a href=/>News</a> / <a href=/w>World</a></nav><article><h1>Rain in the hills</h1><p>The rain came early this year, and it stayed.</p>'
+     '<aside class="ad-slot"><p>Buy boots today!</p></aside><blockquote><p>We have never seen so much water.</p></blockquote><p>Roads are closed until Monday.</p></article>'
+     '<section id="comments"><h2>Comments</h2><article><p>Stay safe, all of you.</p></article></section></main>',
+     "Rain in the hills\n\nThe rain came early this year, and it stayed.\n\nWe have never seen so much water.\n\nRoads are closed until Monday."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), LAYOUTS)
+def test_layouts_made_by_hand(field, page, text):
+    assert field.extract(page) == text
+
+
 def test_deep_and_broken_pages_end(field):
     assert isinstance(field.extract("<div>" * 5000 + "x" + "</p>" * 5000), str)
     assert isinstance(field.extract('<a href="' * 2000 + ">x"), str)
