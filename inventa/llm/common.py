@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 try:
     _libc = ctypes.CDLL("libc.so.6") if hasattr(ctypes.CDLL("libc.so.6"), "malloc_trim") else None
@@ -50,9 +52,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session in one process
+    (tests) gets one of its own; on a cluster that is an error, since no executor could read a folder of the driver."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), f"inventa-{spark.sparkContext.applicationId}")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -78,6 +83,35 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of `df` has, in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key is hot if it has more than this share of all rows that have a partner; so there are no more hot keys than its inverse.
+HOT = 1 / 1000
+
+
+def meet(rows: DataFrame, few: DataFrame, on: list[str], times: str) -> DataFrame:
+    """Left join of `rows` with `few`, which has one row a key and in `times` how many rows have that key (dropped).
+    Hot keys are broadcast, 1 / HOT at most; their rows take no part in the shuffled join, which they would all
+    enter in one place, but are spread over it. Both sides are read twice and should be tables."""
+    found, spread, value = fresh(rows, "__found", "__spread", "__value")
+    total = few.agg(F.coalesce(F.sum(times), F.lit(0))).head()[0]
+    values = F.struct(*[c for c in few.columns if c not in (*on, times)])
+    hot = few.where(F.col(times) > HOT * total).select(*on, values.alias(found))
+    cold = few.where(F.col(times) <= HOT * total).select(*on, F.lit(0).alias(spread), values.alias(value))
+    place = F.when(F.col(found).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(1 << 20)).cast("int"))
+    out = rows.join(F.broadcast(hot), on, "left").withColumn(spread, place).join(cold, [*on, spread], "left")
+    return out.withColumn(value, F.coalesce(found, value)).select(*[out[c] for c in rows.columns], f"{value}.*")
+
+
 def width(spark: SparkSession) -> int:
     """Shuffle partitions of the session; every count of buckets follows it, and so the size of the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

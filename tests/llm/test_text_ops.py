@@ -1,5 +1,6 @@
 """Small tables with nulls, empty and long texts, ties, repeats, and columns with clashing names, against plain Python."""
 
+import math
 import re
 from collections import Counter
 
@@ -347,6 +348,56 @@ def test_op9_equals_brute_force(spark, seed):
     assert out == plain_classes(rows)
 
 
+def test_op9_equal_ids_with_other_texts(spark):
+    """Each word sequence is a node of its own, whatever ids its rows have, and rows may repeat."""
+    near = lambda t, k: " ".join([*[f"{t}{i}" for i in range(60)], f"{t}x{k}"])
+    rows = [(5, near("a", 0)), (5, near("b", 0)), (5, near("b", 0)), (7, near("a", 1)), (8, near("b", 1)), (1, near("a", 0)), (9, near("c", 0)), (9, near("d", 0)), (10, near("d", 1)), (9, near("e", 1)), (9, near("f", 1))]
+    out = sorted([(r.id, r.class_id) for r in op9_simhash.near_duplicates(table(spark, rows)).collect()], key=str)
+    assert out == plain_classes(rows) == [(1, 1), (10, 9), (5, 1), (5, 5), (5, 5), (7, 1), (8, 5), (9, 9), (9, 9), (9, 9), (9, 9)]
+
+
+def test_op9_chain_is_one_class(spark):
+    """Windows that slide over one text: neighbours are similar, the ends have nothing in common."""
+    rows = [(i, " ".join(f"c{k}" for k in range(3 * i, 3 * i + 120))) for i in range(2000)]
+    order = np.random.default_rng(1).permutation(2000)
+    out = op9_simhash.near_duplicates(table(spark, [(int(order[i]), t) for i, t in rows])).collect()
+    assert len(out) == 2000 and {r.class_id for r in out} == {0}
+
+
+def test_op9_lists_of_two_strips(spark, monkeypatch):
+    """The way that very many fingerprints take."""
+    monkeypatch.setattr(op9_simhash, "LONGEST", 0.1)
+    monkeypatch.setattr(op9_simhash, "SPLIT", 2)
+    rows = near_copies(6, 40)
+    assert len(op9_simhash.plan(len(rows))) == 2
+    out = sorted([(r.id, r.class_id) for r in op9_simhash.near_duplicates(table(spark, rows)).collect()], key=str)
+    assert out == plain_classes(rows)
+
+
+def test_op9_lists_stay_short():
+    """No list that a task gets grows with the input, up to 10 billion fingerprints."""
+    for n in (10**5, 10**6, 10**8, 10**9, 10**10):
+        levels = op9_simhash.plan(n)
+        expected = n * math.prod(op9_simhash.tail(op9_simhash.STRIP, op9_simhash.weight_for(s)) for s, _ in levels)
+        assert expected <= op9_simhash.LONGEST
+
+
+def test_hot_keys_meet_their_partners(spark, monkeypatch):
+    from inventa.llm import common
+
+    monkeypatch.setattr(common, "HOT", 0.1)
+    rows = [(1 if i % 3 else i, None if i % 7 == 0 else "x", i) for i in range(300)]
+    counts = {}
+    for a, b, _ in rows:
+        if b is not None:
+            counts[a, b] = counts.get((a, b), 0) + 1
+    few = [(a, b, 100 * a, n) for (a, b), n in counts.items() if a % 2]
+    df = spark.createDataFrame(rows, "a long, b string, __value long")
+    got = common.meet(df, spark.createDataFrame(few, "a long, b string, v long, n long"), ["a", "b"], "n").collect()
+    assert sorted([(r.a, str(r.b), r["__value"], r.v or 0) for r in got]) == sorted((a, str(b), i, 100 * a if b and a % 2 else 0) for a, b, i in rows)
+    assert common.meet(df, spark.createDataFrame([], "a long, b string, v long, n long"), ["a", "b"], "n").where("v is null").count() == 300
+
+
 def test_op9_hot_group_is_one_class(spark, monkeypatch):
     """Many near copies of one text, in blocks and with ambassadors."""
     monkeypatch.setattr(op9_simhash, "BLOCK", 40)
@@ -361,10 +412,11 @@ def test_op9_hot_group_is_one_class(spark, monkeypatch):
     assert op9_simhash.near_duplicates(table(spark, [])).count() == 0
 
 
-def test_op9_links_across_blocks_by_members(spark, monkeypatch):
+@pytest.mark.parametrize("seed", [4, 5])
+def test_op9_links_across_blocks_by_members(spark, monkeypatch, seed):
     """Copies that are similar to one base text only, which leads no class, in blocks."""
     monkeypatch.setattr(op9_simhash, "BLOCK", 100)
-    rng = np.random.default_rng(4)
+    rng = np.random.default_rng(seed)
     base = [f"b{k}" for k in range(200)]
     rows = [(150, " ".join(base))]
     for i in [*range(150), *range(151, 300)]:
