@@ -1,14 +1,16 @@
 """Benchmark decontamination by greedy string tiling.
 
 Items of a benchmark are indexed by Karp-Rabin hashes of SEED words (lower case, without ASCII signs). A document is
-scanned once: its rolling hashes meet the index, hits on one diagonal grow together to matches, and for each item the
-longest match of words not yet taken is marked as a tile, again and again, until none of SEED words is left; what a
-tile has taken shortens the matches that overlap it, and the remainders compete again. A document is contaminated by
-an item if its tiles cover at least `threshold` of the item's words, so a passage whose sentences were moved about is
-found as well. Items whose seeds cannot cover that much are passed over before tiling.
+scanned once: its rolling hashes meet the index, but only where the words before differ, so that each diagonal gives
+one hit for each maximal match and a run of one word meets another in as many hits as both have words, not as their
+product. How far a match goes is found by bisection over Karp-Rabin hashes of prefixes. For each item the longest match
+of words not yet taken is marked as a tile, again and again, until none of SEED words is left; what a tile has taken
+shortens the matches that overlap it, and the remainders compete again. A document is contaminated by an item if its
+tiles cover at least `threshold` of the item's words, so a passage whose sentences were moved about is found as well.
+Items whose matches cannot cover that much are passed over before tiling.
 
-The benchmark goes to the executors in blocks of at most BLOCK_BYTES of text; a larger one is a few scans of the
-documents, so nothing broadcast grows with it.
+The benchmark goes to the executors in blocks of at most BLOCK_BYTES of text, which is checked (an item that is larger
+is a block of its own); a larger one is a few scans of the documents, so nothing broadcast grows with it.
 
 Defined results: null or empty texts and items match nothing; neither do items of fewer than SEED words. Repeated
 items and documents give a row each.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from inventa.llm.common import prepare, table
 from inventa.llm.op6_toxicity import BREAK, FOLD
-from inventa.llm.textscan import gram_hash, inside, pieces, span_hash, spans, utf8
+from inventa.llm.textscan import M3, U, gram_hash, inside, pieces, span_hash, spans, utf8
 
 SEED, THRESHOLD, BLOCK_BYTES, PIECE_BYTES = 4, 0.5, 16 << 20, 2 << 20
 TILES = "item_id long, n_item_words long, n_tiled long, coverage double, tiles array<struct<doc_word:int,item_word:int,n_words:int>>"
@@ -40,49 +42,76 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return span_hash(folded, starts, ends, 7), first
 
 
+class Prefixes:
+    """Karp-Rabin hashes of all ranges of a list of word hashes."""
+
+    INVERSE = U(pow(int(M3), -1, 1 << 64))
+
+    def __init__(self, h: np.ndarray):
+        power = np.cumprod(np.concatenate([np.ones(1, U), np.full(len(h), M3, U)]), dtype=U)
+        self.back = np.cumprod(np.concatenate([np.ones(1, U), np.full(len(h), self.INVERSE, U)]), dtype=U)
+        self.sum = np.concatenate([np.zeros(1, U), np.cumsum(h * power[:-1], dtype=U)])
+
+    def hash(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (self.sum[start + n] - self.sum[start]) * self.back[start]
+
+
+def before(h: np.ndarray, first: np.ndarray, at: np.ndarray, none: int) -> np.ndarray:
+    """The word before each place, `none` at the start of a row."""
+    row = np.searchsorted(first, at, "right") - 1
+    return np.where(at > first[row], h[np.maximum(at - 1, 0)], U(none))
+
+
 class Index:
-    """Seeds of the items of a block: sorted hashes, and the place in the items of each."""
+    """Seeds of the items of a block: sorted by hash and by the word before, and the place in the items of each."""
 
     def __init__(self, ids: list, texts: list[str | None], seed: int):
         self.ids, self.seed = ids, seed
         h, self.first = word_hashes(*utf8(pa.array(texts, pa.string())))
+        self.prefixes = Prefixes(h)
         at = np.flatnonzero(inside(self.first, len(h), seed))
-        key = gram_hash(h, seed)[at] if len(at) else np.zeros(0, np.uint64)
-        order = np.argsort(key, kind="stable")
+        key, prev = (gram_hash(h, seed)[at], before(h, self.first, at, 0)) if len(at) else (np.zeros(0, U), np.zeros(0, U))
+        order = np.lexsort((prev, key))
         self.keys, self.at = key[order], at[order]
         self.item = np.searchsorted(self.first, self.at, "right") - 1
         self.size = np.diff(self.first)
+        # Entries of one key and one word before are neighbours; both are numbered, so that a pair is one number.
+        self.known, rank = np.unique(self.keys, return_inverse=True)
+        self.words, word = np.unique(prev[order], return_inverse=True)
+        self.code = rank * max(len(self.words), 1) + word
 
-    def hits(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(entry of key, entry of the index) of all equal pairs."""
+    def starts(self, key: np.ndarray, prev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entry of key, entry of the index) of all pairs with equal seeds and other words before."""
         low, high = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
-        n = high - low
-        q = np.repeat(np.arange(len(key)), n)
-        return q, np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        word = np.minimum(np.searchsorted(self.words, prev), len(self.words) - 1)
+        code = np.searchsorted(self.known, key) * len(self.words) + word
+        same = self.words[word] == prev
+        a = np.where(same, np.searchsorted(self.code, code), low)
+        b = np.where(same, np.searchsorted(self.code, code, "right"), low)
+        begin, n = np.stack([low, b], 1).ravel(), np.stack([a - low, high - b], 1).ravel()
+        q = np.repeat(np.repeat(np.arange(len(key)), 2), n)
+        return q, np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def tile(matches: list[tuple[int, int, int]], seed: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling over maximal matches (doc word, item word, length): the longest first, earlier ones before later ones of that length."""
     heap = [(-n, p, q) for q, p, n in matches]
     heapq.heapify(heap)
-    doc, item, out = set(), set(), []
-    while heap:
+    doc, item = np.zeros(max(q + n for q, _, n in matches), bool), np.zeros(max(p + n for _, p, n in matches), bool)
+    left, out = len(item), []
+    while heap and left >= seed:
         n, p, q = heapq.heappop(heap)
         n = -n
-        free = [q + k not in doc and p + k not in item for k in range(n)]
-        if all(free):
+        taken = doc[q : q + n] | item[p : p + n]
+        if not taken.any():
             out.append((q, p, n))
-            doc.update(range(q, q + n))
-            item.update(range(p, p + n))
+            doc[q : q + n] = item[p : p + n] = True
+            left -= n
             continue
-        start = None
-        for k, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                if k - start >= seed:
-                    heapq.heappush(heap, (start - k, p + start, q + start))
-                start = None
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]))).tolist()  # starts and ends of what is free
+        for a, b in zip(edge[::2], edge[1::2]):
+            if b - a >= seed:
+                heapq.heappush(heap, (a - b, p + a, q + a))
     return sorted(out)
 
 
@@ -97,22 +126,28 @@ def match_rows(data: np.ndarray, off: np.ndarray, index: Index, threshold: float
     live = np.flatnonzero(index.keys[place] == key)
     if not len(live):
         return
-    q, e = index.hits(key[live])
+    q, e = index.starts(key[live], before(h, first, at[live], 1))
     word, p, item = at[live][q], index.at[e], index.item[e]
     row = np.searchsorted(first, word, "right") - 1
-    order = np.lexsort((word, word - p, item, row))
-    word, p, item, row = word[order], p[order], item[order], row[order]
+    own = Prefixes(h)
+    length, most = np.full(len(word), index.seed), np.minimum(first[row + 1] - word, index.first[item + 1] - p)
+    while (open_ := np.flatnonzero(length < most)).size:
+        n = (length[open_] + most[open_] + 1) // 2
+        alike = own.hash(word[open_], n) == index.prefixes.hash(p[open_], n)
+        length[open_] = np.where(alike, n, length[open_])
+        most[open_] = np.where(alike, most[open_], n - 1)
+    order = np.lexsort((item, row))
+    word, p, item, row, length = word[order], p[order], item[order], row[order], length[order]
     pair = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])]))
-    for a, b in zip(pair, np.append(pair[1:], len(word))):
-        need = threshold * index.size[item[a]]
-        seeds = np.unique(p[a:b])
-        if index.seed + np.minimum(np.diff(seeds), index.seed).sum() < need:  # words that any seed covers
+    enough = np.add.reduceat(length, pair) >= threshold * index.size[item[pair]]
+    for a, b in zip(pair[enough], np.append(pair[1:], len(word))[enough]):
+        need, base, start = threshold * index.size[item[a]], first[row[a]], index.first[item[a]]
+        edges = np.zeros(index.size[item[a]] + 1, np.int64)
+        np.add.at(edges, p[a:b] - start, 1)
+        np.subtract.at(edges, p[a:b] - start + length[a:b], 1)
+        if np.count_nonzero(np.cumsum(edges)) < need:  # words that any match covers
             continue
-        w, x = word[a:b], p[a:b]
-        run = np.flatnonzero(np.concatenate([[True], (np.diff(w - x) != 0) | (np.diff(w) != 1)]))
-        length = np.diff(np.append(run, len(w))) + index.seed - 1
-        base, start = first[row[a]], index.first[item[a]]
-        tiles = tile([(int(w[r] - base), int(x[r] - start), int(n)) for r, n in zip(run, length)], index.seed)
+        tiles = tile([*zip((word[a:b] - base).tolist(), (p[a:b] - start).tolist(), length[a:b].tolist())], index.seed)
         if sum(t[2] for t in tiles) >= need:
             yield int(row[a]), int(item[a]), tiles
 
@@ -121,17 +156,22 @@ def tilings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """(id_col, item_id, n_item_words, n_tiled, coverage, tiles) of each document and item that reach the threshold; tiles count words from 0."""
     spark = prepare(docs.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("length(text) > 0")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    items = items.groupBy("item_id", "text").agg(F.count("*").alias("times"))  # a row that repeats is sent once
+    size = F.sum(F.octet_length("text")).alias("size")
+    blocks = max(1, math.ceil((items.agg(size).head()[0] or 0) / BLOCK_BYTES))
+    block_of = lambda blocks: F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    while blocks > 1 and not items.groupBy(block_of(blocks)).agg(size, F.count("*").alias("n")).where((F.col("size") > BLOCK_BYTES) & (F.col("n") > 1)).isEmpty():
+        blocks += max(1, blocks // 2)
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, {TILES}"
+    schema = f"`{id_col}` {kind}, {TILES}, times long"
 
     def scan(block: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        shipped = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+        rows = items.where(block_of(blocks) == block).orderBy("item_id", "text").collect()  # BLOCK_BYTES at most, or one item
+        shipped = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows], [r.times for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(*shipped.value, seed)
+            ids, texts, times = shipped.value
+            index = Index(ids, texts, seed)
             for batch in batches:
                 data, off = utf8(batch.column(1))
                 for i, j in pieces(off, PIECE_BYTES):
@@ -140,12 +180,14 @@ def tilings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                         n = [sum(t[2] for t in tiles) for _, _, tiles in found]
                         of = [int(index.size[k]) for _, k, _ in found]
                         spans_ = [[{"doc_word": q, "item_word": p, "n_words": m} for q, p, m in tiles] for _, _, tiles in found]
-                        columns = [batch.column(0).take(pa.array([i + r for r, _, _ in found])), pa.array([index.ids[k] for _, k, _ in found], pa.int64()), pa.array(of, pa.int64()), pa.array(n, pa.int64()), pa.array([a / b for a, b in zip(n, of)], pa.float64()), pa.array(spans_, pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())])))]
-                        yield pa.RecordBatch.from_arrays(columns, names=[id_col, "item_id", "n_item_words", "n_tiled", "coverage", "tiles"])
+                        columns = [batch.column(0).take(pa.array([i + r for r, _, _ in found])), pa.array([index.ids[k] for _, k, _ in found], pa.int64()), pa.array(of, pa.int64()), pa.array(n, pa.int64()), pa.array([a / b for a, b in zip(n, of)], pa.float64()), pa.array(spans_, pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("n_words", pa.int32())]))), pa.array([times[k] for _, k, _ in found], pa.int64())]
+                        yield pa.RecordBatch.from_arrays(columns, names=[id_col, "item_id", "n_item_words", "n_tiled", "coverage", "tiles", "times"])
 
         return docs.select(id_col, text_col).mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, [scan(b) for b in range(blocks)])
+    found = reduce(DataFrame.unionByName, [scan(b) for b in range(blocks)])
+    names = [c for c in found.columns if c != "times"]
+    return found.select(*names, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("again")).select(*names)
 
 
 def op7_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

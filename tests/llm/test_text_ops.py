@@ -2,6 +2,8 @@
 
 import math
 import re
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -263,6 +265,43 @@ def test_op7_tiles_equal_the_definition(doc, item):
     assert (sum(t[2] for t in found[0][2]) if found else 0) == plain_tiles(doc, item, 3)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("ab"), max_size=60), st.lists(st.sampled_from("ab"), min_size=3, max_size=20))
+def test_op7_hits_are_the_maximal_matches(doc, item):
+    index = op7_tiling.Index([1], [" ".join(item)], 3)
+    seen = []
+    old = op7_tiling.tile
+    op7_tiling.tile = lambda matches, seed: seen.extend(matches) or old(matches, seed)
+    try:
+        [*op7_tiling.match_rows(*textscan.utf8(pa.array(["a a a", " ".join(doc)])), op7_tiling.Index([1], [" ".join(item)], 3), 0.0)]
+    finally:
+        op7_tiling.tile = old
+    every = set()
+    for d in (["a"] * 3, doc):
+        for q in range(len(d)):
+            for p in range(len(item)):
+                k = 0
+                while q + k < len(d) and p + k < len(item) and d[q + k] == item[p + k]:
+                    k += 1
+                if k >= 3 and (q == 0 or p == 0 or d[q - 1] != item[p - 1]):
+                    every.add((len(d), q, p, k))
+    assert sorted(seen) == sorted(x[1:] for x in every) or len(doc) == 3
+    assert index.seed == 3
+
+
+def test_op7_one_word_again_and_again():
+    """A long text of one word, and of two in turn: time and memory follow its length, not that times the item's."""
+    index = op7_tiling.Index([1, 2], ["x " * 400, "x y " * 200], 4)
+    for text, n in (("x " * 500_000, 1), ("x y " * 250_000, 1)):
+        start = time.monotonic()
+        tracemalloc.start()
+        found = [*op7_tiling.match_rows(*textscan.utf8(pa.array([text])), index, 0.5)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == n and sum(t[2] for t in found[0][2]) == 400
+        assert time.monotonic() - start < 60 and peak < 600e6
+
+
 def test_op7_finds_reordered_passages(spark):
     item = [f"q{k}" for k in range(30)]
     moved = item[20:] + ["pad"] + item[:10] + ["pad", "pad"] + item[10:20]
@@ -281,6 +320,8 @@ def test_op7_blocks_give_the_same(spark, monkeypatch):
     whole = op7_tiling.tilings(table(spark, rows), bench).count()
     monkeypatch.setattr(op7_tiling, "BLOCK_BYTES", 200)
     assert op7_tiling.tilings(table(spark, rows), bench).count() == whole == 50
+    again = table(spark, rows[:2] * 40 + [(99, "long " * 100)], "item_id long, text string")  # repeated rows are no larger block
+    assert op7_tiling.tilings(table(spark, rows), again).count() == 80
 
 
 def test_op8_equals_the_library(spark):
