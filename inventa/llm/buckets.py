@@ -4,6 +4,10 @@ Documents are spread over buckets by their id (and text, so that equal or null i
 bounded group that every pass meets again in the same order. A bucket sends each hash range of a table ("part") one
 sorted, distinct, difference-coded list, so a hash that a third of all rows share arrives once a bucket, not once a
 row; the part answers with one value for each entry of the list, in its order. No hash travels with its document.
+
+There are as many buckets as the bytes of the texts ask for (BUCKET_BYTES each, so a group of rows in a worker is the
+same size at any input), and a part for each PER_PART of them. A list that would be empty is not sent, so the rows sent
+are as many as buckets times parts and never more than the distinct hashes of all buckets.
 """
 
 from __future__ import annotations
@@ -16,19 +20,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inventa.llm.common import prepare, width
+from inventa.llm.common import prepare
 
 BUCKET, PART = "__bucket", "__part"
+BUCKET_BYTES, PER_PART = 5 << 20, 3
 #: Of a part's lists: `kind` 0 is a question, 1 something that is only passed on to its bucket.
 SENT = f"{PART} int, {BUCKET} int, kind int, n long, keys binary, extra binary"
 ANSWER = f"{BUCKET} int, {PART} int, kind int, reply binary"
 
 
-def spread(docs: DataFrame, id_col: str, text_col: str, per_partition: int = 4) -> tuple[DataFrame, int]:
-    """Documents with their bucket, and how many buckets there are: they follow the session's shuffle partitions, which follow the input."""
-    spark = prepare(docs.sparkSession)
-    n = per_partition * width(spark)
-    return docs.withColumn(BUCKET, F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int")), n
+def spread(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+    """Documents with their bucket, and how many buckets and parts there are."""
+    prepare(docs.sparkSession)
+    n = -(-(docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0) // BUCKET_BYTES) + 1
+    return docs.withColumn(BUCKET, F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int")), n, -(-n // PER_PART)
 
 
 def ordered(group: pa.Table, id_col: str, text_col: str) -> pa.Table:

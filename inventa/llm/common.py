@@ -112,10 +112,5 @@ def meet(rows: DataFrame, few: DataFrame, on: list[str], times: str) -> DataFram
     return out.withColumn(value, F.coalesce(found, value)).select(*[out[c] for c in rows.columns], f"{value}.*")
 
 
-def width(spark: SparkSession) -> int:
-    """Shuffle partitions of the session; every count of buckets follows it, and so the size of the input."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -9,11 +9,11 @@ of the maximal exact repeats of at least `window` words.
 
 Anchors travel as hash lists of buckets (see `buckets`), so no list of pairs is formed and a passage that a third of
 all documents share costs one entry a bucket. An anchor hash that collides only adds windows to compare. Windows are
-told apart by 64-bit hashes within a part.
+told apart by two hashes, of 63 and of 32 bits.
 
 Defined results: a null or empty text has no words. A document with a null id never has the smaller id, so the others
 keep their words. Rows with equal ids keep what they share with each other. Columns of the input named like the
-results are replaced.
+results are replaced; the results' names are parameters. All other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inventa.llm import buckets as B
-from inventa.llm.common import table, tidy
-from inventa.llm.textscan import U, cover, cuts, gram_hash, inside, pack, pack_bits, pack_ints, span_hash, spans, unpack, unpack_bits, unpack_ints, utf8
+from inventa.llm.common import fresh, table, tidy
+from inventa.llm.textscan import M2, U, cover, cuts, gram_hash, inside, mix, pack, pack_bits, pack_ints, span_hash, spans, unpack, unpack_bits, unpack_ints, utf8
 
 WINDOW, BLOCK = 13, 7
 
@@ -51,21 +51,35 @@ class Bucket:
         row = np.searchsorted(self.first, at, "right") - 1
         return (at - self.first[row]) % block == 0
 
-    def windows(self, marked: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the marked starts: places, distinct sorted hashes, which of them each has, smallest id of each. Documents are in order of id, so that is the id of its first place."""
+    def windows(self, marked: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the marked starts: places, the sorted hashes of the distinct windows and a second hash of each, which of them each place has, smallest id of each.
+        Documents are in order of id, so that is the id of its first place."""
         at = np.flatnonzero(marked[: max(self.n - window + 1, 0)] & inside(self.first, self.n, window))
-        h = gram_hash(self.hash, window)[at] >> U(1) if self.n >= window else np.zeros(0, U)
-        distinct, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        return at, distinct, inverse, self.ids[self.row(at[where])]
+        if not len(at):
+            return at, np.zeros(0, U), np.zeros(0, "<u4"), at, self.ids[:0]
+        h, check = gram_hash(self.hash, window)[at] >> U(1), (gram_hash(mix(self.hash + M2), window)[at] >> U(32)).astype("<u4")
+        order, start, which = alike(h, check)
+        first = order[start]
+        inverse = np.empty(len(at), np.int64)
+        inverse[order] = which
+        return at, h[first], check[first], inverse, self.ids[self.row(at[first])]
 
     def row(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
 
 
+def alike(h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by both hashes that leaves equal ones as they are, where each distinct pair starts in it, and the number of the pair at each place of it."""
+    order = np.lexsort((check, h))
+    a, b = h[order], check[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, block: int) -> tuple[DataFrame, DataFrame, int]:
     """Documents in buckets, and the answers about their windows."""
-    docs, n_buckets = B.spread(docs, id_col, text_col)
-    parts = max(1, n_buckets // 2)
+    docs, _, parts = B.spread(docs, id_col, text_col)
     bits = min(63, 34 + max(1, parts).bit_length())
 
     def ask_anchors(group: pa.Table) -> pa.Table:
@@ -107,9 +121,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, block: int
         marks[at[flagged[inverse]]] = True
         # A window that starts up to window - block words before an anchor contains it.
         reach = cover(marks[::-1], b.n, window - block + 1)[::-1]
-        _, distinct, _, least = b.windows(reach, window)
+        _, distinct, check, _, least = b.windows(reach, window)
         bucket = left.column(B.BUCKET)[0].as_py()
-        out = B.split(distinct, 63, parts, bucket, pack, lambda i, j: pack_ints(least[i:j]))
+        out = B.split(distinct, 63, parts, bucket, pack, lambda i, j: check[i:j].tobytes() + pack_ints(least[i:j]))
         return B.rows([*out, (bucket % parts, bucket, 1, b.n, b"", pack_bits(reach))], B.SENT_SCHEMA)
 
     def answer_windows(group: pa.Table) -> pa.Table:
@@ -119,14 +133,14 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, block: int
             if kind:
                 out.append((bucket, part, 1, extra))
             else:
-                asked.append((bucket, unpack(keys), unpack_ints(extra)))
+                h = unpack(keys)
+                asked.append((bucket, h, np.frombuffer(extra, "<u4", len(h)), unpack_ints(extra[4 * len(h) :])))
         if asked:
-            h, least = np.concatenate([x[1] for x in asked]), np.concatenate([x[2] for x in asked])
-            distinct, inverse = np.unique(h, return_inverse=True)
-            lowest = np.full(len(distinct), np.iinfo(np.int64).max)
-            np.minimum.at(lowest, inverse, least)
-            earlier, end = lowest[inverse] < least, 0
-            for bucket, x, _ in asked:
+            h, check, least = (np.concatenate([x[k] for x in asked]) for k in (1, 2, 3))
+            order, start, which = alike(h, check)
+            earlier, end = np.empty(len(h), bool), 0
+            earlier[order] = np.minimum.reduceat(least[order], start)[which] < least[order]
+            for bucket, x, *_ in asked:
                 end += len(x)
                 if earlier[end - len(x) : end].any():
                     out.append((bucket, part, 0, pack_bits(earlier[end - len(x) : end])))
@@ -138,23 +152,24 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int, block: int
     return docs, asked.groupBy(B.PART).applyInArrow(answer_windows, B.ANSWER), parts
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """All columns of `docs`, then `kept_col` (the words that stay, joined by one space), n_words and n_removed."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_col: str = "kept", window: int = WINDOW, block: int = BLOCK, words_col: str = "n_words", removed_col: str = "n_removed") -> DataFrame:
+    """All columns of `docs`, then `kept_col` (the words that stay, joined by one space), `words_col` and `removed_col` (counts of words)."""
     if 2 * block > window + 1:
         raise ValueError("a window must hold an aligned block")
-    fresh = (kept_col, "n_words", "n_removed", B.BUCKET, B.PART)
-    docs = docs.drop(*[c for c in fresh if c in docs.columns])
-    schema = T.StructType([*docs.schema.fields, T.StructField(kept_col, T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    docs = docs.drop(kept_col, words_col, removed_col)
+    ours = {c: fresh(docs, f"{c}_of_the_input")[0] for c in docs.columns if c.lower() in (B.BUCKET, B.PART)}
+    docs = docs.withColumnsRenamed(ours)
+    schema = T.StructType([*docs.schema.fields, T.StructField(kept_col, T.StringType()), T.StructField(words_col, T.LongType()), T.StructField(removed_col, T.LongType())])
     docs, answers, parts = repeats(docs, id_col, text_col, window, block)
 
     def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:  # the answers have no documents without them
-            return left.drop_columns(B.BUCKET).append_column(kept_col, pa.array([], pa.string())).append_column("n_words", pa.array([], pa.int64())).append_column("n_removed", pa.array([], pa.int64()))
+            return left.drop_columns(B.BUCKET).append_column(kept_col, pa.array([], pa.string())).append_column(words_col, pa.array([], pa.int64())).append_column(removed_col, pa.array([], pa.int64()))
         b = Bucket(left, id_col, text_col)
         gone = np.zeros(b.n, bool)
         reach = B.replies(right, 1)
         if reach:
-            at, distinct, inverse, least = b.windows(unpack_bits(reach[0], b.n), window)
+            at, distinct, _, inverse, least = b.windows(unpack_bits(reach[0], b.n), window)
             cut = cuts(distinct, 63, parts)
             earlier = np.zeros(len(distinct), bool)
             for p, kind, reply in zip(right.column(B.PART).to_pylist(), right.column("kind").to_pylist(), right.column("reply").to_pylist()):
@@ -170,12 +185,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(b" ".join([text[s:e] for s, e in zip(b.starts[stay].tolist(), b.ends[stay].tolist())]).decode())
         total = np.concatenate([[0], np.cumsum(gone)])
         out = b.group.drop_columns(B.BUCKET)
-        for name, column in ((kept_col, pa.array(kept, pa.string())), ("n_words", pa.array(np.diff(b.first), pa.int64())), ("n_removed", pa.array(total[b.first[1:]] - total[b.first[:-1]], pa.int64()))):
+        for name, column in ((kept_col, pa.array(kept, pa.string())), (words_col, pa.array(np.diff(b.first), pa.int64())), (removed_col, pa.array(total[b.first[1:]] - total[b.first[:-1]], pa.int64()))):
             out = out.append_column(name, column)
         tidy()
         return out
 
-    return docs.groupBy(B.BUCKET).cogroup(answers.groupBy(B.BUCKET)).applyInArrow(cut_out, schema)
+    return docs.groupBy(B.BUCKET).cogroup(answers.groupBy(B.BUCKET)).applyInArrow(cut_out, schema).withColumnsRenamed({v: k for k, v in ours.items()})
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,8 +60,7 @@ class Grams:
 
 def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = BACKOFF, floor: float = FLOOR) -> DataFrame:
     """(id_col, n_words, log_prob, score): sum of the logarithms and their mean per word, both without rounding."""
-    docs, n_buckets = B.spread(docs.select(id_col, text_col), id_col, text_col)
-    parts = max(1, n_buckets // 2)
+    docs, _, parts = B.spread(docs.select(id_col, text_col), id_col, text_col)
     bits = min(63, 44 + parts.bit_length())
 
     def ask(group: pa.Table) -> pa.Table:

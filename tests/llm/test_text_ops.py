@@ -112,7 +112,10 @@ def passages(seed, n=60):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_op2_equals_brute_force(spark, seed):
+def test_op2_equals_brute_force(spark, seed, monkeypatch):
+    from inventa.llm import buckets
+
+    monkeypatch.setattr(buckets, "BUCKET_BYTES", 10_000)  # several buckets and parts
     rows = passages(seed) + [(None, passages(seed)[0][1]), (5, None), (6, ""), (7, " \n"), (900, "x " * 5000), (901, "x " * 40), (3, "x " * 13)]
     rows += [(10_000 + i, "same " + " ".join(map(str, range(30)))) for i in range(300)]  # one passage in most documents
     df = table(spark, [(i, t, 1, "n") for i, t in rows], "doc_id long, text string, n_words int, kept string")
@@ -120,6 +123,19 @@ def test_op2_equals_brute_force(spark, seed):
     assert out == plain_repeats(rows)
 
 
+def test_op2_names(spark):
+    df = spark.createDataFrame([(1, "a " * 20, -1, -2, -3, "k"), (2, "a " * 20, -4, -5, -6, None)], "doc_id long, text string, n_words int, n_removed int, __bucket int, __part string")
+    out = op2_substrings.remove_repeats(df, kept_col="k", words_col="w", removed_col="r").orderBy("doc_id").collect()
+    assert out[0].__fields__ == [*df.columns, "k", "w", "r"]
+    assert [tuple(r)[2:6] for r in out] == [(-1, -2, -3, "k"), (-4, -5, -6, None)] and [(r.w, r.r) for r in out] == [(20, 0), (20, 20)]
+
+
+def test_op2_collisions_of_the_first_hash(monkeypatch):
+    h, check = np.array([7, 5, 7, 7], np.uint64), np.array([1, 1, 0, 1], "<u4")
+    order, start, which = op2_substrings.alike(h, check)
+    assert order.tolist() == [1, 2, 0, 3] and start.tolist() == [0, 1, 2] and which.tolist() == [0, 1, 2, 2]
+
+
 def test_op2_empty(spark):
     assert op2_substrings.remove_repeats(table(spark, [])).count() == 0
 
@@ -193,7 +209,10 @@ def plain_backoff(rows, order=3, alpha=0.4, floor=0.5):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_op5_equals_brute_force(spark, seed):
+def test_op5_equals_brute_force(spark, seed, monkeypatch):
+    from inventa.llm import buckets
+
+    monkeypatch.setattr(buckets, "BUCKET_BYTES", 1000)
     rows = passages(seed, 40) + [(None, "a b c"), (None, None), (4, ""), (99, "the the the the"), (99, "the the the the")]
     out = sorted([(r.doc_id, r.n_words, round(r.log_prob, 6)) for r in op5_backoff.backoff_scores(table(spark, rows)).collect()], key=str)
     assert out == plain_backoff(rows)
