@@ -10,35 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inventa.llm import op1_bpe, op2_substrings, op6_toxicity, op7_tiling, op9_simhash
-from inventa.llm.common import keep, prepare, table
+from inventa.llm.common import fresh, keep, prepare, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model of the labelled ones calls toxic go (score of 0.5 or more)."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~op6_toxicity.held_out())
-    fresh = "__toxicity"
-    scored = op6_toxicity.score(docs, op6_toxicity.fit(docs, labels), out_col=fresh)
-    return scored.where(F.col(fresh) < 0.5).select(*docs.columns)
+    (score,) = fresh(docs, "__toxicity")
+    scored = op6_toxicity.score(docs, op6_toxicity.fit(docs, labels), out_col=score)
+    return scored.where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest id stays. Of rows with one id and class, all stay or none; a null id stays."""
-    gone = op9_simhash.near_duplicates(docs).where("class_id <> id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
+    gone = op9_simhash.near_duplicates(docs).where("class_id <> id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows that an earlier document has are cut out. A text that loses nothing stays as it is, one that loses all its words goes."""
-    kept = op2_substrings.remove_repeats(docs, kept_col="__kept")
-    text = F.when(F.col("n_removed") > 0, F.col("__kept")).otherwise(F.col("text"))
-    kept = kept.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
+    rest, words, removed = fresh(docs, "__kept", "__words", "__removed")
+    kept = op2_substrings.remove_repeats(docs, kept_col=rest, words_col=words, removed_col=removed)
+    text = F.when(F.col(removed) > 0, F.col(rest)).otherwise(F.col("text"))
+    kept = kept.where((F.col(removed) == 0) | (F.col(removed) < F.col(words))).withColumn("text", text)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark, also in another order, go."""
-    leaks = op7_tiling.tilings(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["__leak"], "left_anti").select(*docs.columns)
+    leaks = op7_tiling.tilings(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
