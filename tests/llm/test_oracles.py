@@ -51,12 +51,16 @@ def test_pipeline(spark, small):
 
 
 def test_pipeline_on_odd_rows(spark, small, tmp_path):
-    rows = [(1, None, None, None, None, 1), (2, "", "en", "s", 0, 1), (None, "a b c", "en", None, 5, 1), (3, "x y z", None, "s", None, 1), (3, "x y z", None, "s", None, 2), (4, "w " * 20_000, "en", "s", 40_000, 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int")
+    names = ["score", "n_words", "n_removed", "kept", "ids", "offsets", "decoded", "class_id", "id", "t", "item_id", "tiles", "times", "features", "label", "s0", "key", "root", "__bucket", "__part", "__kept", "__toxicity"]
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c", "en", None, 5), (3, "x y z", None, "s", None), (3, "x y z", None, "s", None), (4, "w " * 20_000, "en", "s", 40_000)]
+    rows += [(7, " ".join(f"p{k}" for k in range(40)) + " a b", "en", "s", 1), (8, "c d " + " ".join(f"p{k}" for k in range(40)) + " e f" * 20, "en", "s", 2)]  # the second loses words
+    df = spark.createDataFrame([(*r, *(-(100 * i + k) for k in range(len(names)))) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    extra = lambda d: sorted(tuple(r[n] for n in names) for r in d.collect())
     for n in ("labels", "benchmark"):
         spark.read.parquet(f"{small}/{n}.parquet").write.parquet(str(tmp_path / f"{n}.parquet"))
-    for d, count in ((df, 6), (df.limit(0), 0)):
+    for d, count in ((df, 8), (df.limit(0), 0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            d = stage(spark, d, str(tmp_path))
+            d = stage(spark, d, str(tmp_path)).cache()
             assert d.columns == df.columns
+        assert extra(d) == (extra(df) if count else [])
         assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).where(F.col("ids").isNotNull()).count() == count
