@@ -112,5 +112,11 @@ def meet(rows: DataFrame, few: DataFrame, on: list[str], times: str) -> DataFram
     return out.withColumn(value, F.coalesce(found, value)).select(*[out[c] for c in rows.columns], f"{value}.*")
 
 
+def parallel(df: DataFrame) -> DataFrame:
+    """`df`, a scan, with a task for each core at least: a small table may be one split, and a map over it one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inventa.llm.common import prepare, table
+from inventa.llm.common import parallel, prepare, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/a-zA-Z!?][^>]*(?:>|\Z)""", re.S)
 #: Name and value of each attribute, one after the other, so that nothing inside a value or a longer name is taken for one.
@@ -454,5 +454,5 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", "html")
+    pages = parallel(table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", "html"))
     return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inventa.llm.common import prepare, table, tidy
+from inventa.llm.common import parallel, prepare, table, tidy
 from inventa.llm.pretokens import class_table, pretokens
 from inventa.llm.textscan import pieces, utf8
 
@@ -93,10 +94,10 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """One per worker process: ranks, token lengths and the cache of merged slices."""
+    """One per worker process: ranks, token lengths and the cache of merged slices. table: the class of each code point."""
 
-    def __init__(self, path: str):
-        self.ranks = load_ranks(path)
+    def __init__(self, path: str, table: np.ndarray | None = None):
+        self.ranks, self.table = load_ranks(path), classes() if table is None else table
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             self.tokens[i] = token
@@ -115,7 +116,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> Iterator[bytes]:
         """Ids of each row as little-endian unsigned 32-bit integers."""
-        cut, first = pretokens(data, off, classes())
+        cut, first = pretokens(data, off, self.table)
         raw, cut, get = data.tobytes(), cut.tolist(), self.cache.get
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             out = []
@@ -138,20 +139,26 @@ class Encoder:
         return self.flat[shift + np.arange(len(shift))].tobytes()
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+#: Encoders of this worker by file; one that is used again keeps its cache.
+WORKER: dict[str, Encoder] = {}
+
+
+def encoder(path: str, table: bytes) -> Encoder:
+    if path not in WORKER:
+        WORKER.clear()
+        WORKER[path] = Encoder(path, np.frombuffer(zlib.decompress(table), np.uint8))
+    return WORKER[path]
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", offsets_col: str = "offsets") -> DataFrame:
     """All columns of `df`, then `ids_col` and `offsets_col`: ids and starting bytes of the tokens, both little-endian
     unsigned 32-bit integers in a binary column. Columns of `df` with these two names are replaced."""
-    prepare(df.sparkSession)
+    shipped = prepare(df.sparkSession).sparkContext.broadcast(zlib.compress(classes().tobytes()))  # some KB: the library is asked once, here
     kept = [c for c in df.columns if c not in (ids_col, offsets_col)]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(ids_col, T.BinaryType()), T.StructField(offsets_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, shipped.value)
         for batch in batches:
             data, off = utf8(batch.column(text_col))
             for i, j in pieces(off, PIECE_BYTES):
@@ -167,12 +174,12 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 def decode(df: DataFrame, path: str, ids_col: str = "ids", offsets_col: str = "offsets", out_col: str = "decoded") -> DataFrame:
     """All columns of `df` but the offsets, and `out_col`: the bytes of the tokens. The ids may be any range of tokens of
     a text, with the offsets of that range. Null ids give null."""
-    prepare(df.sparkSession)
+    shipped = prepare(df.sparkSession).sparkContext.broadcast(zlib.compress(classes().tobytes()))
     kept = [c for c in df.columns if c not in (out_col, offsets_col)]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, shipped.value)
         for batch in batches:
             ids, starts = batch.column(ids_col), batch.column(offsets_col)
             out = [None if a.as_py() is None else enc.decode(np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")) for a, b in zip(ids, starts)]
@@ -184,7 +191,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", offsets_col: str = "o
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = parallel(table(spark, sf_dir, "documents").select("doc_id", "text"))
     coded = decode(encode(docs, path).drop("text"), path)
     return coded.select(
         F.col("doc_id").cast("long"),

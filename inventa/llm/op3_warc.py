@@ -1,8 +1,8 @@
 """WARC archives with revisit records.
 
 Headers (id, payload digest, payload length) are shuffled by digest; the original of each digest is found by an
-aggregate that combines before the shuffle, and headers are joined to it, spread over SALTS copies of each original so
-that a digest shared by a third of all pages is no hot key. Then every task writes its own archive: a response with
+aggregate that combines before the shuffle, and headers are joined to it, those of digests that many pages share by a
+broadcast (`common.meet`), so that a digest of a third of all pages is no hot key. Then every task writes its own archive: a response with
 its payload for an original, a revisit without payload for the others, all with fresh headers; each record is a gzip
 member of its own. The list of written files is kept in the shared folder before anything is read, so a task that runs
 twice leaves a file that nobody reads.
@@ -27,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inventa.llm.common import prepare, table, work_path
+from inventa.llm.common import keep, meet, prepare, table, work_path
 
-SALTS, FILE_BYTES = 8, 256 << 20
+FILE_BYTES = 256 << 20
 MANIFEST = "path string, n_records long"
 RECORD = "record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers_to string, date string, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -45,14 +45,14 @@ def digests(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumns({"digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
 
 
-def resolve(headers: DataFrame, least: int = 0, salts: int = SALTS) -> DataFrame:
+def resolve(headers: DataFrame, least: int = 0) -> DataFrame:
     """Headers (page_id, digest, payload_bytes) that revisit another, with `refers_to` and the original's url, one row for each id and digest."""
     lowest = F.lit(-(1 << 63))
     known = headers.where(F.col("payload_bytes") >= least).select("page_id", "url", "digest").withColumn("rank", F.coalesce("page_id", lowest))
     first = known.groupBy("digest").agg(F.max(F.struct("rank", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("digest", F.col("first.rank").alias("first"), F.col("first.url").alias("refers_url"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = known.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
-    return salted.join(first, ["digest", "salt"]).where("rank < first").select("rank", "digest", F.col("first").alias("refers_to"), "refers_url").distinct()
+    first = keep(first.select("digest", F.col("first.rank").alias("first"), F.col("first.url").alias("refers_url"), "n"), "originals")
+    met = meet(known.select("rank", "digest"), first, ["digest"], "n")
+    return met.where("rank < first").select("rank", "digest", F.col("first").alias("refers_to"), "refers_url").distinct()
 
 
 def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:

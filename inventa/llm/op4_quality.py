@@ -11,7 +11,8 @@ further correction, and any accepted candidate may be taken). The gain of a cand
 whose gain is within SLACK of the best, none if that is below SLACK. A stratum that
 has too few labels to prove anything rejects nothing.
 
-Only counts on the grid leave the executors: strata times signals times grid points, whatever the input.
+Only counts on the grid leave the executors: strata times signals times grid points, whatever the input. There may be
+STRATA strata at most; the table of cutoffs that every document meets has a row for each.
 
 Defined results: a null or empty text has no words and fails the base rules. A null stratum is a stratum. Labels that
 are null or that repeat for a document count once for each row with quality 1; documents without a label don't count.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inventa.llm.common import keep, prepare, table
+from inventa.llm.common import keep, parallel, prepare, table
 from inventa.llm.textscan import SPACE, U, cover, gram_hash, inside, mix, pieces, span_hash, spans, utf8
 
-REPEAT, ALPHA, DELTA, PRICE, SLACK, GRID = 8, 0.05, 0.05, 5.0, 0.02, 40
+REPEAT, ALPHA, DELTA, PRICE, SLACK, GRID, STRATA = 8, 0.05, 0.05, 5.0, 0.02, 40, 10_000
 PIECE_BYTES = 2 << 20
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[*b"#*$%&|<>"]] = True
@@ -158,6 +160,9 @@ def cutoffs(found: list[tuple], grids: dict[str, list[float]], alpha: float = AL
 def learn(measured: DataFrame, labels: DataFrame, stratum_col: str, id_col: str = "doc_id", label_col: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple, float]:
     """Cutoffs from all labelled rows; what comes to the driver are counts by stratum, signal and grid point."""
     sig = signals()
+    strata = measured.select(stratum_col).distinct().limit(STRATA + 1).count()
+    if strata > STRATA:
+        raise ValueError(f"{stratum_col} has more than {STRATA} values")
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), (F.col(label_col) == 1).alias("__good"))
     held = measured.join(known, F.col(id_col) == F.col("__id"))
     passed = lambda v, grid: F.size(F.filter(F.array(*map(F.lit, grid)), lambda c: v > c))
@@ -174,12 +179,13 @@ def learn(measured: DataFrame, labels: DataFrame, stratum_col: str, id_col: str
 
 def verdict(measured: DataFrame, chosen: dict[tuple, float], stratum_col: str) -> DataFrame:
     """Adds base_failed and kept."""
-    bad = F.lit(False)
-    for name, (s, _) in signals().items():
-        for stratum, cut in ((st, c) for (st, n), c in chosen.items() if n == name):
-            bad = bad | (F.col(stratum_col).eqNullSafe(F.lit(stratum)) & (s > F.lit(cut)))
+    sig = signals()
+    held = sorted({st for st, _ in chosen}, key=lambda x: (x is not None, x))
+    cuts = measured.sparkSession.createDataFrame([(st, *(chosen.get((st, name)) for name in sig)) for st in held], ", ".join(["__stratum string", *(f"__{name} double" for name in sig)]))
+    met = measured.join(F.broadcast(cuts), F.col(stratum_col).eqNullSafe(F.col("__stratum")), "left")  # STRATA rows at most
+    bad = reduce(Column.__or__, [F.coalesce(v > F.col(f"__{name}"), F.lit(False)) for name, (v, _) in sig.items()])
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return measured.withColumn("base_failed", base).withColumn("kept", ~base & ~bad)
+    return met.withColumn("base_failed", base).withColumn("kept", ~base & ~bad).drop(*cuts.columns)
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -189,6 +195,6 @@ def filter_quality(docs: DataFrame, labels: DataFrame, stratum_col: str = "lang"
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "lang", "text")
+    docs = parallel(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "lang", "text"))
     out = filter_quality(docs, table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -2,8 +2,8 @@
 
 Features of a text are its distinct hashed word unigrams, bigrams and skip-grams (one and two words between), words in
 lower case with ASCII signs taken off. They are made on the executors; what is gathered for training are the hashed
-features of a bounded sample of labelled rows (TRAIN_ROWS and TRAIN_FEATURES), drawn by a hash of the id, of both
-classes in the proportion they have. FTRL keeps per-coordinate rates; its L1 term leaves few weights other than zero,
+features of a bounded sample of labelled rows: the first in the order of a hash of the id, of both classes in the
+proportion they have, as long as they are no more than TRAIN_ROWS rows and TRAIN_FEATURES features together. FTRL keeps per-coordinate rates; its L1 term leaves few weights other than zero,
 and those go back to the executors as two short arrays. Labels, language, source and id are no features.
 
 Defined results: a null or empty text has no features and gets the score of the bias. A label that is null is no
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inventa.llm.common import prepare, table, tidy
+from inventa.llm.common import keep, parallel, prepare, table, tidy
 from inventa.llm.textscan import M3, U, mix, pieces, span_hash, spans, utf8
 
 BITS, SKIPS = 22, 2
@@ -118,14 +118,14 @@ def gather(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, rows
         return []
     chosen = known.orderBy(F.xxhash64("__id"), "__id", "__y").limit(rows)
     texts = docs.select(F.col(id_col).alias("__id"), "text").join(F.broadcast(chosen), "__id")  # `rows` ids at most
-    few = featurise(texts, "text").repartition(8, "__id")  # one job makes them all; then some rows at a time come to the driver
-    found, out, spent = few.toLocalIterator(), [], 0
-    for r in found:
-        f = np.frombuffer(bytes(r.features), np.uint32)
-        if spent + len(f) > TRAIN_FEATURES:
-            continue
-        spent += len(f)
-        out.append((r["__id"], r["__y"], f))
+    few = keep(featurise(texts, "text"), "features").select("__id", "__y", "features", F.xxhash64("__id").alias("h"), F.xxhash64("features").alias("f"), (F.octet_length("features") / 4).cast("int").alias("n"))
+    room, taken = TRAIN_FEATURES, set()
+    for r in few.select("h", "__id", "__y", "f", "n").orderBy("h", "__id", "__y", "f").limit(2 * rows).toLocalIterator():
+        room -= r.n
+        if room < 0 or len(taken) == rows:
+            break
+        taken.add((r["__id"], r["__y"], r.f))
+    out = [(r["__id"], r["__y"], np.frombuffer(bytes(r.features), np.uint32)) for r in few.select("__id", "__y", "f", "features").toLocalIterator() if (r["__id"], r["__y"], r.f) in taken]
     out.sort(key=lambda x: (x[0], x[1], x[2].tobytes()))
     for k, (_, y, f) in enumerate(out):
         out[k] = f, y
@@ -170,7 +170,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    docs = parallel(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out())
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inventa.llm.common import prepare, table
+from inventa.llm.common import parallel, prepare, table
 from inventa.llm.op6_toxicity import BREAK, FOLD
 from inventa.llm.textscan import M3, U, gram_hash, inside, pieces, span_hash, spans, utf8
 
@@ -191,6 +191,6 @@ def tilings(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def op7_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    docs = parallel(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
     out = tilings(docs, table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", "n_item_words", "n_tiled", F.round("coverage", 6).alias("coverage"), F.size("tiles").alias("n_tiles"))

@@ -4,6 +4,7 @@ import math
 import re
 import time
 import tracemalloc
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from inventa.llm import op1_bpe, op2_substrings, op4_quality, op5_backoff, op6_toxicity, op7_tiling, op8_tokens, op9_simhash, textscan
 from inventa.llm.pretokens import scan, step
@@ -21,6 +23,9 @@ ODD = ["", " ", "\n", "one", "it's  'll\n\nwe 've\t x", "a" * 3000, "é漢字 ١
 TEXTS = st.text(alphabet=list("ab1 \n\t'srevlmdt.,é漢 　٣\U0001F600́"), max_size=60)
 
 
+CLASSES = zlib.compress(op1_bpe.classes().tobytes())
+
+
 def words(text):
     return WORD.findall(text or "")
 
@@ -37,7 +42,7 @@ def tiktoken_reference():
 
 
 def encode_one(text):
-    enc = op1_bpe.encoder(op1_bpe.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    enc = op1_bpe.encoder(op1_bpe.tokenizer_path("byte_bpe_multi_50k.tiktoken"), CLASSES)
     return enc, np.frombuffer(next(enc.encode(*textscan.utf8(pa.array([text])))), "<u4")
 
 
@@ -185,6 +190,44 @@ def test_op4_risk_and_power(spark):
     assert out[20_000].kept and out[20_001].base_failed and not out[20_002].kept
 
 
+def test_op4_chooses_as_its_sql_does(spark, tmp_path, same):
+    """Enough labels that cutoffs are chosen in two strata and none in the third."""
+    import duckdb
+
+    from inventa.llm import oracles
+
+    rng, rows, labels = np.random.default_rng(2), [], []
+    for i in range(9000):
+        lang = ["en", None, "xx"][int(rng.integers(0, 9) // 4)]
+        bad = i % 3 == 0
+        ws = [f"w{rng.integers(0, 500)}x{k}" for k in range(30)]
+        if bad:
+            how = int(rng.integers(0, 3))
+            for k in range(0, 30, 2):
+                ws[k] = [f"${k}%%", f"averyverylongword{k}thatneverends", f"{k % 7}"][how]
+        rows.append((i, " ".join(ws) + ("\nx y\nx y" if bad and i % 2 else ""), lang))
+        if lang != "xx":
+            labels.append((i, int(not bad), 0))
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{folder}/labels.parquet")
+    con = duckdb.connect()
+    for n in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {n} AS SELECT * FROM '{folder}/{n}.parquet/*.parquet'")
+    out = op4_quality.op4_quality(spark, folder)
+    same(out, con.sql(oracles.OP4))
+    gone = {r.doc_id for r in out.where("not base_failed and not kept").collect()}
+    lang = {i: x for i, _, x in rows}
+    assert {lang[i] for i in gone} == {"en", None} and sum(i % 3 == 0 for i in gone) > 0.95 * len(gone) > 100
+
+
+def test_op4_bounds_its_strata(spark, monkeypatch):
+    monkeypatch.setattr(op4_quality, "STRATA", 2)
+    df = table(spark, [(i, str(i), "a b") for i in range(3)], "doc_id long, lang string, text string")
+    with pytest.raises(ValueError, match="more than 2"):
+        op4_quality.filter_quality(df, table(spark, [(1, 1)], "doc_id long, quality int"))
+
+
 def plain_backoff(rows, order=3, alpha=0.4, floor=0.5):
     import math
 
@@ -244,6 +287,61 @@ def test_op6_learns_words_and_pairs(spark):
     assert {r.score for r in op6_toxicity.score(df.limit(3), none).collect()} == {round(1 / (1 + np.exp(35.0)), 9)}
 
 
+def plain_ftrl(examples, epochs, rate, beta, l1, l2, least, seed=11):
+    """FTRL-proximal as it is published, one coordinate after the other in dictionaries."""
+    times = Counter(i for f, _ in examples for i in f)
+    examples = [([i for i in f if times[i] >= least], y) for f, y in examples]
+    z, n, order = {}, {}, np.random.default_rng(seed)
+
+    def weight(i):
+        bound = 0.0 if i == "bias" else l1
+        if abs(z.get(i, 0.0)) <= bound:
+            return 0.0
+        return -(z[i] - math.copysign(bound, z[i])) / ((beta + math.sqrt(n.get(i, 0.0))) / rate + l2)
+
+    for _ in range(epochs):
+        for k in order.permutation(len(examples)):
+            f, y = examples[k]
+            w = {i: weight(i) for i in [*f, "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, x in w.items():
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / rate * x
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_op6_training_equals_plain_ftrl(seed):
+    rng = np.random.default_rng(seed)
+    examples = [(np.unique(rng.integers(0, 40, 12)).astype(np.uint32), int(rng.random() < 0.3)) for _ in range(120)]
+    examples = [(np.union1d(f, [50]).astype(np.uint32) if y else f, y) for f, y in examples]
+    plain = plain_ftrl([(f.tolist(), y) for f, y in examples], 4, 0.5, 1.0, 2.0, 1.0, op6_toxicity.LEAST_ROWS)
+    numbers, values, bias = op6_toxicity.train([*examples], bits=6, epochs=4, rate=0.5, l1=2.0)
+    got = dict(zip(numbers.tolist(), values.tolist())) | {"bias": bias}
+    assert set(got) == set(plain) and 50 in got
+    assert all(abs(got[i] - plain[i]) < 1e-3 for i in got)
+
+
+def test_op6_sample_is_the_first_by_hash(spark, monkeypatch):
+    """Rows and features are both bounded by one order, whatever their lengths."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(1 + i % 9))) for i in range(60)] + [(3, "again a b c")]
+    df, lab = table(spark, rows), table(spark, [(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    ranked = [r.doc_id for r in lab.orderBy(F.xxhash64("doc_id")).collect()]
+    every = {}
+    for i, t in rows:
+        every.setdefault(i, []).append(op6_toxicity.features(*textscan.utf8(pa.array([t])))[0])
+    monkeypatch.setattr(op6_toxicity, "TRAIN_FEATURES", 200)
+    got, room, want = op6_toxicity.gather(df, lab, "doc_id", "toxic", 40), 200, []
+    for i in ranked[:40]:
+        for f in every[i]:
+            room -= len(f)
+            want += [(i, f)] if room >= 0 else []
+    assert 5 < len(want) < 40 and abs(len(got) - len(want)) <= 1
+    monkeypatch.setattr(op6_toxicity, "TRAIN_FEATURES", 10**6)
+    got = op6_toxicity.gather(df, lab, "doc_id", "toxic", 40)
+    assert sorted((tuple(f.tolist()), y) for f, y in got) == sorted((tuple(f.tolist()), i % 2) for i in ranked[:40] for f in every[i])[: len(got)] and len(got) == 40
+
+
 def test_op6_pruned_features_score_alike():
     data, off = textscan.utf8(pa.array(["a b c a b", "", "x. Y z"]))
     f, at = op6_toxicity.features(data, off)
