@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inventa.llm.common import prepare, table
+from inventa.llm.common import parallel, prepare, table
 from inventa.llm.op1_bpe import tokenizer_path
 from inventa.llm.pretokens import class_table, pretokens
 from inventa.llm.textscan import M1, M3, MASKS, U, mix, pieces, utf8
@@ -128,8 +129,9 @@ def segments(data: np.ndarray, off: np.ndarray, marks: tuple[bytes, ...]) -> tup
 
 
 class Counter8:
-    def __init__(self, path: str, known: Table):
+    def __init__(self, path: str, known: Table, table: np.ndarray | None = None):
         self.path, self.known, self.cache, self.lib = path, known, {}, library(path)
+        self.table = classes() if table is None else table
 
     def misses(self, slices: list[bytes]) -> None:
         new = [*{s for s in slices if s not in self.cache}]
@@ -141,7 +143,7 @@ class Counter8:
 
     def count(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         text, cuts, row, found = segments(data, off, specials(self.path))
-        cut, first = pretokens(text, cuts, classes())
+        cut, first = pretokens(text, cuts, self.table)
         start, n = cut[:-1], np.diff(cut)
         lanes = np.ndarray((len(text) + 9,), "<u8", buffer=np.concatenate([text, np.zeros(16, np.uint8)]), strides=(1,))
         a = lanes[start] & MASKS[np.minimum(n, 8)]
@@ -165,19 +167,30 @@ class Counter8:
 WORKER: dict[tuple, Counter8] = {}
 
 
+def counter(path: str, name: str, known: dict[bytes, int], table: bytes) -> Counter8:
+    """The worker's counter. Tasks call it by the module's name, so that all of a worker see one WORKER."""
+    key = (path, name)
+    if key not in WORKER:
+        WORKER.clear()
+        WORKER[key] = Counter8(path, Table(known), np.frombuffer(zlib.decompress(table), np.uint8))
+    return WORKER[key]
+
+
 def frequent(df: DataFrame, path: str, text_col: str, rows: int = SAMPLE_ROWS, keys: int = TABLE_KEYS, seed: int = 7) -> dict[bytes, int]:
     """Token counts of the most frequent short pre-tokens of about `rows` sampled rows; `keys` at most."""
     total = df.count()
     share = min(1.0, rows / max(total, 1))
     schema = "piece binary, times long"
+    shipped = df.sparkSession.sparkContext.broadcast(zlib.compress(classes().tobytes()))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of = np.frombuffer(zlib.decompress(shipped.value), np.uint8)
         for batch in batches:
             data, off = utf8(batch.column(0))
             seen: Counter = Counter()
             for i, j in pieces(off, PIECE_BYTES):
                 text, cuts, _, _ = segments(data[off[i] : off[j]], off[i : j + 1] - off[i], specials(path))
-                cut = pretokens(text, cuts, classes())[0].tolist()
+                cut = pretokens(text, cuts, class_of)[0].tolist()
                 raw = text.tobytes()
                 seen.update(raw[s:e] for s, e in zip(cut, cut[1:]) if e - s <= 16)
             yield pa.RecordBatch.from_arrays([pa.array([*seen], pa.binary()), pa.array([*seen.values()], pa.int64())], names=["piece", "times"])
@@ -195,18 +208,14 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", out_col: str
         raise ValueError("a tokenizers .json file is asked for")
     spark = prepare(df.sparkSession)
     kept = [c for c in df.columns if c != out_col]
-    shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, frequent(df, path, text_col)))
+    shipped = spark.sparkContext.broadcast((uuid.uuid4().hex, frequent(df, path, text_col), zlib.compress(classes().tobytes())))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out_col, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, known = shipped.value
-        key = (path, name)
-        if key not in WORKER:
-            WORKER.clear()
-            WORKER[key] = Counter8(path, Table(known))
+        own = counter(path, *shipped.value)
         for batch in batches:
             data, off = utf8(batch.column(text_col))
-            n = [WORKER[key].count(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in pieces(off, PIECE_BYTES)]
+            n = [own.count(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in pieces(off, PIECE_BYTES)]
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(n, pa.int64())], names=schema.names)
 
@@ -214,6 +223,6 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", out_col: str
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str, limit: int = 512) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = parallel(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     counted = count_tokens(docs, tokenizer_path("byte_bpe_50k.json"))
     return counted.select(F.col("doc_id").cast("long"), F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
