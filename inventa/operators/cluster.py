@@ -14,22 +14,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inventa.functions.scalars import HUES
 
 def leaders(points: np.ndarray, tolerance: float, distance: Callable[[np.ndarray, np.ndarray], np.ndarray], nearest: bool = True, eligible: Callable[[np.ndarray, int], np.ndarray] | None = None) -> np.ndarray:
     """Row of each point in order: the nearest (or else the first) leader within the tolerance, or a new row whose leader it is for good."""
-    rows, heads = np.empty(len(points), np.int64), []
+    rows, heads, n = np.empty(len(points), np.int64), np.empty(len(points), np.int64), 0
+    led = np.empty_like(points)  # the leaders' points, side by side
     for i, p in enumerate(points):
-        if heads:
-            h = np.array(heads)
-            d = distance(points[h], p)
+        if n:
+            d = distance(led[:n], p)
             if eligible is not None:
-                d = np.where(eligible(h, i), d, np.inf)
+                d = np.where(eligible(heads[:n], i), d, np.inf)
             j = int(np.argmin(d)) if nearest else int(np.argmax(d <= tolerance))
             if d[j] <= tolerance:
                 rows[i] = j
                 continue
-        heads.append(i)
-        rows[i] = len(heads) - 1
+        heads[n], led[n], rows[i] = i, p, n
+        n += 1
     return rows
 
 
@@ -75,15 +76,25 @@ def leader_clusters_bits(df: DataFrame, group: str, order: str, bits: str, toler
     return df.select(group, order, F.col(bits).cast("long").alias(bits)).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, row_id long")
 
 
+def farthest(x: np.ndarray, block: int = 512) -> tuple[int, int]:
+    """The first pair of largest distance, by products of blocks: no more than `block` rows of distances are held."""
+    square, best = (x * x).sum(1), (-1.0, 0, 0)
+    for k in range(0, len(x), block):
+        d = square[k : k + block, None] + square - 2 * (x[k : k + block] @ x.T)
+        at = int(np.argmax(d))
+        if d.ravel()[at] > best[0] + 1e-12:
+            best = float(d.ravel()[at]), k + at // len(x), at % len(x)
+    return best[1], best[2]
+
+
 def two_means(x: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Halves of unit vectors, seeded by the farthest pair, and the distance of their centres."""
     if len(x) < 2:
         return np.zeros(len(x), np.int64), 0.0
-    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
-    i, j = np.unravel_index(int(np.argmax(d)), d.shape)
+    i, j = farthest(x)
     centres, side = np.stack([x[i], x[j]]), None
     for _ in range(rounds):
-        new = np.argmin(((x[:, None] - centres[None]) ** 2).sum(2), 1)
+        new = np.argmin(np.stack([((x - c) ** 2).sum(1) for c in centres], 1), 1)
         if side is not None and (new == side).all():
             break
         side = new
@@ -122,22 +133,43 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 40) ->
     raise RuntimeError("components did not settle")
 
 
-def fold_small(sizes: list[int], centres: list[float], compound: list[bool], least: int = 2) -> list[int]:
-    """Cluster of each cluster after small compound ones, from right to left, joined their nearer neighbour (the one before on ties)."""
-    gap = lambda p, q: min(abs(p - q) % 360, 360 - abs(p - q) % 360)
-    live = [[i] for i in range(len(sizes))]
-    sizes, centres, compound = [*sizes], [*centres], [*compound]
+def fold_small(clusters: list[dict], least: int = 2) -> list[dict]:
+    """Clusters in order of hue after small ones with compound names, from right to left, went to the nearer neighbour (the
+    one before on ties). A cluster has n, low, high (unrolled hues), weight, moment and members; there is no wrap-around,
+    since the circle was cut where it is emptiest."""
+    live = [dict(c) for c in clusters]
+    for c in live:
+        c["centre"] = c["moment"] / c["weight"] % 360
     for i in range(len(live) - 1, -1, -1):
-        if len(live) > 1 and compound[i] and sizes[i] < least:
-            before, after = (i - 1) % len(live), (i + 1) % len(live)
-            to = before if gap(centres[i], centres[before]) <= gap(centres[i], centres[after]) else after
-            n = sizes[to] + sizes[i]
-            centres[to] = (centres[to] * sizes[to] + centres[i] * sizes[i]) / n
-            sizes[to], live[to] = n, live[to] + live[i]
-            for x in (sizes, centres, compound, live):
-                del x[i]
-    out = [0] * sum(map(len, live))
-    for k, members in enumerate(live):
-        for m in members:
-            out[m] = k
-    return out
+        if len(live) < 2 or live[i]["n"] >= least or "-" not in name_of_hue(live[i]["centre"]):
+            continue
+        before = live[i]["low"] - live[i - 1]["high"] if i else np.inf
+        after = live[i + 1]["low"] - live[i]["high"] if i + 1 < len(live) else np.inf
+        to = live[i - 1 if before <= after else i + 1]
+        for k in ("n", "weight", "moment", "members"):
+            to[k] = to[k] + live[i][k]
+        to["low"], to["high"] = min(to["low"], live[i]["low"]), max(to["high"], live[i]["high"])
+        to["centre"] = to["moment"] / to["weight"] % 360
+        del live[i]
+    return live
+
+
+def name_of_hue(h: float) -> str:
+    """scalars.hue_name of one value."""
+    near = sorted((min(abs(h - v) % 360, 360 - abs(h - v) % 360), i) for i, (_, v) in enumerate(HUES))[:2]
+    if near[0][0] <= 18:
+        return HUES[near[0][1]][0]
+    low, high = sorted(i for _, i in near)
+    low, high = (high, low) if (low, high) == (0, len(HUES) - 1) else (low, high)
+    return f"{HUES[low][0]}-{HUES[high][0]}"
+
+
+def folded_clusters(per: DataFrame, doc: str) -> DataFrame:
+    """(doc, cluster, family, centre) of clusters (doc, cluster, n, low, high, weight, moment) after folding; clusters of one name are one family, whose order is its least centre."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [{**r, "members": [r["cluster"]]} for r in pdf.sort_values("cluster").to_dict("records")]
+        out = [(m, name_of_hue(c["centre"]), c["centre"]) for c in fold_small(rows) for m in c["members"]]
+        return pd.DataFrame({doc: pdf[doc].iloc[0], "cluster": [m for m, _, _ in out], "family": [f for _, f, _ in out], "centre": [x for _, _, x in out]})
+
+    kind = per.schema[doc].dataType.simpleString()
+    return per.groupBy(doc).applyInPandas(run, f"{doc} {kind}, cluster long, family string, centre double")

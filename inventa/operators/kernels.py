@@ -204,6 +204,21 @@ def grid_distance(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fb: np.ndarray,
     return best
 
 
+@F.pandas_udf(T.DoubleType())
+def _grid_gap(a: pd.Series, b: pd.Series, fa: pd.Series, fb: pd.Series) -> pd.Series:
+    def one(x, y, p, q) -> float | None:
+        n = round(len(x) ** 0.5)
+        d = grid_distance(np.asarray(x, float).reshape(n, n, -1), np.asarray(y, float).reshape(n, n, -1), np.asarray(p, bool).reshape(n, n), np.asarray(q, bool).reshape(n, n))
+        return None if np.isinf(d) else d
+
+    return pd.Series([one(*v) for v in zip(a, b, fa, fb)], dtype="float64")
+
+
+def grid_gap(a: str, b: str, fa: str, fb: str) -> Column:
+    """grid_distance of square grids in array columns; null where nothing is filled."""
+    return _grid_gap(a, b, fa, fb)
+
+
 @F.pandas_udf(PEAKS)
 def series_peaks(values: pd.Series) -> pd.Series:
     """Local maxima of the autocorrelation of a series, strongest first."""
@@ -211,11 +226,12 @@ def series_peaks(values: pd.Series) -> pd.Series:
         x = np.asarray(v, float)
         if len(x) < 4:
             return []
-        x = x - x.mean()
-        r = np.correlate(x, x, "full")[len(x) - 1 :]
-        r = r / max(r[0], 1e-12)
+        n = 1 << int(np.ceil(np.log2(2 * len(x))))
+        f = np.fft.rfft(x - x.mean(), n)  # padded, so that nothing wraps
+        r = np.fft.irfft(f * np.conj(f), n)[: len(x)]
+        r = np.round(r / max(r[0], 1e-12), 12)
         at = [k for k in range(1, len(r) - 1) if r[k] > r[k - 1] and r[k] >= r[k + 1] and r[k] > LEAST_PEAK]
-        return [{"lag": k, "value": round(float(r[k]), 9)} for k in sorted(at, key=lambda k: (-r[k], k))[:TOP]]
+        return [{"lag": k, "value": round(float(r[k]), 9)} for k in sorted(at, key=lambda k: (-round(float(r[k]), 9), k))[:TOP]]
 
     return values.map(one)
 

@@ -1,25 +1,30 @@
 """Joins by nearness, by rule and by shared keys.
 
 The small side of the theta joins (templates, anchors, leaders) is broadcast only after its rows were counted against
-BROADCAST_ROWS; beyond that Spark chooses the join.
+BROADCAST_ROWS; beyond that an error says that bins are asked for (`in_bins`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inventa.functions.scalars import euclidean
+from inventa.operators.windows import global_rank
 
 BROADCAST_ROWS = 100_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """`df` with a broadcast hint if it is proven small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """`df` with a broadcast hint, after its rows were counted."""
+    if (n := df.limit(BROADCAST_ROWS + 1).count()) > BROADCAST_ROWS:
+        raise ValueError(f"more than {n - 1} rows can't meet all others; use in_bins")
+    return F.broadcast(df)
 
 
 def argmin(left: DataFrame, right: DataFrame, keys: list[str], on: Column, distance: Column, order: str, keep: list[str]) -> DataFrame:
@@ -56,9 +61,13 @@ def nearest_in_bins(items: DataFrame, rows: DataFrame, keys: list[str], channels
     return met.where(F.col("distance") <= tolerance)
 
 
-def first_match(items: DataFrame, rows: DataFrame, keys: list[str], rule: Column, order: str) -> DataFrame:
-    """The first row in order that satisfies the rule, not the nearest."""
-    return items.join(small(rows), rule).groupBy(*keys).agg(F.min(order).alias(order))
+def first_match(items: DataFrame, rows: DataFrame, keys: list[str], channels: list[tuple[str, str]], most: float, colour: Column, grid: Column, order: str, shape: float = 40, strong: float = 20, usual: float = 24) -> DataFrame:
+    """The first row in order, not the nearest, whose colour and picture are near: the rule for items without an embedding.
+    A picture that is nearly equal (`strong`) lets the colour drift up to `most`, else `usual` is the limit; only pairs
+    whose channels differ by at most `most` are compared at all."""
+    met = in_bins(items, rows, channels, most).withColumn("__grid", grid)
+    rule = (F.col("__grid") <= shape) & (colour <= F.when(F.col("__grid") <= strong, F.lit(most)).otherwise(F.lit(usual)))
+    return met.where(rule).groupBy(*keys).agg(F.min(order).alias(order))
 
 
 def pairs(df: DataFrame, equal: list[str], order: str, differ: str | None = None) -> DataFrame:
@@ -69,6 +78,23 @@ def pairs(df: DataFrame, equal: list[str], order: str, differ: str | None = None
     return a.join(b, reduce(Column.__and__, on))
 
 
+def training_pairs(df: DataFrame, group: str, box: str, order: str, value: Callable[[str], Column], name: str = "d", also: list[str] = ()) -> DataFrame:
+    """(i, j, same, name, a_*, b_*): pairs of one group are the same part, pairs of one box and different groups are not.
+    Both are equi-joins, as large as groups and boxes are. value: a column of aliases a and b; also: further columns of both."""
+    picked = lambda same: [F.col(f"a.{order}").alias("i"), F.col(f"b.{order}").alias("j"), F.lit(same).alias("same"), value("").alias(name), *[F.col(f"{t}.{c}").alias(f"{t}_{c}") for c in also for t in "ab"]]
+    return pairs(df, [group], order).select(*picked(True)).unionByName(pairs(df, [box], order, group).select(*picked(False)))
+
+
+def theta_negatives(df: DataFrame, order: str, draws: int, differ: Callable[[str, str], Column], a: int = 7919, b: int = 104_729) -> DataFrame:
+    """(i, j): drawn pairs that a rule tells apart for certain. The population is quadratic, so a number of draws is given:
+    draw k takes the rows of rank k a and k b (both modulo the number of rows). differ: a column of two aliases."""
+    placed = global_rank(df, order, name="__rank").withColumn("__rank", F.col("__rank") - 1)
+    n = df.agg(F.count("*").alias("__n"))
+    drawn = df.sparkSession.range(draws).join(F.broadcast(n)).select(((F.col("id") * a + 13) % F.col("__n")).alias("__a"), ((F.col("id") * b + 71) % F.col("__n")).alias("__b"))  # one row
+    met = drawn.join(placed.alias("a"), F.col("__a") == F.col("a.__rank")).join(placed.alias("b"), F.col("__b") == F.col("b.__rank"))
+    return met.where(differ("a", "b")).select(F.col(f"a.{order}").alias("i"), F.col(f"b.{order}").alias("j"))
+
+
 def outermost(rects: DataFrame, key: str, group: list[str], edges: tuple[str, str, str, str] = ("x0", "y0", "x1", "y1")) -> DataFrame:
     """Rectangles that no larger one (or equal one of smaller key) of their group contains."""
     x0, y0, x1, y1 = edges
@@ -79,11 +105,34 @@ def outermost(rects: DataFrame, key: str, group: list[str], edges: tuple[str, st
     return rects.alias("a").join(rects.alias("b"), reduce(Column.__and__, on), "left_anti")
 
 
-def twins(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
-    """The n closest pairs."""
-    a, b = df.alias("a"), df.alias("b")
-    d = euclidean(F.col(f"a.{vector}"), F.col(f"b.{vector}"))
-    return a.join(b, F.col(f"a.{key}") < F.col(f"b.{key}")).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), d.alias("distance")).orderBy("distance", "a", "b").limit(n)
+def centres(df: DataFrame, row: str, vector: str, dim: int) -> DataFrame:
+    """(row, centre): mean of each row's vectors, at unit length."""
+    mean = F.array(*[F.avg(F.get(vector, F.lit(k)).cast("double")) for k in range(dim)])
+    length = F.sqrt(F.aggregate("__m", F.lit(0.0), lambda s, x: s + x * x))
+    return df.groupBy(row).agg(mean.alias("__m")).select(row, F.transform("__m", lambda x: x / length).alias("centre"))
+
+
+def twins(df: DataFrame, key: str, vector: str, n: int, block: int = 2000) -> DataFrame:
+    """(a, b, distance) of the n closest pairs. Rows are cut in blocks; each two blocks meet in one task, which multiplies them and sends on its n closest pairs."""
+    blocks = max(1, -(-df.count() // block))
+    own = df.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("p"))
+    met = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "v", "p", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        x, k, p = np.stack(pdf["v"].to_numpy()).astype(float), pdf["k"].to_numpy(), pdf["p"].to_numpy()
+        same, found = pdf["i"].iloc[0] == pdf["j"].iloc[0], []
+        for s in range(0, len(x), 256):
+            d = np.sqrt(((x[s : s + 256, None] - x[None]) ** 2).sum(2)) if x.shape[1] < 8 else np.stack([np.sqrt(((x - r) ** 2).sum(1)) for r in x[s : s + 256]])
+            wanted = k[s : s + 256, None] < k
+            if not same:
+                wanted &= p[s : s + 256, None] != p
+            a, b = np.nonzero(wanted)
+            few = np.lexsort((k[b], k[a + s], d[a, b]))[:n]
+            found.append(pd.DataFrame({"a": k[a[few] + s], "b": k[b[few]], "distance": d[a[few], b[few]]}))
+        return pd.concat(found).sort_values(["distance", "a", "b"]).head(n)
+
+    return met.groupBy("i", "j").applyInPandas(near, "a long, b long, distance double").orderBy("distance", "a", "b").limit(n)
 
 
 def lookup(refs: DataFrame, items: DataFrame, on: list[str]) -> DataFrame:

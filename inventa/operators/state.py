@@ -38,6 +38,24 @@ def fresh(seen: DataFrame, now, age_s: float = 20) -> DataFrame:
     return seen.withColumn("age_s", F.unix_micros(now) / 1e6 - F.unix_micros("last_ts") / 1e6).where(F.col("age_s") < age_s)
 
 
+def known_peers(pings: DataFrame, watches: DataFrame, peer: str = "peer", ts: str = "ts", age_s: float = 20) -> DataFrame:
+    """(watch, peers): the peers that each watcher heard while they were fresh, all that were so far. watches: watch, started, now."""
+    seen = pings.join(F.broadcast(watches), (F.col(ts) <= F.col("now")) & (F.col(ts) > F.col("started") - F.make_dt_interval(secs=F.lit(float(age_s)))))  # the few watchers that are open
+    return seen.groupBy("watch").agg(F.array_sort(F.collect_set(peer)).alias("peers"))
+
+
+def silent(pings: DataFrame, watches: DataFrame, ts: str = "ts", wait_s: float = 15, age_s: float = 20) -> DataFrame:
+    """(watch, alert): whether a watcher that has waited longer than `wait_s` heard no peer."""
+    heard = known_peers(pings, watches, ts=ts, age_s=age_s).select("watch", F.lit(True).alias("heard"))
+    late = F.unix_micros("now") - F.unix_micros("started") > wait_s * 1e6
+    return watches.join(heard, "watch", "left").select("watch", (late & F.col("heard").isNull()).alias("alert"))
+
+
+def payload(df: DataFrame, fields: dict[str, str], name: str = "data") -> DataFrame:
+    """The state that is shared, as one struct: field names and the columns they come from."""
+    return df.withColumn(name, F.struct(*[F.col(c).alias(f) for f, c in fields.items()]))
+
+
 def put_if_absent(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     once = new.dropDuplicates([key])
     return stored.unionByName(once.join(stored.select(key), key, "left_anti"))

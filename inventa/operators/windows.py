@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from inventa.sources.shared import prepare
+
 
 def runs(df: DataFrame, group: list[str], place: str, flag: Column, min_gap: int) -> DataFrame:
     """Half-open runs [start, end) of true places; runs that are fewer than min_gap places apart are one. The last run
@@ -63,3 +65,14 @@ def moving(df: DataFrame, group: list[str], order: str, value: str, reach: int)
 
 def top_k(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
+
+
+def global_rank(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """`df` with a rank from 1 over all its rows, in no single task: rows are ranged over partitions in that order,
+    ranked inside each, and moved by what the partitions before hold. The ranges are checkpointed, so that both uses see the same ones."""
+    prepare(df.sparkSession)
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    upto = F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # one row a partition
+    before = ranged.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(upto, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return ranged.join(F.broadcast(before), "__part").select(*df.columns, (F.col("__before") + inside).alias(name))

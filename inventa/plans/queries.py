@@ -17,6 +17,7 @@ from inventa.operators import aggregate as A
 from inventa.operators import cluster as C
 from inventa.operators import kernels as K
 from inventa.operators import match as M
+from inventa.operators import regions as R
 from inventa.operators import scan as SC
 from inventa.operators import state as ST
 from inventa.operators import views as V
@@ -105,9 +106,9 @@ def parts_list(spark, sf):
 
 
 @query(f"""WITH {ITEMS} SELECT count(DISTINCT row_id) AS rows, sum(coalesce(qty, 1))::BIGINT AS pieces,
-  count(DISTINCT page) AS pages_with_items, count(*) FILTER (qty IS NULL) AS unread FROM items""")
+  count(DISTINCT page) AS pages_with_items, count(*) FILTER (qty IS NULL) AS unread, (SELECT count(DISTINCT o_orderkey) FROM orders) AS pages FROM items""")
 def parts_summary(spark, sf):
-    return A.summary(items(spark, sf))
+    return A.summary(items(spark, sf), read(spark, sf, "orders").select(F.col("o_orderkey").alias("page")))
 
 
 LIST = f"""WITH {ITEMS}, list AS (
@@ -201,14 +202,14 @@ def time_ago(spark, sf):
 
 
 @query("""SELECT p_partkey AS row_id, CASE WHEN p_size % 10 = 1 AND p_size % 100 <> 11 THEN 'one' WHEN p_size % 10 BETWEEN 2 AND 4 AND p_size % 100 NOT BETWEEN 12 AND 14 THEN 'few' ELSE 'many' END AS form,
-  replace(replace(p_name || '<&>"', '&', '&amp;'), '<', '&lt;') AS half, p_name || '::' || p_size AS file_key,
+  replace(replace(replace(replace(replace(p_name || '<&>"' || chr(39), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS safe, p_name || '::' || p_size AS file_key,
   floor((p_size + 1) / 60.0::DOUBLE * 100 + 0.5)::BIGINT AS progress, floor(p_retailprice * 10 + 0.5) / 10 AS price,
   greatest(0, least(25, p_size)) AS clamped, greatest(p_size, 4) || '×' || least(p_size, 4) AS label, round(ln(p_size / 7.0::DOUBLE), 6) AS aspect FROM part""")
 def item_labels(spark, sf):
     n = F.col("size")
-    half = F.replace(F.replace(F.concat("name", F.lit('<&>"')), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    safe = S.escape_html(F.concat("name", F.lit("<&>\"'")))
     return parts(spark, sf).select(
-        "row_id", S.plural(n, F.lit("one"), F.lit("few"), F.lit("many")).alias("form"), half.alias("half"), S.file_key(F.col("name"), n).alias("file_key"),
+        "row_id", S.plural(n, F.lit("one"), F.lit("few"), F.lit("many")).alias("form"), safe.alias("safe"), S.file_key(F.col("name"), n).alias("file_key"),
         S.progress(n, F.lit(60)).alias("progress"), S.half_up(F.col("price"), 1).alias("price"), S.clamp(n, 0, 25).alias("clamped"),
         S.size_label(n, F.lit(4)).alias("label"), F.round(S.log_aspect(n, F.lit(7.0)), 6).alias("aspect"),
     )
@@ -371,10 +372,23 @@ def size_vote(spark, sf):
     return A.size_vote(_readings(spark, sf)).select("row_id", "size", "n", F.round("share", 6).alias("share"))
 
 
-@query(READ + """SELECT row_id, size, n, (SELECT max(row_id) FROM readings) + row_number() OVER (ORDER BY row_id, rank) AS new_row FROM ranked WHERE rank > 1 AND n >= 2""")
+SPLIT = READ + """, moved AS (
+  SELECT row_id, size, n, (SELECT max(row_id) FROM readings) + row_number() OVER (ORDER BY row_ord, row_id, rank) AS new_row
+  FROM (SELECT *, min(first_ord) OVER (PARTITION BY row_id) AS row_ord FROM ranked) WHERE rank > 1 AND n >= 2) """
+
+
+@query(SPLIT + "SELECT row_id, size, n, new_row FROM moved")
 def row_split(spark, sf):
-    r = _readings(spark, sf)
-    return A.row_split(r, A.size_vote(r))
+    return A.row_split(_readings(spark, sf))
+
+
+@query(SPLIT + """SELECT coalesce(m.new_row, p.row_id) AS row_id, sum(coalesce(qty, 1))::BIGINT AS count, bool_or(qty IS NULL) AS unsure, count(DISTINCT page) AS n_pages, min(page) AS first_page
+FROM placed p LEFT JOIN moved m ON m.row_id = p.row_id AND m.size = p.l_quantity::BIGINT % 4 GROUP BY 1""")
+def row_split_recount(spark, sf):
+    """The list after quantities have moved to the new rows."""
+    i = ordinals(items(spark, sf))
+    r = i.select("page", "item_ord", "row_id", (F.col("l_quantity").cast("long") % 4).alias("size"), (F.col("page") * 1000 + F.col("item_ord")).alias("ord"))
+    return A.parts_list(A.split_items(i, r, ["page", "item_ord"]))
 
 
 @query(READ + "SELECT row_id, size, n FROM ranked WHERE 2 * n > total")
@@ -382,13 +396,24 @@ def slot_vote(spark, sf):
     return A.strict_majority(_readings(spark, sf), "row_id", "size").select("row_id", "size", "n")
 
 
-@query(f"""WITH {ITEMS}, s AS (SELECT page, count(CASE WHEN qty % 3 > 0 THEN qty % 3 END) AS m, count(DISTINCT CASE WHEN qty % 3 > 0 THEN qty % 3 END) AS k FROM items GROUP BY page)
-SELECT count(*) AS slots, count(*) FILTER (m >= 1) AS measured, count(*) FILTER (m >= 3) AS at_all, count(*) FILTER (m >= 3 AND k = 1) AS agree FROM s""")
+AGREE = f"""WITH {ITEMS}, m AS (SELECT page, CASE WHEN qty % 3 > 0 THEN qty % 3 END AS size FROM items),
+s AS (SELECT page, count(size) AS m, count(DISTINCT size) AS k, min(size) AS size FROM m GROUP BY page),
+t AS (SELECT page, max(n) AS top FROM (SELECT page, size, count(size) AS n FROM m GROUP BY ALL) GROUP BY page) """
+
+
+@query(AGREE + """SELECT count(*) AS slots, count(*) FILTER (m >= 1) AS measured, count(*) FILTER (m >= 3) AS at_all, count(*) FILTER (m >= 3 AND k = 1) AS agree,
+  count(*) FILTER (top >= 2) AS voted, count(*) FILTER (top >= 2 AND k = 1) AS unanimous FROM s JOIN t USING (page)""")
 def scale_agreement(spark, sf):
     i = items(spark, sf).withColumn("size", F.when(F.col("qty") % 3 > 0, F.col("qty") % 3))
     return A.scale_agreement(i, ["page"], 3, "size")
 
 
+@query(AGREE + "SELECT size, count(*) AS slots FROM s WHERE m >= 3 AND k = 1 GROUP BY size ORDER BY slots DESC, size LIMIT 16")
+def agreed_sizes_top16(spark, sf):
+    i = items(spark, sf).withColumn("size", F.when(F.col("qty") % 3 > 0, F.col("qty") % 3))
+    return A.agreed_sizes(i, ["page"], 3, "size")
+
+
 @query(f"""WITH {ITEMS}, per AS (SELECT page, l_linenumber % 3 AS scale, count(DISTINCT row_id) AS slots FROM items GROUP BY ALL)
 SELECT page, count(*) AS scales, min(slots) AS slots FROM per GROUP BY page HAVING count(*) = 3 AND min(slots) = max(slots)""")
 def consistent_boxes(spark, sf):
@@ -407,30 +432,80 @@ def last_position_share(spark, sf):
     return A.last_share(i, "label", ["page"], ["item_ord"]).select("label", "n", F.round("share", 6).alias("share"), "is_suffix")
 
 
-PAIRS = "pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label = b.label AS same, " + DIST.format(a="a.embedding", b="b.embedding") + " AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
+VECTORS = """e AS (SELECT vec_id, embedding, vec_id // 4 AS slot, vec_id // 32 AS box, label, vec_id * 37 % 256 AS shade, ln((3 + vec_id % 13) / (3.0::DOUBLE + vec_id % 7)) AS aspect FROM embeddings)"""
+PAIRS = VECTORS + ", pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, a.slot = b.slot AS same, a.box AS box, abs(a.shade - b.shade) AS gap, abs(a.aspect - b.aspect) AS skew, " + DIST.format(a="a.embedding", b="b.embedding") + """ AS d
+  FROM e a JOIN e b ON (a.slot = b.slot AND a.vec_id < b.vec_id) OR (a.box = b.box AND a.slot < b.slot))"""
+
 
+def _vectors(spark, sf) -> DataFrame:
+    """Four vectors are one slot, eight slots one box."""
+    k = F.col("vec_id")
+    aspect = F.ln((3 + k % 13) / (F.lit(3.0) + k % 7))
+    return read(spark, sf, "embeddings").select("vec_id", "embedding", F.floor(k / 4).alias("slot"), F.floor(k / 32).alias("box"), "label", (k * 37 % 256).alias("shade"), aspect.alias("aspect"))
 
-def _vector_pairs(spark, sf) -> DataFrame:
-    e = read(spark, sf, "embeddings")
-    a, b = e.alias("a"), e.alias("b")
-    return a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), (F.col("a.label") == F.col("b.label")).alias("same"), _dist("a.embedding", "b.embedding").alias("d"))
+
+def _pairs(spark, sf) -> DataFrame:
+    p = M.training_pairs(_vectors(spark, sf), "slot", "box", "vec_id", lambda _: _dist("a.embedding", "b.embedding"), also=["shade", "aspect", "box"])
+    return p.withColumns({"gap": F.abs(F.col("a_shade") - F.col("b_shade")), "skew": F.abs(F.col("a_aspect") - F.col("b_aspect"))})
 
 
 @query(f"""WITH {PAIRS} SELECT round(avg(CASE WHEN same THEN (d > 1.3)::INT END), 6) AS duplicate_rate, round(avg(CASE WHEN NOT same THEN (d <= 1.3)::INT END), 6) AS merge_rate,
-  count(*) FILTER (same) AS same_pairs, count(*) FILTER (NOT same) AS other_pairs FROM pairs""")
+  count(*) FILTER (same) AS same_pairs, count(*) FILTER (NOT same) AS other_pairs, round(coalesce(avg(CASE WHEN NOT same AND gap < 30 AND skew < 0.1::DOUBLE THEN (d <= 1.3)::INT END), 0), 6) AS hard_merge_rate,
+  count(*) FILTER (NOT same AND gap < 30 AND skew < 0.1::DOUBLE) AS hard_pairs FROM pairs""")
 def error_rates_at_threshold(spark, sf):
-    r = A.error_rates(_vector_pairs(spark, sf), "d", "same", 1.3)
-    return r.select(F.round("duplicate_rate", 6).alias("duplicate_rate"), F.round("merge_rate", 6).alias("merge_rate"), "same_pairs", "other_pairs")
+    """Pairs of one slot are one part, those of one box and different slots are not; hard ones differ little in colour and shape."""
+    r = A.error_rates(_pairs(spark, sf), "d", "same", 1.3, (F.col("gap") < 30) & (F.col("skew") < 0.1))
+    return r.select(*[F.round(c, 6).alias(c) for c in ("duplicate_rate", "merge_rate", "hard_merge_rate")], "same_pairs", "other_pairs", "hard_pairs")
 
 
-@query(f"""WITH {PAIRS}, grid AS (SELECT unnest(range(0, 401)) AS k), r AS (
-  SELECT k, avg(CASE WHEN same THEN (d > k * 0.005::DOUBLE + 5e-12)::INT END) AS dup, avg(CASE WHEN NOT same THEN (d <= k * 0.005::DOUBLE + 5e-12)::INT END) AS mrg FROM pairs, grid GROUP BY k)
-SELECT round(k * 0.005::DOUBLE, 6) AS threshold, round(dup, 6) AS duplicate_rate, round(mrg, 6) AS merge_rate FROM r ORDER BY round(dup + mrg, 12), k LIMIT 1""")
-def threshold_sweep(spark, sf):
-    r = A.threshold_sweep(_vector_pairs(spark, sf), "d", "same", 0.0, 2.0, 401)
+def _sweep_sql(low: float, high: float, points: int) -> str:
+    step = (high - low) / (points - 1)
+    t = f"({low}::DOUBLE + k * {step!r}::DOUBLE)"
+    return f"""WITH {PAIRS}, grid AS (SELECT unnest(range(0, {points})) AS k), r AS (
+  SELECT k, avg(CASE WHEN same THEN (d > {t})::INT END) AS dup, avg(CASE WHEN NOT same THEN (d <= {t})::INT END) AS mrg FROM pairs, grid GROUP BY k)
+SELECT round({t}, 6) AS threshold, round(dup, 6) AS duplicate_rate, round(mrg, 6) AS merge_rate FROM r ORDER BY round(dup + mrg, 12), k LIMIT 1"""
+
+
+def _sweep(spark, sf, low: float, high: float, points: int) -> DataFrame:
+    r = A.threshold_sweep(_pairs(spark, sf), "d", "same", low, high, points)
     return r.select(*[F.round(c, 6).alias(c) for c in ("threshold", "duplicate_rate", "merge_rate")])
 
 
+@query(_sweep_sql(0.0, 2.0, 400))
+def threshold_sweep(spark, sf):
+    """The grid of training."""
+    return _sweep(spark, sf, 0.0, 2.0, 400)
+
+
+@query(_sweep_sql(0.02, 1.5, 300))
+def threshold_sweep_300(spark, sf):
+    """The grid of quality control."""
+    return _sweep(spark, sf, 0.02, 1.5, 300)
+
+
+@query(f"""WITH {PAIRS} SELECT t AS threshold, round(avg(CASE WHEN same THEN (gap > t)::INT END), 6) AS false_splits, round(avg(CASE WHEN NOT same THEN (gap > t)::INT END), 6) AS caught
+FROM pairs, (VALUES (12.0::DOUBLE), (16), (20), (24), (30), (40), (50)) g(t) GROUP BY t""")
+def veto_rates(spark, sf):
+    """What each colour veto would cost and catch."""
+    r = A.rates_by_threshold(_pairs(spark, sf), "gap", "same", [12, 16, 20, 24, 30, 40, 50])
+    return r.select("threshold", F.round("false_splits", 6).alias("false_splits"), F.round("caught", 6).alias("caught"))
+
+
+@query(f"WITH {PAIRS} SELECT box, i, j, round(d, 6) AS distance, gap FROM pairs WHERE NOT same AND d < 1.2::DOUBLE AND gap < 40")
+def suspicious_pairs(spark, sf):
+    """Slots of one box that look alike."""
+    p = A.suspicious_pairs(_pairs(spark, sf).where("not same"), "d", "gap", 1.2, 40)
+    return p.select(F.col("a_box").alias("box"), "i", "j", F.round("d", 6).alias("distance"), "gap")
+
+
+@query(f"""WITH {VECTORS}, x AS (SELECT vec_id, shade, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM e),
+d AS (SELECT (k * 7919 + 13) % n AS a, (k * 104729 + 71) % n AS b FROM (SELECT unnest(range(0, 5000)) AS k), (SELECT count(*) AS n FROM e))
+SELECT p.vec_id AS i, q.vec_id AS j FROM d JOIN x p ON p.r = d.a JOIN x q ON q.r = d.b WHERE abs(p.shade - q.shade) > 90""")
+def theta_negatives(spark, sf):
+    """Drawn pairs whose colours are too far apart for one part."""
+    return M.theta_negatives(_vectors(spark, sf), "vec_id", 5000, lambda a, b: F.abs(F.col(f"{a}.shade") - F.col(f"{b}.shade")) > 90)
+
+
 @query("""SELECT round(avg(l_extendedprice), 4) AS mean, max(l_extendedprice) AS largest, round(quantile_cont(l_extendedprice, 0.05), 4) AS p05, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50,
   round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.999), 4) AS p999 FROM lineitem""")
 def percentile_report(spark, sf):
@@ -455,6 +530,13 @@ def spread_per_slot(spark, sf):
     return A.spread(items(spark, sf), ["box"], "l_quantity")
 
 
+@query(f"""WITH {ITEMS}, s AS (SELECT row_id, max(l_extendedprice) - min(l_extendedprice) AS d FROM items GROUP BY row_id)
+SELECT round(avg(d), 4) AS mean, max(d) AS largest, round(quantile_cont(d, 0.95), 4) AS p95, round(quantile_cont(d, 0.99), 4) AS p99 FROM s""")
+def spread_percentiles(spark, sf):
+    r = A.percentiles(A.spread(items(spark, sf), ["row_id"], "l_extendedprice"), "spread", {"p95": 0.95, "p99": 0.99})
+    return r.select(F.round("mean", 4).alias("mean"), "largest", F.round("p95", 4).alias("p95"), F.round("p99", 4).alias("p99"))
+
+
 @query("""WITH m AS (SELECT o_orderkey AS page, (o_orderkey % 10) / 1000.0::DOUBLE AS od, (o_orderkey % 7) / 1000.0::DOUBLE AS om, (o_orderkey % 13) / 1000.0::DOUBLE AS nd, (o_orderkey % 11) / 1000.0::DOUBLE AS nm FROM orders)
 SELECT page, greatest(nd - od, nm - om) <= 0.005::DOUBLE OR greatest(od - nd, om - nm) >= 3 * greatest(nd - od, nm - om) AS accepted FROM m""")
 def finetune_gate(spark, sf):
@@ -477,30 +559,49 @@ def nearest_template_hamming(spark, sf):
     return M.nearest_template(p, t, ["row_id"], S.hamming_packed(F.col("own"), F.col("bits")), ["label"])
 
 
-@query(f"""WITH heads AS (SELECT min(vec_id) AS row_id FROM embeddings GROUP BY label),
-d AS (SELECT a.vec_id, b.vec_id AS row_id, {DIST.format(a='a.embedding', b='b.embedding')} AS d FROM embeddings a JOIN embeddings b
-  ON b.vec_id IN (SELECT row_id FROM heads) AND a.vec_id NOT IN (SELECT row_id FROM heads) AND abs(a.vec_id * 37 % 256 - b.vec_id * 37 % 256) <= 45)
+@query(f"""WITH {VECTORS}, heads AS (SELECT min(vec_id) AS row_id FROM e GROUP BY label),
+d AS (SELECT a.vec_id, b.vec_id AS row_id, {DIST.format(a='a.embedding', b='b.embedding')} AS d FROM e a JOIN e b
+  ON b.vec_id IN (SELECT row_id FROM heads) AND a.vec_id NOT IN (SELECT row_id FROM heads)
+  WHERE abs(a.shade - b.shade) <= 45 AND abs(a.vec_id * 59 % 256 - b.vec_id * 59 % 256) <= 45 AND abs(a.vec_id * 83 % 256 - b.vec_id * 83 % 256) <= 45 AND abs(a.aspect - b.aspect) <= 0.5::DOUBLE)
 SELECT vec_id, row_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, row_id) AS k FROM d) WHERE k = 1 AND d <= 1.45""")
 def nearest_neighbor_veto(spark, sf):
-    """The first vector of each label is a row, the others are new."""
-    e = read(spark, sf, "embeddings").withColumn("shade", (F.col("vec_id") * 37 % 256).cast("int"))
-    rows = e.groupBy("label").agg(F.min(F.struct("vec_id", "embedding", "shade")).alias("h")).select(F.col("h.vec_id").alias("row_id"), F.col("h.embedding").alias("head"), F.col("h.shade").alias("head_shade"))
+    """The first vector of each label is a row, the others are new; colours of three channels and shapes have a veto."""
+    k = F.col("vec_id")
+    e = _vectors(spark, sf).withColumns({"green": (k * 59 % 256).cast("int"), "blue": (k * 83 % 256).cast("int")})
+    cols = ["vec_id", "embedding", "shade", "green", "blue", "aspect"]
+    rows = e.groupBy("label").agg(F.min(F.struct(*cols)).alias("h")).select(*[F.col(f"h.{c}").alias(f"head_{c}") for c in cols]).withColumnRenamed("head_vec_id", "row_id")
     new = e.join(rows.select(F.col("row_id").alias("vec_id")), "vec_id", "left_anti")
-    out = M.nearest_in_bins(new, rows, ["vec_id"], [("shade", "head_shade")], 45, F.lit(True), _dist("embedding", "head"), "row_id", 1.45, [])
+    gap = S.chebyshev([F.col(c) for c in ("shade", "green", "blue")], [F.col(f"head_{c}") for c in ("shade", "green", "blue")])
+    ok = ~R.vetoed(gap, F.col("aspect") - F.col("head_aspect"), 45, 0.5)
+    out = M.nearest_in_bins(new, rows, ["vec_id"], [("shade", "head_shade")], 45, ok, _dist("embedding", "head_embedding"), "row_id", 1.45, [])
     return out.select("vec_id", "row_id", F.round("distance", 6).alias("distance"))
 
 
-@query(f"""WITH {PARTS}, heads AS (SELECT min(row_id) AS row_id FROM parts GROUP BY size), h AS (SELECT parts.* FROM parts JOIN heads USING (row_id))
-SELECT a.row_id AS item, min(b.row_id) AS row_id FROM parts a JOIN h b ON a.row_id NOT IN (SELECT row_id FROM heads)
-  AND greatest(abs(a.r - b.r), abs(a.g - b.g), abs(a.b - b.b)) <= 40 GROUP BY a.row_id""")
+GRID = """c AS (SELECT row_id, y, x, (row_id * (3 + y * 4 + x) * 7) % 256 AS v, (row_id + y * 2 + x) % 4 > 0 AS f FROM parts, (SELECT unnest(range(0, 4)) AS y), (SELECT unnest(range(0, 4)) AS x)),
+sh AS (SELECT unnest(range(-2, 3)) AS dy, s.dx FROM (SELECT unnest(range(-2, 3)) AS dx) s)"""
+
+
+@query(f"""WITH {PARTS}, {GRID}, heads AS (SELECT min(row_id) AS row_id FROM parts GROUP BY size), h AS (SELECT parts.* FROM parts JOIN heads USING (row_id)),
+near AS (SELECT a.row_id AS item, b.row_id AS row_id, greatest(abs(a.r - b.r), abs(a.g - b.g), abs(a.b - b.b)) AS cd FROM parts a JOIN h b ON a.row_id NOT IN (SELECT row_id FROM heads)
+  AND greatest(abs(a.r - b.r), abs(a.g - b.g), abs(a.b - b.b)) <= 40),
+cells AS (SELECT n.item, n.row_id, dy, dx, a.f AS fa, coalesce(b.f, false) AS fb, a.v AS va, b.v AS vb FROM near n JOIN c a ON a.row_id = n.row_id, sh
+  LEFT JOIN c b ON b.row_id = n.item AND b.y = a.y - dy AND b.x = a.x - dx),
+per AS (SELECT item, row_id, dy, dx, sum(CASE WHEN fa AND fb THEN abs(va - vb) ELSE 255 END)::DOUBLE / count(*) AS d FROM cells WHERE fa OR fb GROUP BY ALL),
+g AS (SELECT item, row_id, min(d) AS gd FROM per GROUP BY ALL)
+SELECT item, min(row_id) AS row_id FROM near JOIN g USING (item, row_id) WHERE gd <= 90 AND cd <= CASE WHEN gd <= 70 THEN 40 ELSE 24 END GROUP BY item""".replace("a.row_id = n.row_id, sh\n  LEFT JOIN", "a.row_id = n.row_id CROSS JOIN sh\n  LEFT JOIN"))
 def first_match_rule(spark, sf):
-    """The first part of each size is a row, the others are new."""
-    p = parts(spark, sf)
+    """The first part of each size is a row, the others are new: colour and the distance of small pictures decide."""
+    k = F.col("row_id")
+    cells = [(y, x) for y in range(4) for x in range(4)]
+    grid = F.array(*[(k * (3 + y * 4 + x) * 7 % 256).cast("double") for y, x in cells])
+    filled = F.array(*[(k + y * 2 + x) % 4 > 0 for y, x in cells])
+    p = parts(spark, sf).withColumns({"grid": grid, "filled": filled})
     first = p.groupBy("size").agg(F.min("row_id").alias("row_id")).select("row_id")
-    heads = p.join(first, "row_id").select("row_id", *[F.col(c).alias(f"h{c}") for c in "rgb"])
-    new = p.join(first, "row_id", "left_anti").select(F.col("row_id").alias("item"), "r", "g", "b")
-    met = M.in_bins(new, heads, [(c, f"h{c}") for c in "rgb"], 40)
-    return met.groupBy("item").agg(F.min("row_id").alias("row_id"))
+    heads = p.join(first, "row_id").select("row_id", *[F.col(c).alias(f"h{c}") for c in "rgb"], F.col("grid").alias("hgrid"), F.col("filled").alias("hfilled"))
+    new = p.join(first, "row_id", "left_anti").select(F.col("row_id").alias("item"), "r", "g", "b", "grid", "filled")
+    colour = S.chebyshev([F.col(c) for c in "rgb"], [F.col(f"h{c}") for c in "rgb"])
+    gap = K.grid_gap("hgrid", "grid", "hfilled", "filled")
+    return M.first_match(new, heads, ["item"], [(c, f"h{c}") for c in "rgb"], 40, colour, gap, "row_id", 90, 70)
 
 
 @query(f"""WITH {ORDINALS} SELECT a.row_id, a.page AS page_a, b.page AS page_b FROM placed a JOIN placed b ON a.row_id = b.row_id AND a.page * 1000 + a.item_ord < b.page * 1000 + b.item_ord""")
@@ -526,9 +627,14 @@ def containment_antijoin(spark, sf):
     return M.outermost(r, "id", ["doc"]).select("id", "doc")
 
 
-@query("WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, " + DIST.format(a="a.embedding", b="b.embedding") + " AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) SELECT a, b, round(d, 6) AS distance FROM p ORDER BY d, a, b LIMIT 20")
+@query(f"""WITH {VECTORS}, m AS (SELECT slot, k, avg(embedding[k]::DOUBLE) AS v FROM e, (SELECT unnest(range(1, 65)) AS k) GROUP BY ALL),
+l AS (SELECT slot, sqrt(sum(v * v)) AS l FROM m GROUP BY slot), c AS (SELECT slot, list(v / l ORDER BY k) AS centre FROM m JOIN l USING (slot) GROUP BY slot),
+p AS (SELECT a.slot AS a, b.slot AS b, {DIST.format(a='a.centre', b='b.centre')} AS d FROM c a JOIN c b ON a.slot < b.slot)
+SELECT a, b, round(d, 6) AS distance FROM p ORDER BY d, a, b LIMIT 20""")
 def embedding_twins_topk(spark, sf):
-    return M.twins(read(spark, sf, "embeddings"), "vec_id", "embedding", 20).select("a", "b", F.round("distance", 6).alias("distance"))
+    """The closest rows, by the centres of their vectors."""
+    c = M.centres(_vectors(spark, sf), "slot", "embedding", 64)
+    return M.twins(c, "slot", "centre", 20).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 @query(f"""WITH {ITEMS} SELECT page, bool_or(a AND b) AS merged FROM (SELECT page, row_id, bool_or(l_linenumber % 2 = 0) AS a, bool_or(l_linenumber % 2 = 1) AS b FROM items GROUP BY ALL) GROUP BY page""")
@@ -609,10 +715,17 @@ def connected_components(spark, sf):
     return C.connected_components(e, "u", "v")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, value - avg(value) OVER (PARTITION BY user_id) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+r AS (SELECT a.user_id, b.i - a.i AS lag, sum(a.v * b.v) AS c FROM e a JOIN e b ON a.user_id = b.user_id AND b.i >= a.i AND a.n >= 4 GROUP BY ALL),
+x AS (SELECT user_id, lag, c / greatest(max(CASE WHEN lag = 0 THEN c END) OVER (PARTITION BY user_id), 1e-12::DOUBLE) AS r FROM r),
+y AS (SELECT *, lag(r) OVER w AS before, lead(r) OVER w AS after FROM x WINDOW w AS (PARTITION BY user_id ORDER BY lag)),
+z AS (SELECT user_id, lag, round(r, 6) AS value, row_number() OVER (PARTITION BY user_id ORDER BY round(r, 9) DESC, lag) AS place FROM y WHERE lag > 0 AND r > before AND r >= after AND r > 0.2::DOUBLE)
+SELECT user_id, place, lag, value FROM z WHERE place <= 8""")
 def autocorr_peaks(spark, sf):
+    """A user's events in order are one series."""
     e = read(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("v"))
-    return e.select("user_id", K.series_peaks("v").alias("peaks"))
+    p = e.select("user_id", F.posexplode(K.series_peaks("v")).alias("i", "p"))
+    return p.select("user_id", (F.col("i") + 1).cast("long").alias("place"), F.col("p.lag").cast("long").alias("lag"), F.round("p.value", 6).alias("value"))
 
 
 # State ---------------------------------------------------------------------------------------------------------------
@@ -636,13 +749,13 @@ def once_per_key(spark, sf):
 
 
 @query("""WITH s AS (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id), n AS (SELECT max(ts) AS now FROM events)
-SELECT user_id, (epoch_us(now) - epoch_us(last_ts)) / 1e6::DOUBLE AS age_s FROM s, n WHERE epoch_us(now) - epoch_us(last_ts) < 86400000000""")
+SELECT user_id, round(epoch_us(now) / 1e6::DOUBLE - epoch_us(last_ts) / 1e6::DOUBLE, 6) AS age_s FROM s, n WHERE epoch_us(now) - epoch_us(last_ts) < 86400000000""")
 def peers_last_seen(spark, sf):
     e = read(spark, sf, "events")
     seen = ST.last_seen(e, "user_id", "ts")
     now = e.agg(F.max("ts").alias("now"))
     both = seen.join(F.broadcast(now))  # one row
-    return both.select("user_id", ((F.unix_micros("now") - F.unix_micros("last_ts")) / F.lit(1e6)).alias("age_s")).where("age_s < 86400")
+    return ST.fresh(both, F.col("now"), 86400).select("user_id", F.round("age_s", 6).alias("age_s"))
 
 
 @query()
@@ -674,11 +787,19 @@ def collected_toggle(spark, sf):
     return ST.toggle(read(spark, sf, "orders").withColumnRenamed("o_custkey", "row_id"), "row_id", ["o_orderkey"])
 
 
-@query(f"""WITH {ITEMS} SELECT 'box ' || box AS name, row_id, sum(coalesce(qty, 1))::BIGINT AS c, bool_or(qty IS NULL) AS u, count(DISTINCT page) AS n_pages FROM items GROUP BY box, row_id""")
+@query(f"""WITH {ORDINALS}, {PARTS}, i AS (SELECT *, CASE WHEN item_ord % 3 > 0 THEN floor((row_id % 997) / 997.0::DOUBLE * 10000 + 0.5) / 10000 END AS x FROM placed)
+SELECT 'box ' || box AS name, i.row_id, sum(coalesce(qty, 1))::BIGINT AS c, bool_or(qty IS NULL) AS u, count(DISTINCT page) AS n_pages, count(*) AS entries, sum(qty)::BIGINT AS read, round(sum(x), 6) AS x,
+  any_value(CASE WHEN size > 25 THEN size END)::INT AS long_side, any_value(r)::DOUBLE AS red, any_value(name) AS thumb FROM i JOIN parts USING (row_id) GROUP BY box, i.row_id""")
 def results_json(spark, sf):
-    """One payload for each box, and back."""
-    payload = V.publish(items(spark, sf), F.concat(F.lit("box "), F.col("box").cast("string")))
-    return V.adopt(payload).select("name", "row_id", "c", "u", F.size("p").cast("long").alias("n_pages"))
+    """One payload for each box, and back: counts, entries with quantities and rectangles, sizes, colours and pictures."""
+    k = F.col("row_id")
+    rect = F.when(F.col("item_ord") % 3 > 0, F.struct((k % 997 / F.lit(997.0)).alias("x"), *[F.lit(0.25).alias(c) for c in "ywh"]))
+    i = ordinals(items(spark, sf)).select(F.concat(F.lit("box "), F.col("box").cast("string")).alias("name"), "row_id", "page", "item_ord", "qty", rect.alias("rect"))
+    size = F.when(F.col("size") > 25, F.array("size", F.lit(2)))
+    rows = parts(spark, sf).select("row_id", F.col("name").alias("thumb"), size.alias("size"), F.array(*[F.col(c).cast("double") for c in "rgb"]).alias("colour"))
+    out = V.adopt(V.publish(i, rows))
+    add = lambda f: F.aggregate("e", F.lit(None).cast("double"), lambda t, x: F.when(f(x).isNull(), t).otherwise(F.coalesce(t, F.lit(0.0)) + f(x)))
+    return out.select("name", "row_id", "c", "u", F.size("p").cast("long").alias("n_pages"), F.size("e").cast("long").alias("entries"), add(lambda x: x["q"].cast("double")).cast("long").alias("read"), F.round(add(lambda x: x["r"][0]), 6).alias("x"), F.get("s", F.lit(0)).alias("long_side"), F.col("a")[0].alias("red"), F.col("t").alias("thumb"))
 
 
 @query("""SELECT c_custkey AS key, c_name AS body FROM customer UNION ALL

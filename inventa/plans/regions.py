@@ -140,7 +140,7 @@ def truth_pair_gap(spark, sf):
 def sessions_by_update(spark, sf):
     e = read(spark, sf, "events")
     s = e.groupBy(F.col("user_id").alias("id")).agg(F.max(F.unix_micros("ts")).alias("updated"), F.max(F.when(F.col("event_id") % 3 > 0, F.unix_micros("ts"))).alias("u"))
-    return s.withColumn("rank", F.row_number().over(W.orderBy(F.coalesce("u", F.lit(0)).desc(), "id")).cast("long")).drop("u")
+    return WN.global_rank(s, F.coalesce("u", F.lit(0)).desc(), "id").drop("u")
 
 
 @query("SELECT c_custkey AS key, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS stored FROM customer")
@@ -191,11 +191,11 @@ def step_neighbours(spark, sf):
     return read(spark, sf, "orders").select(F.col("o_custkey").alias("doc"), k.alias("step"), F.coalesce(F.lag(k).over(w), k).alias("before"), F.coalesce(F.lead(k).over(w), k).alias("after"))
 
 
-@query(f"""WITH {ITEMS} SELECT row_id, n, rank FROM (SELECT row_id, n, row_number() OVER (ORDER BY n, row_id) AS rank FROM (SELECT row_id, count(*) AS n FROM items GROUP BY row_id)) WHERE rank <= 50""")
+@query(f"""WITH {ITEMS} SELECT row_id, n, row_number() OVER (ORDER BY n, row_id) AS rank FROM (SELECT row_id, count(*) AS n FROM items GROUP BY row_id)""")
 def fewest_confirmations(spark, sf):
+    """The whole sheet, those first that are least sure."""
     n = items(spark, sf).groupBy("row_id").agg(F.count("*").alias("n"))
-    top = n.orderBy("n", "row_id").limit(50)  # a report of the fifty least sure
-    return WN.top_k(top.withColumn("__g", F.lit(0)), ["__g"], ["n", "row_id"], 50).select("row_id", "n", "rank")
+    return WN.global_rank(n, "n", "row_id")
 
 
 @query("""SELECT o_custkey AS doc, list_sort(list(DISTINCT o_orderkey)) = list_sort(list(DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey END)) AS same,

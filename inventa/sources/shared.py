@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,13 +12,21 @@ from pyspark.sql import SparkSession
 
 
 def prepare(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir, or to a folder of our own where it is unset (tests)."""
+    """Checkpoints go to spark.checkpoint.dir. Where it is unset, a session in one process (tests) gets a folder of its own; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or "file://" + os.path.join(tempfile.gettempdir(), f"inventa-{context.applicationId}"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    prepare(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for a Spark application: their workers may start in any folder."""
     context = spark.sparkContext

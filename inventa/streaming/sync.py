@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 
 def changes(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
@@ -28,27 +29,89 @@ def once_per_key(stream: DataFrame, key: list[str], ts: str | None = None, late:
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(key) if ts else stream.dropDuplicates(key)
 
 
-def above_last(stream: DataFrame, key: str, version: str):
-    """Rows whose version is above all versions of their key so far."""
+def above_last(stream: DataFrame, key: str, version: str, order: list[str], forget: str | None = None):
+    """Rows whose version is above all versions of their key that came before, as `state.monotonic` has it: rows of a
+    batch are taken in their order of arrival, not of version. With `forget` (a duration) keys that are silent for so
+    long lose their state."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     import pandas as pd
 
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items())
+    wait = None if forget is None else round(pd.Timedelta(forget).total_seconds() * 1000)
 
     def step(_, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         top = state.get[0] if state.exists else None
-        for pdf in batches:
-            pdf = pdf.sort_values([version])
-            ok = []
-            for v in pdf[version]:
-                ok.append(top is None or v > top)
-                top = v if top is None else max(top, v)
-            yield pdf[pd.Series(ok, index=pdf.index)]
+        pdf = pd.concat([*batches]).sort_values(order)
+        ok = []
+        for v in pdf[version]:
+            ok.append(top is None or v > top)
+            top = v if top is None else max(top, v)
         state.update((top,))
+        if wait:
+            state.setTimeoutDuration(wait)
+        yield pdf[pd.Series(ok, index=pdf.index)]
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, f"top {kinds[version]}", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if wait is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy(key).applyInPandasWithState(step, schema, f"top {kinds[version]}", "append", timeout)
+
+
+def silence(stream: DataFrame, watch: str, kind: str, wait_s: float = 15):
+    """(watch, alert): for each watcher, whose first row starts its clock, one row: false as soon as a peer is heard (a row
+    of kind 'peer'), true if `wait_s` seconds pass without one. The batch form is `state.silent`."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.update((True,))
+            yield pd.DataFrame({watch: [key[0]], "alert": [True]})
+            return
+        heard = any((pdf[kind] == "peer").any() for pdf in batches)
+        if state.exists and state.get[0]:  # it was decided before
+            return
+        state.update((heard,))
+        if heard:
+            yield pd.DataFrame({watch: [key[0]], "alert": [False]})
+        else:
+            state.setTimeoutDuration(round(wait_s * 1000))
+
+    return stream.groupBy(watch).applyInPandasWithState(step, f"`{watch}` {kinds[watch]}, alert boolean", "done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+POLL = "1500 milliseconds"
+
+
+def polled(writer: DataStreamWriter, every: str = POLL) -> DataStreamWriter:
+    """A stream that looks for news every so often."""
+    return writer.trigger(processingTime=every)
+
+
+class Runs:
+    """Queries of which only the latest goes on: a new one stops the one before, whose results are stale."""
+
+    def __init__(self):
+        self.token, self.query = 0, None
+
+    def start(self, writer: DataStreamWriter) -> int:
+        """The token of the new run."""
+        self.stop()
+        self.query, self.token = writer.start(), self.token + 1
+        return self.token
+
+    def current(self, token: int) -> bool:
+        return token == self.token and self.query is not None and self.query.isActive
+
+    def stop(self) -> None:
+        if self.query is not None:
+            self.query.stop()
 
 
 def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:

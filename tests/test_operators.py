@@ -87,10 +87,47 @@ def test_votes_and_splits(spark):
     readings = spark.createDataFrame([(r, s, p * 100 + o, 0.5) for p, r, o, s in ITEM] + [(3, 6, 1, 0.09), (4, 6, 2, 0.15)], "row_id long, size int, ord long, err double")
     won = {r.row_id: r["size"] for r in A.size_vote(readings).collect()}
     assert won == {1: 3, 3: 6}  # row 2 is an even mix, row 4 a lone reading of large error
-    splits = sorted((r.row_id, r["size"], r.new_row) for r in A.row_split(readings, None).collect())
+    splits = sorted((r.row_id, r["size"], r.new_row) for r in A.row_split(readings).collect())
     assert splits == [(1, 4, 5), (2, 5, 6)]
 
 
+def test_split_moves_quantities(spark):
+    """Rows come in the order of their first readings; what moves is counted anew, doubts and pages too."""
+    items = spark.createDataFrame([(1, 0, 9, 2), (2, 0, 9, None), (3, 0, 9, 4), (4, 0, 9, 1), (1, 1, 5, 7), (2, 1, 5, 7), (3, 1, 5, 1), (4, 1, 5, 1), (9, 0, 5, 3)], "page long, item_ord long, row_id long, qty long")
+    sizes = {(1, 0): 3, (2, 0): 4, (3, 0): 3, (4, 0): 4, (1, 1): 6, (2, 1): 6, (3, 1): 8, (4, 1): 8}
+    readings = spark.createDataFrame([(p, o, 9 if o == 0 else 5, s, p * 100 + o) for (p, o), s in sizes.items()], "page long, item_ord long, row_id long, size int, ord long")
+    out = {r.row_id: (r["count"], r.unsure, r.n_pages) for r in A.parts_list(A.split_items(items, readings, ["page", "item_ord"])).collect()}
+    assert out == {9: (6, False, 2), 10: (2, True, 2), 5: (17, False, 3), 11: (2, False, 2)}
+
+
+def test_quantiles_are_those_of_numpy(spark):
+    rng = np.random.default_rng(0)
+    for v in (rng.normal(size=700), rng.integers(0, 5, 300).astype(float), np.array([3.0]), np.concatenate([np.zeros(500), [1e9]])):
+        df = spark.createDataFrame([(int(k % 2), float(x)) for k, x in enumerate(v)] + [(0, None)], "g int, v double")
+        shares = {"a": 0.0, "b": 0.31, "c": 0.5, "d": 0.999, "e": 1.0}
+        r = A.quantiles(df, [], "v", shares).head()
+        assert np.allclose([r[k] for k in shares], np.quantile(v, list(shares.values())))
+        for r in A.quantiles(df, ["g"], "v", shares).collect():
+            assert np.allclose([r[k] for k in shares], np.quantile(v[r.g :: 2], list(shares.values())))
+        assert A.upper_median_of(df, [], F.col("v"), "m").head().m == sorted(v)[len(v) // 2]
+    assert A.quantiles(df.limit(0), ["g"], "v", shares).count() == 0
+
+
+def test_global_rank(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000 // 3, i) for i in range(1000)], "v long, i long").repartition(5)
+    got = WN.global_rank(df, F.desc("v"), "i").collect()
+    assert [(r.v, r.i) for r in sorted(got, key=lambda r: r["rank"])] == sorted(((r.v, r.i) for r in got), key=lambda x: (-x[0], x[1]))
+    assert sorted(r["rank"] for r in got) == list(range(1, 1001)) and WN.global_rank(df.limit(0), "v").count() == 0
+
+
+def test_twins_in_blocks(spark):
+    x = np.random.default_rng(3).normal(size=(300, 9))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    d = sorted((float(np.linalg.norm(x[i] - x[j])), i, j) for i in range(300) for j in range(i + 1, 300))[:15]
+    for block in (40, 1000):
+        assert [(r.a, r.b) for r in M.twins(df, "k", "v", 15, block).collect()] == [(i, j) for _, i, j in d]
+
+
 def test_parts_list_counts_unread_once(spark):
     df = spark.createDataFrame([(1, 7, None), (2, 7, 3), (2, 8, 1)], "page long, row_id long, qty long")
     out = {r.row_id: (r["count"], r.unsure, r.n_pages, r.first_page) for r in A.parts_list(df).collect()}
@@ -101,9 +138,67 @@ def test_parts_list_counts_unread_once(spark):
 
 
 def test_publish_and_adopt(spark):
-    df = spark.createDataFrame([(1, 7, None), (2, 7, 3)], "page long, row_id long, qty long")
-    r = V.adopt(V.publish(df, F.lit("n"))).head()
-    assert (r.row_id, r.c, r.u, r.p, r.a) == (7, 4, True, [1, 2], [128.0] * 3)
+    df = spark.createDataFrame([("n", 7, 1, 0, None, (0.12345, 0.5, 1.0, 0.25)), ("n", 7, 2, 1, 3, None), ("n", 8, 2, 0, 2, None)], "name string, row_id long, page long, item_ord long, qty long, rect struct<x:double,y:double,w:double,h:double>")
+    rows = spark.createDataFrame([(7, "pic", [4, 2], [1.0, 2.0, 3.5])], "row_id long, thumb string, size array<int>, colour array<double>")
+    a, b = V.adopt(V.publish(df, rows)).orderBy("row_id").collect()
+    assert (a.row_id, a.t, a.c, a.u, a.p, a.s, a.a) == (7, "pic", 4, True, [1, 2], [4, 2], [1.0, 2.0, 3.5])
+    assert [(x.p, x.q, x.r) for x in a.e] == [(1, None, [0.1235, 0.5, 1.0, 0.25]), (2, 3, None)]
+    assert (b.row_id, b.t, b.s, b.a) == (8, None, None, [128.0] * 3)
+
+
+def plain_families(rows):
+    """The hue families of one document by the rules, one step after the other."""
+    import colorsys
+
+    free = sorted((colorsys.rgb_to_hls(r / 255, g / 255, b / 255)[0] * 360, k, n) for k, r, g, b, n in rows)
+    gaps = [(free[(i + 1) % len(free)][0] - h) % 360 if len(free) > 1 else 360 for i, (h, _, _) in enumerate(free)]
+    cut = (gaps.index(max(gaps)) + 1) % len(free)
+    turned, last, up = [], None, 0
+    for h, k, n in free[cut:] + free[:cut]:
+        if last is not None and h + up < last:
+            up += 360
+        last = h + up
+        turned.append((last, k, n))
+    clusters = [[turned[0]]]
+    for x in turned[1:]:
+        if x[0] - clusters[-1][-1][0] >= 22:
+            clusters.append([])
+        clusters[-1].append(x)
+    centre = lambda c: sum(u * n for u, _, n in c) / sum(n for _, _, n in c) % 360
+    i = len(clusters) - 1
+    while i >= 0 and len(clusters) > 1:
+        if "-" in C.name_of_hue(centre(clusters[i])) and len(clusters[i]) < 2:
+            left = clusters[i][0][0] - clusters[i - 1][-1][0] if i else float("inf")
+            right = clusters[i + 1][0][0] - clusters[i][-1][0] if i + 1 < len(clusters) else float("inf")
+            to = i - 1 if left <= right else i + 1
+            clusters[to] = sorted(clusters[to] + clusters[i])
+            del clusters[i]
+        i -= 1
+    return {k: (C.name_of_hue(centre(c)), round(centre(c), 4)) for c in clusters for _, k, _ in c}
+
+
+def test_hue_families(spark):
+    import colorsys
+
+    rng = np.random.default_rng(5)
+    rows, folded = [], 0
+    for doc in range(12):
+        for k in range(int(rng.integers(1, 9))):
+            r, g, b = (round(255 * x) for x in colorsys.hls_to_rgb(rng.random(), 0.5, 0.9))
+            rows.append((doc, doc * 100 + k, r, g, b, int(rng.integers(1, 9))))
+    rows += [(0, 990, 0, 0, 0, 5), (0, 991, 128, 128, 128, 5), (0, 992, 129, 128, 128, 9)]
+    df = spark.createDataFrame(rows, "doc int, row_id long, r int, g int, b int, count long")
+    out = {(r.doc, r.row_id): r for r in V.hue_families(df, "doc").collect()}
+    assert len(out) == len(rows) and [out[0, k].family for k in (990, 991, 992)] == ["black", "grey", "grey"] and out[0, 992].place == 1 and out[0, 990].family_order == -4
+    for doc in range(12):
+        want = plain_families([x[1:] for x in rows if x[0] == doc and x[1] < 990 + 100 * 12 and x[1] not in (990, 991, 992)])
+        least = {}
+        for name, c in want.values():
+            least[name] = min(least.get(name, 999), c)
+        for k, (name, _) in want.items():
+            assert out[doc, k].family == name and abs(out[doc, k].family_order - least[name]) < 0.01
+            folded += "-" in name
+    assert folded
 
 
 def test_leader_clusters_invariants(spark):
@@ -130,7 +225,13 @@ def test_first_match_is_not_nearest():
 def test_two_means_and_folding():
     side, gap = C.two_means(np.array([[1.0, 0], [0.99, 0.1], [0, 1.0]]))
     assert side[0] == side[1] != side[2] and gap > 1
-    assert C.fold_small([5, 1, 4], [10.0, 30.0, 100.0], [False, True, False]) == [0, 0, 1]
+    cluster = lambda k, n, low, high: {"n": n, "low": low, "high": high, "weight": n, "moment": n * (low + high) / 2, "members": [k]}
+    out = C.fold_small([cluster(0, 5, 0.0, 20.0), cluster(1, 1, 91.0, 91.0), cluster(2, 4, 130.0, 131.0)])
+    assert [c["members"] for c in out] == [[0], [2, 1]] and out[1]["low"] == 91.0
+    x = np.random.default_rng(0).normal(size=(1300, 3))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    i, j = C.farthest(x)
+    assert abs(d[i, j] - d.max()) < 1e-9
     assert C.two_means(np.zeros((1, 2)))[1] == 0
 
 
