@@ -61,6 +61,8 @@ KINDS = {
 KIND_OF = {w: k for k, ws in KINDS.items() for w in ws}
 TAG_KIND = {"nav": "nav", "menu": "nav", "footer": "footer", "header": "header", "aside": "side", "form": "form", "fieldset": "form", "select": "form", "button": "form", "dialog": "notice", "article": "content", "main": "content", "search": "form"}
 HINTS = re.compile(r"©|\(c\) ?\d{4}|all rights|copyright|cookie|privacy|terms of|subscribe|newsletter|sign up|log ?in|advert|sponsored|share this|read more|follow us|related|leave a (?:reply|comment)|datenschutz|impressum|politique de|confidentialit|privacidad|derechos", re.I)
+#: Each phrase of HINTS has one of these, which are found sooner.
+STEMS = "©|(c)|all rights|copyright|cookie|privacy|terms of|subscribe|newsletter|sign up|log|advert|sponsored|share this|read more|follow us|related|leave a|datenschutz|impressum|politique de|confidentialit|privacidad|derechos".split("|")
 BASE_KINDS = ("nav", "footer", "header", "side", "ad", "comment", "notice", "share", "form", "content")
 TAGS_SEEN = "p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figcaption div span a button label option section body caption".split()
 
@@ -252,7 +254,8 @@ def block_features(blocks: list[tuple[str, Frame, int]]) -> list[tuple[str, ...]
         share = 3 if links >= 0.9 * n else 2 if links >= 0.4 * n else 1 if links else 0
         end = "stop" if t[-1] in ".!?…:\"”»" else "none"
         f = [f"len:{size}", f"link:{share}", f"end:{end}", f"len+link:{size},{share}", f"inner+len:{frame.inner},{size}"]
-        if HINT_EVERY * sum(1 for _ in HINTS.finditer(t)) > n:
+        low = t.lower()
+        if any(stem in low for stem in STEMS) and HINT_EVERY * sum(1 for _ in HINTS.finditer(t)) > n:
             f.append("hint")
         if i == 0:
             f.append("first")
