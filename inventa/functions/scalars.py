@@ -169,6 +169,20 @@ def session_name(file: Column, first: Column, last: Column) -> Column:
     return F.concat(F.regexp_replace(file, "(?i)\\.pdf$", ""), F.lit(" ("), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(")"))
 
 
+def session_id() -> Column:
+    """A random (version 4) id; one for each row and each run."""
+    return F.expr("uuid()")
+
+
+def quoted(text: Column) -> Column:
+    """Text as part of an address: a space is %20."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def unquoted(text: Column) -> Column:
+    return F.url_decode(F.replace(text, F.lit("%20"), F.lit("+")))
+
+
 def progress(step: Column, total: Column) -> Column:
     return F.floor((step + 1) / F.nullif(total, F.lit(0)) * 100 + 0.5)
 

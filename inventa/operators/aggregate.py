@@ -120,6 +120,17 @@ def near_median(df: DataFrame, group: list[str], value: str, tolerance: float) -
     return flagged.join(any_near, group).where(F.col("__near") | ~F.col("__any")).drop("__near", "__any").withColumnRenamed("__median", "median")
 
 
+def near_medians(df: DataFrame, group: list[str], tolerance: dict[str, float]) -> DataFrame:
+    """near_median by several values at once: a row must be near in all of them."""
+    joined = df
+    for v in tolerance:
+        joined = joined.join(upper_median_of(df, group, F.col(v), f"__m_{v}"), group)
+    near = reduce(Column.__and__, [F.abs(F.col(v) - F.col(f"__m_{v}")) <= t * F.col(f"__m_{v}") for v, t in tolerance.items()])
+    flagged = joined.withColumn("__near", near)
+    any_near = flagged.groupBy(*group).agg(F.bool_or("__near").alias("__any"))
+    return flagged.join(any_near, group).where(F.col("__near") | ~F.col("__any")).select(*df.columns)
+
+
 def believable(df: DataFrame, pitch: str, share: float = 0.34) -> DataFrame:
     """Readings whose pitch is not far below the upper median of positive ones; a missing pitch passes, and so do all where there is no median."""
     med = upper_median_of(df.where(F.col(pitch) > 0), [], F.col(pitch), "__median")

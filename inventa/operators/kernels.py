@@ -138,26 +138,56 @@ def solve_size(a: tuple[float, float], b: tuple[float, float], span: tuple[float
     return max(nx, ny), min(nx, ny), float(err)
 
 
+def labelled_runs(mask: np.ndarray, eight: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, area) of all runs of true pixels; area is the number of the first run of the connected area.
+    Runs of neighbouring rows that touch are edges, and labels sink along them by pointer jumping: no pixel is walked."""
+    h, w = mask.shape
+    edge = np.diff(np.pad(mask.astype(bool).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (y, start), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    wide, reach = w + 2, int(eight)
+    below = (y + 1) * wide
+    low = np.searchsorted(y * wide + end, below + start + 1 - reach)
+    high = np.searchsorted(y * wide + start, below + end - 1 + reach, "right")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(y)), n)
+    b = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    area = np.arange(len(y))
+    while len(a):
+        least = np.minimum(area[a], area[b])
+        np.minimum.at(area, area[a], least)
+        np.minimum.at(area, area[b], least)
+        area = area[area]
+        live = area[a] != area[b]
+        a, b = a[live], b[live]
+    while (area != area[area]).any():
+        area = area[area]
+    return y, start, end, area
+
+
 def components(mask: np.ndarray, eight: bool = False) -> list[tuple[int, int, int, int, int]]:
     """(x0, y0, x1, y1, pixels) of connected areas, bounds inclusive, in order of their first pixel."""
-    h, w = mask.shape
-    left, out = mask.astype(bool).copy(), []
-    near = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if eight else [])
-    for y, x in np.argwhere(mask):
-        if not left[y, x]:
-            continue
-        left[y, x], stack, seen = False, [(y, x)], []
-        while stack:
-            p = stack.pop()
-            seen.append(p)
-            for dy, dx in near:
-                q = p[0] + dy, p[1] + dx
-                if 0 <= q[0] < h and 0 <= q[1] < w and left[q]:
-                    left[q] = False
-                    stack.append(q)
-        ys, xs = zip(*seen)
-        out.append((min(xs), min(ys), max(xs), max(ys), len(seen)))
-    return [tuple(int(v) for v in c) for c in out]
+    y, start, end, area = labelled_runs(mask, eight)
+    if not len(y):
+        return []
+    order = np.argsort(area, kind="stable")
+    at = np.flatnonzero(np.diff(area[order], prepend=-1))
+    y, start, end = y[order], start[order], end[order]
+    found = (np.minimum.reduceat(start, at), y[at], np.maximum.reduceat(end, at) - 1, np.maximum.reduceat(y, at), np.add.reduceat(end - start, at))
+    return [tuple(c) for c in np.stack(found, 1).tolist()]
+
+
+def component_masks(mask: np.ndarray, eight: bool = True) -> list[np.ndarray]:
+    """Each connected area alone, cut to its bounds, in the order of `components`."""
+    y, start, end, area = labelled_runs(mask, eight)
+    out = []
+    for k in np.unique(area):
+        own = np.flatnonzero(area == k)
+        x0, y0 = start[own].min(), y[own].min()
+        local = np.zeros((y[own].max() - y0 + 1, end[own].max() - x0), bool)
+        for r, a, b in zip(y[own], start[own], end[own]):
+            local[r - y0, a - x0 : b - x0] = True
+        out.append(local)
+    return out
 
 
 def opening(mask: np.ndarray, size: int = 3) -> np.ndarray:
@@ -244,3 +274,81 @@ def mask_components(data: pd.Series, width: pd.Series) -> pd.Series:
 
 def boxes(mask: Column, width: Column) -> Column:
     return F.inline(mask_components(mask, width))
+
+
+def slide(img: np.ndarray, how, radius: int) -> np.ndarray:
+    """`how` (np.maximum or np.minimum) over squares around each pixel; at the rim over what is there."""
+    for axis in (0, 1):
+        fill = -np.inf if how is np.maximum else np.inf
+        wide = np.pad(img.astype(float), [(radius, radius) if k == axis else (0, 0) for k in (0, 1)], constant_values=fill)
+        n = img.shape[axis]
+        img = how.reduce([np.take(wide, np.arange(k, k + n), axis) for k in range(2 * radius + 1)])
+    return img
+
+
+def flat_areas(img: np.ndarray, radius: int = 2, tolerance: float = 8) -> np.ndarray:
+    """Pixels of a colour image around which grey hardly changes."""
+    grey = img.astype(float).mean(2)
+    return slide(grey, np.maximum, radius) - slide(grey, np.minimum, radius) <= tolerance
+
+
+def modal_colour(px: np.ndarray, shift: int = 3) -> np.ndarray:
+    """Mean of the fullest bin of colours; of equally full bins the one seen first."""
+    key = ((px[:, 0].astype(int) >> shift) << 16) | ((px[:, 1].astype(int) >> shift) << 8) | (px[:, 2].astype(int) >> shift)
+    bins, first, which, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    best = np.lexsort((first, -n))[0]
+    return px[which == best].astype(float).mean(0)
+
+
+def flat_pixels(img: np.ndarray, step: int = 2, tolerance: int = 24, apart: float = 12) -> np.ndarray:
+    """Pixels whose four samples two pixels away have nearly their sum of channels, and that are not of the page's own colour."""
+    total, page = img.astype(int).sum(2), modal_colour(img.reshape(-1, 3))
+    out = np.zeros(total.shape, bool)
+    inner = total[step:-step, step:-step]
+    near = [total[2 * step :, step:-step], total[: -2 * step, step:-step], total[step:-step, 2 * step :], total[step:-step, : -2 * step]]
+    out[step:-step, step:-step] = np.logical_and.reduce([np.abs(inner - x) <= tolerance for x in near])
+    return out & (np.abs(img - page).max(2) > apart)
+
+
+def candidate_rects(img: np.ndarray, k: float = 1.0, fill: float = 0.55, share: float = 0.55, content: float = 0.01, apart: float = 12) -> list[tuple[int, int, int, int]]:
+    """Bounds of flat areas that are not the page: large enough, filled, no more than a share of it, with something drawn inside."""
+    h, w = img.shape[:2]
+    mask = flat_areas(img) & (np.abs(img - modal_colour(img.reshape(-1, 3))).max(2) > apart)
+    out = []
+    for (x0, y0, x1, y1, n), own in zip(components(mask), component_masks(mask, False)):
+        bw, bh = x1 - x0 + 1, y1 - y0 + 1
+        if bw < 40 * k or bh < 40 * k or bw * bh < 2000 * k * k or bw * bh > share * h * w or n < fill * bw * bh:
+            continue
+        box = img[y0 : y1 + 1, x0 : x1 + 1].astype(float)
+        if (np.abs(box - np.median(box[own], axis=0)).max(2) > 30).mean() >= content:
+            out.append((x0, y0, x1, y1))
+    return out
+
+
+def cropped(ink: np.ndarray, pad: int = 2) -> tuple[int, int, int, int]:
+    """(x0, y0, x1, y1) around what is drawn and a rim, bounds inclusive; all of it where nothing is drawn."""
+    ys, xs = np.nonzero(ink)
+    h, w = ink.shape
+    if not len(ys):
+        return 0, 0, w - 1, h - 1
+    return max(0, int(xs.min()) - pad), max(0, int(ys.min()) - pad), min(w - 1, int(xs.max()) + pad), min(h - 1, int(ys.max()) + pad)
+
+
+def resized(img: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Nearest pixels."""
+    h, w = img.shape[:2]
+    return img[np.minimum((np.arange(height) + 0.5) * h / height, h - 1).astype(int)][:, np.minimum((np.arange(width) + 0.5) * w / width, w - 1).astype(int)]
+
+
+def pitch_feature(grey: np.ndarray, size: int = 64, low: float = 2, high: float = 16) -> tuple[float, float]:
+    """(periods across the picture, how far they stand out): the peak of the spectrum of a windowed square."""
+    a = resized(grey, size, size).astype(float)
+    a = (a - a.mean()) * np.outer(np.hanning(size), np.hanning(size))
+    f = np.abs(np.fft.fftshift(np.fft.fft2(a)))
+    y, x = np.mgrid[-size // 2 : size // 2, -size // 2 : size // 2]
+    far = np.hypot(x, y)
+    band = (far >= low) & (far <= high)
+    if f[band].max() <= 0:
+        return 0.0, 0.0
+    k = int(np.argmax(np.where(band, f, -1)))
+    return float(far.flat[k]), float(f.flat[k] / (f[band].mean() + 1e-9))

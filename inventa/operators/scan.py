@@ -30,8 +30,9 @@ def consistent_boxes(df: DataFrame, box: list[str], scale: str, slot: str, n_sca
     return per.groupBy(*box).agg(F.count("*").alias("scales"), F.min("slots").alias("slots"), F.max("slots").alias("most")).where((F.col("scales") == n_scales) & (F.col("slots") == F.col("most"))).drop("most")
 
 
-def zoom(area, per: float = 20000.0, margin: float = 1.3, cap: float = 4.0, most: float = 4.5e6):
-    """How much a region is enlarged before it is measured again; null where it is not worth it."""
-    k = F.greatest(F.lit(1.0), F.least(F.lit(cap), F.sqrt(F.lit(per * margin) / F.nullif(area, F.lit(0)))))
-    k = F.least(k, F.sqrt(F.lit(most) / F.nullif(area, F.lit(0))))
-    return F.when(k > 1.05, k)
+def zoom(area, box, per: float = 20000.0, margin: float = 1.3, cap: float = 4.0, most: float = 4.5e6, least: float = 1.05):
+    """How much a callout is enlarged before it is measured again, by the area of its largest picture; null where that is
+    not worth it. An enlarged callout has no more than `most` pixels."""
+    k = F.least(F.lit(cap), F.greatest(F.lit(1.0), F.sqrt(F.lit(per * margin) / F.nullif(area, F.lit(0.0)))))
+    bound = F.when(box * k * k > most, F.sqrt(F.lit(most) / box)).otherwise(k)
+    return F.when((k > least) & (bound > least), bound)

@@ -51,6 +51,14 @@ def silent(pings: DataFrame, watches: DataFrame, ts: str = "ts", wait_s: float =
     return watches.join(heard, "watch", "left").select("watch", (late & F.col("heard").isNull()).alias("alert"))
 
 
+def adopt(local: DataFrame, remote: DataFrame, key: str, version: str) -> DataFrame:
+    """Local rows, or the remote row of the same key where that has a higher version."""
+    newer = remote.select(key, *[F.col(c).alias(f"__{c}") for c in local.columns if c != key])
+    met = local.join(newer, key, "left")
+    take = F.coalesce(F.col(f"__{version}") > F.col(version), F.lit(False))
+    return met.select(*[F.col(c) if c == key else F.when(take, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in local.columns])
+
+
 def payload(df: DataFrame, fields: dict[str, str], name: str = "data") -> DataFrame:
     """The state that is shared, as one struct: field names and the columns they come from."""
     return df.withColumn(name, F.struct(*[F.col(c).alias(f) for f, c in fields.items()]))

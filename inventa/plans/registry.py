@@ -18,14 +18,14 @@ def _shipped(f):
 
 
 def queries() -> dict:
-    from inventa.plans import regions  # noqa: F401
+    from inventa.plans import more, pixels, regions  # noqa: F401
     from inventa.plans.queries import QUERIES
 
     return {name: _shipped(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from inventa.plans import regions  # noqa: F401
+    from inventa.plans import more, pixels, regions  # noqa: F401
     from inventa.plans.queries import SQL
 
     return dict(SQL)

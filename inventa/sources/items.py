@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from inventa.functions.scalars import hex_from_bits
+
 RESULTS = T.StructType([T.StructField("name", T.StringType()), T.StructField("from", T.LongType()), T.StructField("to", T.LongType()), T.StructField("rows", T.ArrayType(T.StructType([
     T.StructField("c", T.LongType()), T.StructField("u", T.BooleanType()), T.StructField("p", T.ArrayType(T.LongType())), T.StructField("a", T.ArrayType(T.DoubleType())),
 ])))])
@@ -47,12 +52,66 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return side("a").unionByName(side("b"))
 
 
+TEMPLATE = r"label\W+(\w)\W+bits\W+([0-9a-fA-F]+)"
+
+
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, label, bits as hex) found in a script file; the order is that of the file."""
+    """(ord, label, bits as hex) found in a script file; the order is that of the file. A file without any is an error."""
     text = spark.read.option("wholetext", True).text(path)
-    found = text.select(F.posexplode(F.regexp_extract_all("value", F.lit(r"label\W+(\w)\W+bits\W+([0-9a-fA-F]+)"), F.lit(0))).alias("ord", "m"))
-    one = lambda i: F.regexp_extract("m", r"label\W+(\w)\W+bits\W+([0-9a-fA-F]+)", i)
-    return found.select("ord", one(1).alias("label"), one(2).alias("bits"))
+    found = text.select(F.posexplode(F.regexp_extract_all("value", F.lit(TEMPLATE), F.lit(0))).alias("ord", "m"))
+    one = lambda i: F.regexp_extract("m", TEMPLATE, i)
+    out = found.select("ord", one(1).alias("label"), one(2).alias("bits"))
+    if out.isEmpty():
+        raise ValueError(f"no templates in {path}")
+    return out
+
+
+def with_nine(templates: DataFrame) -> DataFrame:
+    """Templates (label, bits as an array) and a 9, which is the 6 turned by half a circle."""
+    return templates.where("label <> '9'").unionByName(templates.where("label = '6'").select(F.lit("9").alias("label"), F.reverse("bits").alias("bits")))
+
+
+def write_templates(templates: DataFrame, path: str) -> None:
+    """One script file of templates (label, bits as an array) by label; they are some dozens."""
+    line = F.concat(F.lit("  { label: \""), "label", F.lit("\", bits: \""), hex_from_bits(F.col("bits")), F.lit("\", n: "), F.size("bits").cast("string"), F.lit(" },"))
+    lines = templates.select("label", line.alias("line")).groupBy().agg(F.array_sort(F.collect_list(F.struct("label", "line"))).alias("all"))
+    lines.select(F.concat(F.lit("const TEMPLATES = [\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n"), F.lit("\n];")).alias("value")).coalesce(1).write.text(path)
+
+
+DUMP = "page long, box long, item long, qty_raw string, thumb string"
+
+
+def write_results(items: DataFrame, path: str) -> None:
+    """A line of JSON for each item: page, box, place, the quantity as it was read, and the name of its picture."""
+    name = F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_b"), F.col("box").cast("string"), F.lit("_i"), F.col("item_ord").cast("string"), F.lit(".png"))
+    items.select("page", "box", F.col("item_ord").alias("item"), "qty_raw", name.alias("thumb")).write.json(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(DUMP).json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at the path; it is made and written first if it is not there. A table that is not finished counts as none."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def awaited(spark: SparkSession, path: str, tries: int = 40, wait_s: float = 0.4) -> bool:
+    """Whether a file that was asked for arrives in time."""
+    for k in range(tries):
+        if exists(spark, path):
+            return True
+        if k + 1 < tries:
+            time.sleep(wait_s)
+    return False
 
 
 def read_rasters(spark: SparkSession, path: str) -> DataFrame:
