@@ -27,14 +27,12 @@ def autocorrelation(img: np.ndarray, lag: int = MOST_LAG) -> np.ndarray:
 def peaks(r: np.ndarray, radius: int = 8, top: int = TOP) -> list[tuple[int, int, float]]:
     """Strongest local maxima of one half plane as (dx, dy, value)."""
     lag = r.shape[0] // 2
-    out = []
-    for y in range(1, r.shape[0] - 1):
-        for x in range(1, r.shape[1] - 1):
-            dx, dy = x - lag, y - lag
-            if dy < 0 or (dy == 0 and dx <= 0) or dx * dx + dy * dy < radius * radius or max(abs(dx), abs(dy)) > lag - 2:
-                continue
-            if r[y, x] >= r[y - 1 : y + 2, x - 1 : x + 2].max() and r[y, x] > 0:
-                out.append((dx, dy, float(r[y, x])))
+    inner = r[1:-1, 1:-1]
+    around = np.maximum.reduce([r[i : i + inner.shape[0], j : j + inner.shape[1]] for i in range(3) for j in range(3)])
+    y, x = np.nonzero((inner >= around) & (inner > 0))
+    dx, dy = x + 1 - lag, y + 1 - lag
+    ok = ((dy > 0) | ((dy == 0) & (dx > 0))) & (dx * dx + dy * dy >= radius * radius) & (np.maximum(np.abs(dx), np.abs(dy)) <= lag - 2)
+    out = [(int(a), int(b), float(v)) for a, b, v in zip(dx[ok], dy[ok], inner[y, x][ok])]
     best = max((p[2] for p in out), default=0.0)
     return sorted((p for p in out if p[2] >= LEAST_PEAK * best), key=lambda p: (-p[2], p[1], p[0]))[:top]
 

@@ -311,3 +311,53 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a.ppm").write_bytes(b"P6\n2 1\n255\n" + bytes(range(6)))
     r = I.read_rasters(spark, str(tmp_path / "a.ppm")).head()
     assert (r.width, r.height, bytes(r["data"])) == (2, 1, bytes(range(6)))
+
+
+def test_two_means_split_equals_all_pairs(spark, small):
+    from inventa.plans.registry import queries
+
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").collect()
+    got = {r.vec_id: (r.side, r.gap) for r in queries()["two_means_split"](spark, small).collect()}
+    assert len(got) == len(rows)
+    for label in {r.label for r in rows}:
+        own = sorted((r.vec_id, r.embedding) for r in rows if r.label == label)
+        x = np.array([v for _, v in own], float)
+        d = [[float(np.linalg.norm(a - b)) for b in x] for a in x]
+        _, i, j = max((round(d[i][j], 9), -i, -j) for i in range(len(x)) for j in range(i, len(x)))
+        centres, side = [x[-i], x[-j]], None
+        for _ in range(25):
+            new = [0 if np.linalg.norm(v - centres[0]) <= np.linalg.norm(v - centres[1]) else 1 for v in x]
+            if new == side:
+                break
+            side = new
+            for k in (0, 1):
+                if k in side:
+                    m = np.mean([v for v, s in zip(x, side) if s == k], axis=0)
+                    centres[k] = m / np.linalg.norm(m)
+        gap = float(np.linalg.norm(centres[0] - centres[1]))
+        assert [got[v][0] for v, _ in own] == side and all(abs(got[v][1] - gap) < 1e-5 for v, _ in own)
+
+
+def test_files_come_back(spark, tmp_path):
+    from inventa.sources import items as I
+
+    with pytest.raises(ValueError, match="no templates"):
+        (tmp_path / "none.js").write_text("const X = 1;")
+        I.read_templates(spark, str(tmp_path / "none.js"))
+    assert I.awaited(spark, str(tmp_path / "none.js")) and not I.awaited(spark, str(tmp_path / "never"), 2, 0.01)
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    assert [I.cached(spark, str(tmp_path / "t"), make).count() for _ in (1, 2)] == [3, 3] and made == [1]
+    t = spark.createDataFrame([("6", [1, 0, 0, 1, 1]), ("9", [1] * 5)], "label string, bits array<int>")
+    assert {r.label: r.bits for r in I.with_nine(t).collect()} == {"6": [1, 0, 0, 1, 1], "9": [1, 1, 0, 0, 1]}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from inventa.sources import shared
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://somewhere:7077")
+    fake = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.prepare(fake)
