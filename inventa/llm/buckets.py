@@ -33,7 +33,9 @@ def spread(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int,
     """Documents with their bucket, and how many buckets and parts there are."""
     prepare(docs.sparkSession)
     n = -(-(docs.agg(F.sum(F.octet_length(text_col))).head()[0] or 0) // BUCKET_BYTES) + 1
-    return docs.withColumn(BUCKET, F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int")), n, -(-n // PER_PART)
+    # Rows without a text take part in no list and may be many: they go anywhere.
+    where = F.when(F.coalesce(F.length(text_col), F.lit(0)) == 0, F.xxhash64(F.spark_partition_id())).otherwise(F.xxhash64(id_col, text_col))
+    return docs.withColumn(BUCKET, F.pmod(where, F.lit(n)).cast("int")), n, -(-n // PER_PART)
 
 
 def ordered(group: pa.Table, id_col: str, text_col: str) -> pa.Table:

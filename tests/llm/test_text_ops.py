@@ -615,3 +615,28 @@ def test_blobs_return(values, signed):
     assert textscan.unpack_ints(textscan.pack_ints(np.array(signed, np.int64))).tolist() == signed
     cut = textscan.cuts(v, 63, 5)
     assert cut[0] == 0 and cut[-1] == len(v) and (np.diff(cut) >= 0).all()
+
+
+def test_texts_of_several_megabytes(spark):
+    """One text of each kind that is long: prose, one word, one sign, no space at all, white space; each operator gives what it gives for short ones."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50_000, 400_000)), "again " * 500_000, "z" * 2_000_000, "\n" * 2_000_000, "é漢 " * 500_000]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = table(spark, rows).repartition(2)
+    lengths = [len(words(t)) for t in texts]
+    out = {r.doc_id: r for r in op2_substrings.remove_repeats(df).select("doc_id", "n_words", "n_removed").collect()}
+    assert [out[i].n_words for i in range(5)] == lengths and not any(r.n_removed for r in out.values())
+    counts = {r.doc_id: r for r in op4_quality.measure(df).collect()}
+    assert [counts[i].n_words for i in range(5)] == lengths and counts[1].n_repeat_words == 500_000
+    assert {r.id: r.class_id for r in op9_simhash.near_duplicates(df).collect()} == {i: i for i in range(5)}
+    assert {r.doc_id: r.n_words for r in op5_backoff.backoff_scores(df).collect()} == dict(enumerate(lengths))
+    bench = table(spark, [(1, " ".join(texts[0].split()[1000:1100])), (2, "again " * 300)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in op7_tiling.tilings(df, bench).collect()} == {(0, 1), (1, 2)}
+    path = op1_bpe.tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    coded = op1_bpe.decode(op1_bpe.encode(df, path), path).select("doc_id", "text", "decoded").collect()
+    assert all(r.decoded == r.text.encode() for r in coded)
+    few = table(spark, [(i, t) for i, t in rows if i != 2])
+    n = {r.doc_id: r.n_tokens for r in op8_tokens.count_tokens(few, op1_bpe.tokenizer_path("byte_bpe_50k.json")).collect()}
+    assert set(n) == {0, 1, 3, 4} and n[1] >= 500_000
+    scored = op6_toxicity.score(df, (np.zeros(0, np.uint32), np.zeros(0), -1.0)).collect()
+    assert len({r.score for r in scored}) == 1
