@@ -127,10 +127,11 @@ def parse_quantity(text: Column, most: int = 200) -> Column:
     return F.when(n.between(1, most), n)
 
 
-def page_summary(pages: Column, most: int = 8) -> Column:
-    """Up to `most` pages, else one fewer and how many more there are."""
+def page_summary(pages: Column, most: int = 8, total: Column | None = None) -> Column:
+    """Up to `most` pages, else one fewer and how many more there are. With `total`, `pages` may be only the first `most` of them."""
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ", ")
-    return F.when(F.size(pages) <= most, text(pages)).otherwise(F.concat(text(F.slice(pages, 1, most - 1)), F.lit(" +"), (F.size(pages) - (most - 1)).cast("string")))
+    n = F.size(pages) if total is None else total
+    return F.when(n <= most, text(pages)).otherwise(F.concat(text(F.slice(pages, 1, most - 1)), F.lit(" +"), (n - (most - 1)).cast("string")))
 
 
 def newer_version(a: Column, b: Column) -> Column:

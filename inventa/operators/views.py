@@ -44,6 +44,13 @@ def part_entries(items: DataFrame, row_id: int) -> DataFrame:
     return items.where(F.col("row_id") == row_id)
 
 
+def first_pages(items: DataFrame, row: str = "row_id", page: str = "page", most: int = 8) -> DataFrame:
+    """(row, pages, n_pages): the first pages of each row, as many as a summary shows, and how many there are."""
+    w = W.partitionBy(row)
+    placed = items.select(row, page).distinct().select(row, page, F.row_number().over(w.orderBy(page)).alias("__k"))
+    return placed.groupBy(row).agg(F.array_sort(F.collect_list(F.when(F.col("__k") <= most, F.col(page)))).alias("pages"), F.count("*").alias("n_pages"))
+
+
 def publish(items: DataFrame, rows: DataFrame) -> DataFrame:
     """(name, payload): one JSON document for each name, with its first and last page and its rows.
 

@@ -181,8 +181,7 @@ def parse_quantity(spark, sf):
 SELECT row_id, CASE WHEN len(pages) <= 8 THEN array_to_string(pages, ', ')
   ELSE array_to_string(pages[1:7], ', ') || ' +' || (len(pages) - 7) END AS pages FROM p""")
 def page_summary(spark, sf):
-    p = items(spark, sf).groupBy("row_id").agg(F.array_sort(F.collect_set("page")).alias("p"))
-    return p.select("row_id", S.page_summary(F.col("p")).alias("pages"))
+    return V.first_pages(items(spark, sf)).select("row_id", S.page_summary(F.col("pages"), 8, F.col("n_pages")).alias("pages"))
 
 
 @query("""WITH v AS (SELECT p_partkey AS row_id, (p_partkey % 3) || '.' || (p_partkey % 11) AS a, (p_partkey % 2) || '.' || (p_partkey % 13) || '.' || (p_partkey % 5) AS b FROM part)
