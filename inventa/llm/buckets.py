@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from inventa.llm.common import prepare
 
 BUCKET, PART = "__bucket", "__part"
-BUCKET_BYTES, PER_PART = 5 << 20, 3
+BUCKET_BYTES, PER_PART = 4 << 20, 2
 #: Of a part's lists: `kind` 0 is a question, 1 something that is only passed on to its bucket.
 SENT = f"{PART} int, {BUCKET} int, kind int, n long, keys binary, extra binary"
 ANSWER = f"{BUCKET} int, {PART} int, kind int, reply binary"
