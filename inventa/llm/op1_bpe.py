@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inventa.llm.common import parallel, prepare, table, tidy
-from inventa.llm.pretokens import class_table, pretokens
-from inventa.llm.textscan import pieces, utf8
+from inventa.llm.pretokens import class_table, pretokens, sections
+from inventa.llm.textscan import M1, M3, MASKS, U, mix, pieces, utf8
 
 #: Text that is scanned at once, and slices that a worker keeps: both bound its memory.
-PIECE_BYTES, CACHE_SLICES, CACHE_SLICE_BYTES = 1 << 20, 250_000, 64
+PIECE_BYTES, CACHE_SLICES, CACHE_SLICE_BYTES = 1 << 20, 300_000, 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -93,6 +93,22 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def alike(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each slice's kind, one slice of each kind). Slices of up to 16 bytes are of one kind if their bytes, read
+    as two integers, and their lengths are equal; hashes only sort them. Each longer slice is a kind of its own."""
+    start, n = cut[:-1], np.diff(cut)
+    lanes = np.ndarray((len(data) + 9,), "<u8", buffer=np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
+    a = lanes[start] & MASKS[np.minimum(n, 8)]
+    b = lanes[np.minimum(start + 8, len(data))] & MASKS[np.clip(n - 8, 0, 8)]
+    order = np.argsort(mix(a * M3 ^ mix(b + M1) ^ n.astype(U)), kind="stable")
+    x, y, k = a[order], b[order], n[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (k[1:] != k[:-1]) | (k[1:] > 16)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return which, order[new]
+
+
 class Encoder:
     """One per worker process: ranks, token lengths and the cache of merged slices. table: the class of each code point."""
 
@@ -104,26 +120,34 @@ class Encoder:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.begins = np.cumsum(self.lengths) - self.lengths
+        # Two generations: when the younger one is full, it takes the place of the older one, so frequent slices stay.
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def slice_ids(self, piece: bytes) -> bytes:
-        ids = np.array(merge(piece, self.ranks), "<u4").tobytes()
+        ids = self.older.get(piece) or np.array(merge(piece, self.ranks), "<u4").tobytes()
         if len(piece) <= CACHE_SLICE_BYTES:
             if len(self.cache) >= CACHE_SLICES:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[piece] = ids
         return ids
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> Iterator[bytes]:
-        """Ids of each row as little-endian unsigned 32-bit integers."""
+        """Ids of each row as little-endian unsigned 32-bit integers. Slices of one piece of text that are equal are looked up once."""
         cut, first = pretokens(data, off, self.table)
-        raw, cut, get = data.tobytes(), cut.tolist(), self.cache.get
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            out = []
-            for s, e in zip(cut[a:b], cut[a + 1 : b + 1]):
-                piece = raw[s:e]
-                out.append(get(piece) or self.slice_ids(piece))
-            yield b"".join(out)
+        raw, get = data.tobytes(), self.cache.get
+        which, kinds = alike(data, cut)
+        found = [get(x) or self.slice_ids(x) for x in [raw[s:e] for s, e in zip(cut[kinds].tolist(), cut[kinds + 1].tolist())]]
+        size = np.array([len(x) for x in found], np.int64) // 4
+        begin, n = np.cumsum(size) - size, size[which] if len(found) else np.zeros(0, np.int64)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])] if len(found) else np.zeros(0, "<u4")
+        for a, b in zip(upto[first[:-1]].tolist(), upto[first[1:]].tolist()):
+            yield ids[a:b].tobytes()
+
+    def encode_long(self, data: np.ndarray, limit: int = PIECE_BYTES) -> bytes:
+        """Ids of one long text, section by section."""
+        return b"".join(x for part in sections(data, limit) for x in self.encode(part, np.array([0, len(part)])))
 
     def offsets(self, ids: np.ndarray) -> np.ndarray:
         """Byte at which each token starts."""
@@ -162,7 +186,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
         for batch in batches:
             data, off = utf8(batch.column(text_col))
             for i, j in pieces(off, PIECE_BYTES):
-                ids = [*enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])]
+                ids = [*enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])] if off[j] - off[i] <= 2 * PIECE_BYTES else [enc.encode_long(data[off[i] : off[j]])]
                 starts = [enc.offsets(np.frombuffer(x, "<u4")).astype("<u4").tobytes() for x in ids]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(ids, pa.binary()), pa.array(starts, pa.binary())], names=schema.names)

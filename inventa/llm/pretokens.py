@@ -10,6 +10,7 @@ space, of which the last one before a word is left to the word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -134,3 +135,19 @@ def pretokens(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.
     cut = boundaries(points, first, table)
     cut = cut if place is None else place[cut]
     return np.append(cut, len(data)), np.searchsorted(cut, off)
+
+
+PLAIN = np.zeros(256, bool)
+PLAIN[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+
+
+def sections(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """A text in sections of about `limit` bytes that can be cut into pre-tokens one by one: each ends before a space
+    between two plain letters or digits, where a pre-token starts whatever came before. Without such a place it is whole."""
+    place = np.flatnonzero((data[1:-1] == 0x20) & PLAIN[data[:-2]] & PLAIN[data[2:]]) + 1
+    begin = 0
+    while begin < len(data):
+        k = np.searchsorted(place, begin + limit)
+        end = int(place[k]) if k < len(place) else len(data)
+        yield data[begin:end]
+        begin = end
