@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from inventa.llm.common import parallel, prepare, table
 from inventa.llm.op1_bpe import tokenizer_path
-from inventa.llm.pretokens import class_table, pretokens
+from inventa.llm.pretokens import class_table, pretokens, sections
 from inventa.llm.textscan import M1, M3, MASKS, U, mix, pieces, utf8
 
 SAMPLE_ROWS, TABLE_KEYS, PROBES = 4000, 60_000, 4
@@ -162,6 +162,10 @@ class Counter8:
         np.add.at(found, row, total[first[1:]] - total[first[:-1]])
         return found
 
+    def count_long(self, data: np.ndarray, limit: int = PIECE_BYTES) -> np.ndarray:
+        """Tokens of one long text, section by section; a special string has no space, so none is cut."""
+        return sum(self.count(part, np.array([0, len(part)])) for part in sections(data, limit))
+
 
 #: Counters of this worker, by tokenizer file and table; a worker that is used again keeps its cache.
 WORKER: dict[tuple, Counter8] = {}
@@ -215,7 +219,7 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", out_col: str
         own = counter(path, *shipped.value)
         for batch in batches:
             data, off = utf8(batch.column(text_col))
-            n = [own.count(data[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in pieces(off, PIECE_BYTES)]
+            n = [own.count(data[off[i] : off[j]], off[i : j + 1] - off[i]) if off[j] - off[i] <= 2 * PIECE_BYTES else own.count_long(data[off[i] : off[j]]) for i, j in pieces(off, PIECE_BYTES)]
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(n, pa.int64())], names=schema.names)
 

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inventa.llm import op1_bpe, op2_substrings, op4_quality, op5_backoff, op6_toxicity, op7_tiling, op8_tokens, op9_simhash, textscan
-from inventa.llm.pretokens import scan, step
+from inventa.llm.pretokens import scan, sections, step
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", " ", "\n", "one", "it's  'll\n\nwe 've\t x", "a" * 3000, "é漢字 ١٢3  　x y  ", "<|endoftext|> a<|endoftext|>", "!!!  ???\r\n 12 34", "'s's't 're", "\x1c\x85 x", "word " * 400]
@@ -24,6 +24,7 @@ TEXTS = st.text(alphabet=list("ab1 \n\t'srevlmdt.,é漢 　٣\U0001F600́"), ma
 
 
 CLASSES = zlib.compress(op1_bpe.classes().tobytes())
+CLASSES8 = zlib.compress(op8_tokens.classes().tobytes())
 
 
 def words(text):
@@ -57,6 +58,19 @@ def test_bpe_equals_the_library_and_returns(text):
     assert enc.decode(ids[k:], offsets[k:]) == text.encode()[int(offsets[k]) if k < len(ids) else len(text.encode()) :]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b1", " ", "  ", "'s", "'", "é", "\n", "\u3000", "<|endoftext|>", ".", "x y z"]), max_size=40), st.integers(1, 9))
+def test_sections_of_long_texts_give_the_same(parts, limit):
+    text = "".join(parts)
+    data = np.frombuffer(text.encode(), np.uint8)
+    enc, ids = encode_one(text)
+    assert enc.encode_long(data, limit) == ids.tobytes()
+    path = op1_bpe.tokenizer_path("byte_bpe_50k.json")
+    c = op8_tokens.Counter8(path, op8_tokens.Table({}), np.frombuffer(zlib.decompress(CLASSES8), np.uint8))
+    assert np.sum(c.count_long(data, limit)) == len(op8_tokens.library(path).encode(text, add_special_tokens=False).ids)
+    assert b"".join(x.tobytes() for x in sections(data, limit)) == text.encode()
+
+
 def test_scan_equals_the_automaton():
     rng = np.random.default_rng(0)
     from inventa.llm.pretokens import monoid
