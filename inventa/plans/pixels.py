@@ -14,7 +14,7 @@ from inventa.operators import kernels as K
 from inventa.operators import pixels as P
 from inventa.operators import regions as R
 from inventa.plans.queries import PARTS, query
-from inventa.sources.items import parts
+from inventa.sources import items
 
 FONT = {
     "0": [".###.", "#...#", "#..##", "#.#.#", "##..#", "#...#", ".###."], "1": ["..#..", ".##..", "..#..", "..#..", "..#..", "..#..", ".###."],
@@ -40,6 +40,11 @@ def _image(df, width: int, height: int, background, *rects):
     return df.withColumns({"data": P.painted(F.lit(width), F.lit(height), _rects(*rects), back), "width": F.lit(width), "back": back})
 
 
+def parts(spark, sf):
+    """Parts on all cores: pictures are much work for a small table."""
+    return items.spread(items.parts(spark, sf))
+
+
 def _k():
     return F.col("row_id")
 
@@ -236,7 +241,7 @@ def learned_first(spark, sf):
     return nearest_template(g, both, ["row_id"], hamming(F.col("own"), F.col("bits")), ["label", "source"]).select("row_id", "label", "source")
 
 
-@query()
+@query("SELECT p_partkey AS row_id, 48 AS dim, 1.0::DOUBLE AS length FROM part")
 def embed_pictures(spark, sf):
     """Unit vectors by a network whose weights are made from a seed, since none are published."""
     layers, head = network()
