@@ -4,13 +4,13 @@
 2. In each repetition the coordinates are permuted anew and random centres are drawn on a strip. A fingerprint joins
    the list of each centre to which its partial weight (distance on the strip) is small, so near ones meet in lists
    far more often than others. With very many fingerprints a list is split by the centres of a second strip, and so on
-   (`plan`), before anything is sent, so that the length of a list does not grow with the input. A list that is still
-   long is filtered again on another strip with centres of its own; small lists are searched by brute force. Weights
-   follow the number of fingerprints, and the number of repetitions follows from simulated pairs at the similarity asked
-   for, so that the target recall is met.
-3. A list gives a spanning forest of its pairs within RADIUS, not all pairs. A task that already holds much of a list
-   (a group of copies) keeps its forest and sends on AMBASSADORS members of each large component, drawn anew in each
-   repetition, so no list grows with the number of copies.
+   (`plan`), before anything is sent, so that the length of a list does not grow with the input. Where lists are still
+   long by that plan, each is filtered again on another strip with centres of its own; what is left is searched by brute
+   force, however long it is. Weights follow the number of fingerprints, and the number of repetitions follows from
+   simulated pairs at the similarity asked for, through all filters that there are, so that the target recall is met.
+3. A list gives a spanning forest of its pairs within RADIUS, not all pairs. All its members are sent. A list that near
+   copies make longer than two tasks' share (LONGEST; found by a sample of the fingerprints) is cut into blocks, and each
+   two blocks meet in a task of their own, so that no pair of the list is missed and no task grows with it.
 4. The forest's components (found by large-star and small-star steps, in tables of the shared folder) are verified
    on shingle sets: a pair counts if its Jaccard similarity is at least `similarity`. Pairs inside a class that is
    already whole are skipped, so copies cost one comparison each. A component of more than BLOCK texts or BLOCK_WORDS
@@ -39,9 +39,10 @@ from inventa.llm.textscan import M1, M2, M3, U, gram_hash, inside, mix, pieces,
 SHINGLE, SIMILARITY, BITS, STRIP = 5, 0.8, 256, 64
 #: A pair of similarity 0.8 differs in 39 bits on average; unrelated pairs are within the radius with probability 2e-16.
 RADIUS, RECALL, LIST, LEAF = 64, 0.999, 1000, 3000
-#: The smallest share of fingerprints that a strip can pick out, the longest list that one strip may leave, and the length at which several strips aim.
+#: The smallest share of fingerprints that a strip can pick out, the longest list that one strip may leave (and block of a list), and the length at which several strips aim.
 SHARE, LONGEST, SPLIT = 0.0018, 200_000, 20_000
-AMBASSADORS, LARGE, NODES = 16, 64, 128
+#: Nodes of a forest that are compared at a time, and the pairs that they may be.
+NODES, PAIRS = 128, 1 << 22
 BLOCK, BLOCK_WORDS = 1500, 1_500_000
 PIECE_BYTES, CHUNK_ROWS = 1 << 20, 16384
 PRINT = ("f0", "f1", "f2", "f3")
@@ -156,6 +157,12 @@ def plan(n: int) -> list[tuple[float, float]]:
     return [(max(SHARE, (SPLIT / n) ** (1 / levels)), 1.6 if k == 0 else 3) for k in range(levels)]
 
 
+def refined(n: int) -> float | None:
+    """The share of the filter inside the lists of n fingerprints, if these are long by the plan."""
+    left = n * math.prod(share for share, _ in plan(n))
+    return 500 / left if left > LEAF else None
+
+
 def repetitions(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
     """Repetitions after which a pair at the similarity has met with the target probability, from simulated pairs."""
     rng, levels = np.random.default_rng(5), plan(n)
@@ -166,9 +173,9 @@ def repetitions(n: int, similarity: float = SIMILARITY, recall: float = RECALL)
     met = np.ones(pairs, bool)
     for k, (share, lists) in enumerate(levels):
         met &= together(x, y, [1, 0], share, lists, k)
-        n *= share
-    if n > LEAF:
-        met &= together(x, y, [1, 1], 500 / n, 5)
+    inside_lists = refined(n)
+    if inside_lists:
+        met &= together(x, y, [1, 1], inside_lists, 5)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - max(met.mean(), 1e-3))))
 
 
@@ -197,7 +204,7 @@ def forest(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     radius = RADIUS * 64 * f.shape[1] // BITS
     left, a, b = np.arange(len(f)), [], []
     while len(left) > 1:
-        block = left[:NODES]
+        block = left[: max(1, min(NODES, PAIRS // len(left)))]
         near = sum(np.bitwise_count(x[block, None] ^ x[left]).astype(np.int16) for x in f.T) <= radius
         busy = block[near.sum(1) > 1]
         left = left[len(block) :]
@@ -213,57 +220,67 @@ def forest(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             left = left[left != root]
             waiting[root] = False
             while stack and len(left):
-                x = stack.pop()
-                hit = np.bitwise_count(f[left] ^ f[x]).sum(1, dtype=np.int16) <= radius
+                some = max(1, min(NODES, PAIRS // len(left)))
+                x = np.array(stack[-some:])
+                del stack[-some:]
+                near = sum(np.bitwise_count(c[x, None] ^ c[left]).astype(np.int16) for c in f.T) <= radius
+                hit = near.any(0)
                 if hit.any():
                     new = left[hit]
                     waiting[new] = False
-                    a.append(np.full(len(new), x))
+                    a.append(x[near[:, hit].argmax(0)])
                     b.append(new)
                     stack += new.tolist()
                     left = left[~hit]
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def search(f: np.ndarray, seed: list[int], depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges of a list: filtered again on another strip while it is long, brute force when small."""
-    if len(f) <= LEAF or depth == 2:
+def search(f: np.ndarray, seed: list[int], share: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Forest edges of a list: filtered again on another strip if there is a share for that (`refined`), the rest by brute force.
+    The share is not that of this list: a list longer than planned has longer parts, and no pair meets less often."""
+    if len(f) <= LEAF or share is None:
         return forest(f)
-    strip, centres, w = draw([*seed, depth], max(500 / len(f), 1e-4), 5, bits=64 * f.shape[1])
+    strip, centres, w = draw(seed, share, 5, bits=64 * f.shape[1])
     rows, lists = memberships(bits_of(f), strip, centres, w)
     order = np.argsort(lists, kind="stable")
     rows, lists, out = rows[order], lists[order], []
-    edges = np.flatnonzero(np.diff(lists)) + 1
-    for part in np.split(rows, edges):
-        if len(part) > 1:
-            a, b = search(f[part], seed, depth + 1) if len(part) < 0.7 * len(f) else forest(f[part])
-            out.append((part[a], part[b]))
-    return (np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for part in np.split(rows, np.flatnonzero(np.diff(lists)) + 1):
+        a, b = forest(f[part])
+        out.append((part[a], part[b]))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+LISTED = f"list long, pair long, id long, {PRINT_COLUMNS}"
+LISTED_SCHEMA = pa.schema([("list", pa.int64()), ("pair", pa.int64()), ("id", pa.int64()), *((c, pa.int64()) for c in PRINT)])
 
 
-def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index of each one's component."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        live = label[a] != label[b]
-        a, b = a[live], b[live]
-    while (label != label[label]).any():
-        label = label[label]
-    return label
+def crowded(listed: DataFrame, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of more than two blocks of LONGEST, in order, and how many blocks each has. listed: those of one fingerprint in `every`."""
+    size = F.col("count") * every
+    found = listed.groupBy("list").count().where(size > 2 * LONGEST).select("list", F.ceil(size / LONGEST).alias("blocks")).orderBy("list").toArrow()
+    return found.column("list").to_numpy(), found.column("blocks").to_numpy().astype(np.int64)
 
 
-LISTED = f"list long, a long, b long, {PRINT_COLUMNS}"
-LISTED_SCHEMA = pa.schema([("list", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), *((c, pa.int64()) for c in PRINT)])
+def spread(key: np.ndarray, ids: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, pair of blocks) for members `ids` of the lists `key`: one row each, but one for each other block of a crowded list."""
+    blocks = np.ones(len(key), np.int64)
+    if len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], key), len(hot[0]) - 1)
+        blocks = np.where(hot[0][at] == key, hot[1][at], 1)
+    times = np.maximum(blocks - 1, 1)
+    row = np.repeat(np.arange(len(key)), times)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    many = blocks[row]
+    own = (mix(ids.view(U))[row] % many.astype(U)).astype(np.int64)
+    other += other >= own
+    return row, np.where(many > 1, np.minimum(own, other) * many + np.maximum(own, other), 0)
 
 
 def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) of the forests of all lists over nodes (id, fingerprint)."""
     n = nodes.count()
-    levels, reps = plan(n), repetitions(n, similarity)
+    levels, reps, share = plan(n), repetitions(n, similarity), refined(n)
+    hot = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [[draw([2, r], share, lists, k) for k, (share, lists) in enumerate(levels)] for r in range(reps)]
@@ -280,29 +297,12 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
             bits = bits_of(f)
             for r, levels_of in enumerate(filters):
                 rows, lists = lists_of(bits, levels_of)
-                order = np.argsort(lists, kind="stable")
-                rows, lists = rows[order], lists[order]
-                keep_row, extra = np.ones(len(rows), bool), []
-                edges = np.append(np.append(0, np.flatnonzero(np.diff(lists)) + 1), len(rows))
-                for k in np.flatnonzero(np.diff(edges) >= LARGE):
-                    lo, hi = edges[k], edges[k + 1]
-                    part = rows[lo:hi]
-                    a, b = search(f[part], [3, r, int(lists[lo])])
-                    label = components(len(part), a, b)
-                    size = np.bincount(label, minlength=len(part))[label]
-                    rank = np.empty(len(part), np.int64)
-                    by = np.lexsort((mix(ids[part].view(U) + U(r)), label))
-                    rank[by] = np.arange(len(part)) - np.searchsorted(label[by], label[by])
-                    keep_row[lo:hi] = (size < LARGE) | (rank < AMBASSADORS)
-                    big = size[a] >= LARGE
-                    extra.append((np.full(big.sum(), lists[lo]), ids[part[a[big]]], ids[part[b[big]]]))
-                rows, lists = rows[keep_row], lists[keep_row]
                 key = r * many + lists
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[rows]), pa.nulls(len(rows), pa.int64()), *(pa.array(x[rows].view(np.int64)) for x in f.T)], schema=LISTED_SCHEMA)
-                for l, a, b in extra:
-                    if len(a):
-                        none = pa.nulls(len(a), pa.int64())
-                        yield pa.RecordBatch.from_arrays([pa.array(r * many + l), pa.array(a), pa.array(b), *[none] * len(PRINT)], schema=LISTED_SCHEMA)
+                for i in range(0, len(rows), CHUNK_ROWS):
+                    part = slice(i, i + CHUNK_ROWS)
+                    at, pair = spread(key[part], ids[rows[part]], hot)
+                    x = rows[part][at]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part][at]), pa.array(pair), pa.array(ids[x]), *(pa.array(c[x].view(np.int64)) for c in f.T)], schema=LISTED_SCHEMA)
 
         held = 0
         for batch in batches:
@@ -315,20 +315,17 @@ def candidates(nodes: DataFrame, similarity: float) -> DataFrame:
         tidy()
 
     def pairs(group: pa.Table) -> pa.Table:
-        ready = group.filter(group.column("b").is_valid())
-        a, b = ready.column("a").to_numpy(), ready.column("b").to_numpy()
-        rest = group.filter(group.column("b").is_null())
-        if rest.num_rows > 1:
-            key = rest.column("list")[0].as_py()
-            ids = rest.column("a").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            f = np.stack([rest.column(c).to_numpy().view(U) for c in PRINT], 1)[order]
-            x, y = search(f, [4, key])
-            a, b = np.concatenate([a, ids[order][x]]), np.concatenate([b, ids[order][y]])
-        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
-
-    listed = nodes.select("id", *PRINT).mapInArrow(route, LISTED)
-    return listed.groupBy("list").applyInArrow(pairs, "a long, b long").where("a < b").distinct()
+        ids = group.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        x, y = search(np.stack([group.column(c).to_numpy().view(U) for c in PRINT], 1)[order], [4, group.column("list")[0].as_py()], share)
+        return pa.table({"a": pa.array(np.minimum(ids[x], ids[y])), "b": pa.array(np.maximum(ids[x], ids[y]))})
+
+    prints = nodes.select("id", *PRINT)
+    if n > 2 * LONGEST:
+        every = max(1, 2 * LONGEST // 100)
+        hot = crowded(prints.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(every)) == 0).mapInArrow(route, LISTED), every)
+    return prints.mapInArrow(route, LISTED).groupBy("list", "pair").applyInArrow(pairs, "a long, b long").where("a < b").distinct()
 
 
 def connected(edges: DataFrame, limit: int = 50) -> DataFrame:

@@ -600,6 +600,58 @@ def test_op9_links_across_blocks_by_members(spark, monkeypatch, seed):
     assert out == plain_classes(rows) and {c for _, c in out} == {0}
 
 
+def branches(n=6000, tips=150):
+    """ids and fingerprints: copies of one text, and tips that are near to one copy only."""
+    rng, bits = np.random.default_rng(12), op9_simhash.BITS
+    base = rng.integers(0, 2, bits).astype(np.uint8)
+    rows = np.tile(base, (n + tips, 1))
+    for i in range(n):
+        rows[i, rng.choice(bits, 33, replace=False)] ^= 1
+    for i in range(tips):
+        rows[n + i] = rows[i]
+        rows[n + i, rng.choice(np.flatnonzero(rows[i] == base), 39, replace=False)] ^= 1
+    return np.arange(n + tips), np.packbits(rows, axis=1, bitorder="little").view("<u8")
+
+
+@pytest.mark.parametrize("longest", [200_000, 100])
+def test_op9_no_member_of_a_hot_list_is_left_out(spark, monkeypatch, longest):
+    """Each tip hangs on one copy out of 6,000, which is in another batch mostly; also where lists are cut into blocks."""
+    monkeypatch.setattr(op9_simhash, "CHUNK_ROWS", 1)
+    monkeypatch.setattr(op9_simhash, "LONGEST", longest)
+    ids, f = branches()
+    near = lambda x: np.bitwise_count(f ^ f[x]).sum(1) <= op9_simhash.RADIUS
+    only = [x for x in range(6000, 6150) if near(x).sum() == 2 and near(x)[x - 6000]]
+    assert len(only) > 100
+    order = np.random.default_rng(3).permutation(len(ids))
+    df = spark.createDataFrame([(int(ids[k]), *map(int, f[k].view(np.int64))) for k in order], f"id long, {op9_simhash.PRINT_COLUMNS}").repartition(4)
+    found = {(r.a, r.b) for r in op9_simhash.candidates(df, op9_simhash.SIMILARITY).collect()}
+    assert sum((x - 6000, x) in found for x in only) >= len(only) - 2
+
+
+def test_op9_blocks_of_a_list_all_meet():
+    """Each two members of a crowded list are in one task; members of others have one row."""
+    ids, hot = np.arange(60) * 7 - 100, (np.array([4, 9]), np.array([3, 5]))
+    for key, blocks in ((4, 3), (9, 5), (5, 1)):
+        row, pair = op9_simhash.spread(np.full(60, key), ids, hot)
+        assert len(row) == 60 * max(1, blocks - 1)
+        groups = {p: set(row[pair == p].tolist()) for p in np.unique(pair)}
+        assert len(groups) == max(1, blocks * (blocks - 1) // 2)
+        assert all(any({a, b} <= g for g in groups.values()) for a in range(60) for b in range(a))
+
+
+def test_op9_long_lists_lose_nothing_that_was_not_planned():
+    """A list that is long by chance or by copies is searched whole; a filter that the plan has takes its share, whatever the length."""
+    rng = np.random.default_rng(0)
+    f = rng.integers(0, 1 << 64, (8000, 4), dtype=np.uint64)
+    for k in range(39):  # pairs that differ in 39 bits
+        f[1::2, k % 4] = (f[::2, k % 4] if k < 4 else f[1::2, k % 4]) ^ np.uint64(1 << (k // 4 + 10))
+    met = lambda share: len({(min(x, y), max(x, y)) for x, y in zip(*(v.tolist() for v in op9_simhash.search(f, [1], share)))})
+    assert op9_simhash.refined(10**6) is None and met(None) == 4000
+    x, y = (np.unpackbits(v.copy().view(np.uint8), axis=1, bitorder="little") for v in (f[::2], f[1::2]))
+    share = op9_simhash.refined(10**8)
+    assert abs(met(share) / 4000 - op9_simhash.together(x, y, [1], share, 5).mean()) < 0.01
+
+
 def test_op9_unrelated_texts_do_not_link():
     """No chance links among random fingerprints, nor among texts of two or four shingles, and hardly one in 12 million texts."""
     rng = np.random.default_rng(9)
