@@ -16,6 +16,9 @@
    already whole are skipped, so copies cost one comparison each. A component of more than BLOCK texts or BLOCK_WORDS
    words is verified in random blocks; their classes are joined by their leaders where these are similar, and what is
    left in different classes is compared across all blocks, so that no link inside a component is missed.
+5. Fingerprints of short texts are rough: of pairs with 8 and 10 shingles, 8 in common, one in twelve is out of RADIUS.
+   So sets of SHORT shingles at most are joined exactly with all that can be similar to them (`short_links`): each is sent
+   by its rarest shingles, as many as two similar sets cannot both do without. These links join classes of the search.
 
 Result: one row for each row of the input with its class, the smallest id of the class. Defined results: a text
 without words, or with a null id, is alone (class is its own id). A text of fewer than five words matches only equal
@@ -44,6 +47,10 @@ SHARE, LONGEST, SPLIT = 0.0018, 200_000, 20_000
 #: Nodes of a forest that are compared at a time, and the pairs that they may be.
 NODES, PAIRS = 128, 1 << 22
 BLOCK, BLOCK_WORDS = 1500, 1_500_000
+#: Sets that are joined exactly, too; bytes of them in a task; members of a group, above which it is cut into blocks, and of one that is compared pair by pair; pairs at a time.
+SHORT, SHORT_BYTES, SHORT_GROUP, SHORT_PAIRS, PAIRED = 64, 4 << 20, 10_000, 16, 16_384
+#: A shingle is common if this many sets have it and this share of them; so few are common that every task may know them.
+COMMON, COMMON_SHARE = 100, 1 / 10_000
 PIECE_BYTES, CHUNK_ROWS = 1 << 20, 16384
 PRINT = ("f0", "f1", "f2", "f3")
 PRINT_COLUMNS = ", ".join(f"{c} long" for c in PRINT)
@@ -89,8 +96,8 @@ def fingerprints(shingle: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, hash of the text (t), fingerprint (f0 to f3), hashes of the word sequence (s0, s1), n_words."""
+def scan(docs: DataFrame, id_col: str, text_col: str, short: int = SHORT) -> DataFrame:
+    """id, hash of the text (t), fingerprint (f0 to f3), hashes of the word sequence (s0, s1), n_words, and the shingles if they are `short` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,10 +105,14 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i, j in pieces(off, PIECE_BYTES):
                 sh, at, n, s0, s1 = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 f = fingerprints(sh, at).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i)] + [pa.array(np.ascontiguousarray(x)) for x in (*f.T, s0.view(np.int64), s1.view(np.int64), n)], names=["id", "t", *PRINT, "s0", "s1", "n_words"])
+                size = np.diff(at)
+                few = (size > 0) & (size <= short)
+                ends = np.concatenate([[0], np.cumsum(np.where(few, size, 0))]).astype(np.int32)
+                sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(sh[np.repeat(few, size)].view(np.int64)), mask=pa.array(~few))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i)] + [pa.array(np.ascontiguousarray(x)) for x in (*f.T, s0.view(np.int64), s1.view(np.int64), n)] + [sets], names=["id", "t", *PRINT, "s0", "s1", "n_words", "few"])
         tidy()
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, f"id long, t long, {PRINT_COLUMNS}, s0 long, s1 long, n_words long")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, f"id long, t long, {PRINT_COLUMNS}, s0 long, s1 long, n_words long, few array<long>")
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -352,6 +363,139 @@ def connected(edges: DataFrame, limit: int = 50) -> DataFrame:
     return e.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")).unionByName(e.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
 
 
+# Short texts ---------------------------------------------------------------------------------------------------------
+
+
+def similar_pairs(flat: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (x, y) of sets are similar. Set i is flat[at[i] : at[i + 1]], 44 bits each."""
+    ok = np.zeros(len(x), bool)
+    size = np.diff(at)
+    for i in range(0, len(x), PAIRED):
+        part = [v[i : i + PAIRED] for v in (x, y)]
+        keys = []
+        for v in part:
+            n = size[v]
+            place = np.repeat(at[v] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            keys.append((np.repeat(np.arange(len(v)), n).astype(U) << U(44)) | flat[place])
+        both = np.bincount((np.intersect1d(*keys, assume_unique=True) >> U(44)).astype(np.int64), minlength=len(part[0]))
+        ok[i : i + PAIRED] = both >= similarity * (size[part[0]] + size[part[1]] - both) - 1e-9
+    return ok
+
+
+def similar_forest(flat: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the pairs of similar sets: each set is compared, by what shingles they share, with those not yet reached."""
+    size, n = np.diff(at), len(at) - 1
+    known, token = np.unique(flat, return_inverse=True)
+    row, left, a, b = np.repeat(np.arange(n), size), np.ones(n, bool), [], []
+    rest = indexed = n
+
+    def index() -> tuple[np.ndarray, np.ndarray]:
+        live = np.flatnonzero(left[row])
+        live = live[np.argsort(token[live], kind="stable")]
+        return row[live], np.searchsorted(token[live], np.arange(len(known) + 1))
+
+    rows, start = index()
+    for root in range(n):
+        if not left[root]:
+            continue
+        left[root], stack, rest = False, [root], rest - 1
+        while stack and rest:
+            if 2 * rest < indexed:
+                (rows, start), indexed = index(), rest
+            x = stack.pop()
+            shared = np.bincount(np.concatenate([rows[start[t] : start[t + 1]] for t in token[at[x] : at[x + 1]].tolist()]), minlength=n)
+            new = np.flatnonzero(left & (shared >= similarity * (size + size[x] - shared) - 1e-9))
+            left[new], rest = False, rest - len(new)
+            a.append(np.full(len(new), x))
+            b.append(new)
+            stack += new.tolist()
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def list_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists without nulls, and where each list starts."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = column.value_lengths().to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).view(U), np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+
+
+def short_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join all similar sets (id, few), exactly: two similar sets of n and m shingles share one of the first
+    n - ceil(similarity n) + 1 and m - ceil(similarity m) + 1 in any one order of all shingles. Common ones come last in it."""
+    total, held = sets.agg(F.count("*"), F.sum(F.size("few") * (F.size("few") * F.lit(1 - similarity) + 1) * 8)).head()
+    if not total:
+        return sets.sparkSession.createDataFrame([], "a long, b long")
+    counted = sets.select(F.explode("few").alias("x")).groupBy("x").count().where(F.col("count") > max(COMMON, COMMON_SHARE * total)).orderBy("x").toArrow()
+    common, times = counted.column("x").to_numpy().view(U), counted.column("count").to_numpy()
+    tasks = int(held // SHORT_BYTES) + 1
+    hot = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, at = list_column(batch.column(1))
+            size = np.diff(at)
+            row, weight = np.repeat(np.arange(len(size)), size), np.zeros(len(flat), np.int64)
+            if len(common):
+                place = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+                weight = np.where(common[place] == flat, times[place], 0)
+            order = np.lexsort((flat, weight, row))
+            first = order[np.arange(len(flat)) - at[row] <= (size - np.ceil(similarity * size - 1e-9))[row]]
+            key, x = flat[first].view(np.int64), row[first]
+            again, pair = spread(key, batch.column(0).to_numpy()[x], hot)
+            key, x = key[again], x[again]
+            for i in range(0, len(key), 4096):
+                part = slice(i, i + 4096)
+                place = np.where(np.isin(key[part], hot[0]), tasks + np.searchsorted(hot[0], key[part]), key[part] % tasks)
+                some = batch.take(pa.array(x[part]))
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(pair[part]), pa.array(key[part]), some.column(0), some.column(1)], names=["task", "pair", "key", "id", "few"])
+        tidy()
+
+    def links(group: pa.Table) -> pa.Table:
+        key, ids = group.column("key").to_numpy(), group.column("id").to_numpy()
+        flat, at = list_column(group.column("few"))
+        order = np.lexsort((ids, key))
+        start = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        n = np.diff(np.append(start, len(order)))
+        a, b = [ids[:0]], [ids[:0]]
+        for k in range(2, SHORT_PAIRS + 1):
+            members = order[start[n == k][:, None] + np.arange(k)]
+            i, j = np.triu_indices(k, 1)
+            x, y = members[:, i].ravel(), members[:, j].ravel()
+            ok = similar_pairs(flat, at, x, y, similarity)
+            a.append(ids[x[ok]])
+            b.append(ids[y[ok]])
+        for s, k in zip(start[n > SHORT_PAIRS].tolist(), n[n > SHORT_PAIRS].tolist()):
+            some = order[s : s + k]
+            size = at[some + 1] - at[some]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            x, y = similar_forest(flat[np.repeat(at[some] - ends[:-1], size) + np.arange(ends[-1])], ends, similarity)
+            a.append(ids[some[x]])
+            b.append(ids[some[y]])
+        x, y = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        tidy()
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    schema = "task long, pair long, key long, id long, few array<long>"
+    if total > 2 * SHORT_GROUP:  # fewer cannot fill a group
+        size = F.col("count")
+        found = sets.select("id", "few").mapInArrow(firsts, schema).groupBy("key").count().where(size > 2 * SHORT_GROUP).select("key", F.ceil(size / SHORT_GROUP).alias("blocks")).orderBy("key").toArrow()
+        hot = found.column("key").to_numpy(), found.column("blocks").to_numpy().astype(np.int64)
+    return sets.select("id", "few").mapInArrow(firsts, schema).groupBy("task", "pair").applyInArrow(links, "a long, b long").distinct()
+
+
+def joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, leader) after links (a, b) of ids, which may have no label yet."""
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    labels = labels.unionByName(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("leader")))
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("leader").alias(f"{c}_leader"))
+    apart = links.join(of("a"), "a").join(of("b"), "b").where("a_leader <> b_leader")
+    apart = keep(apart.select(F.least("a_leader", "b_leader").alias("a"), F.greatest("a_leader", "b_leader").alias("b")).distinct(), "apart")
+    if apart.isEmpty():
+        return labels
+    return labels.join(connected(apart).select(F.col("id").alias("leader"), F.col("root").alias("top")), "leader", "left").select("id", F.coalesce("top", "leader").alias("leader"))
+
+
 # Verification --------------------------------------------------------------------------------------------------------
 
 
@@ -490,7 +634,7 @@ def keyed(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, class_id), one row for each row of `docs`."""
     prepare(docs.sparkSession)
-    prints = keep(scan(docs, id_col, text_col), "prints")
+    prints = keep(scan(docs, id_col, text_col, int(SHORT / similarity)), "prints")
     real = prints.where("n_words > 0 and id is not null")
     # The text of a node is that of the smallest id; of rows that share that id, too, any has the same words.
     nodes = keep(real.groupBy("s0", "s1", "n_words").agg(F.min("id").alias("id"), F.min_by("t", "id").alias("t"), *[F.first(c).alias(c) for c in PRINT], F.count("*").alias("n")), "nodes")
@@ -503,12 +647,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = keep(verify(joined, similarity), "leaders")
     if not first.where("blocks > 1").isEmpty():
         first = first.where("blocks = 1").select("root", "id", "leader").unionByName(across(first, similarity))
-    members = keep(first.select("id", "leader").join(unique.select("id", "doc", "s0", "s1", "n_words"), "id"), "members")
+    short = real.where("few is not null").groupBy("s0", "s1", "n_words").agg(F.first("few").alias("few"))
+    short = keep(short.join(unique.select("id", "s0", "s1", "n_words"), ["s0", "s1", "n_words"]).select("id", "few"), "short")
+    labels = joined_classes(first.select("id", "leader"), keep(short_links(short, similarity), "links"))
+    members = keep(labels.join(unique.select("id", "doc", "s0", "s1", "n_words"), "id"), "members")
     tops = members.groupBy("leader").agg(F.min("doc").alias("class"), F.count("*").alias("k")).where("k > 1")
     near = meet(members, tops, ["leader"], "k").where("class is not null").select("s0", "s1", "n_words", "class")
     # A class of copies of one text without near ones is that node's smallest id.
     classed = nodes.join(near, ["s0", "s1", "n_words"], "left").select("s0", "s1", "n_words", F.coalesce("class", "id").alias("class"), "n").where("n > 1 or class <> id")
-    out = meet(prints, keep(classed, "classed"), ["s0", "s1", "n_words"], "n")
+    out = meet(prints.drop("few"), keep(classed, "classed"), ["s0", "s1", "n_words"], "n")
     return out.select("id", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")).alias("class_id"))
 
 

@@ -64,3 +64,12 @@ def test_pipeline_on_odd_rows(spark, small, tmp_path):
             assert d.columns == df.columns
         assert extra(d) == (extra(df) if count else [])
         assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).where(F.col("ids").isNotNull()).count() == count
+
+
+def test_pipeline_drops_short_near_copies(spark, small):
+    """Copies with two shingles more than the eight of their texts; the search by fingerprints alone loses one in twelve."""
+    text = lambda i, k: " ".join(f"s{i}x{j}" for j in range(k))
+    rows = [(2 * i, text(i, 12)) for i in range(300)] + [(2 * i + 1, text(i, 14)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, small)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [2 * i for i in range(300)]

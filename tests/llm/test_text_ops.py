@@ -652,6 +652,57 @@ def test_op9_long_lists_lose_nothing_that_was_not_planned():
     assert abs(met(share) / 4000 - op9_simhash.together(x, y, [1], share, 5).mean()) < 0.01
 
 
+def short_pairs(n=300):
+    """Texts of eight shingles and copies of two more: the fingerprints of one pair in twelve differ in more bits than the radius."""
+    text = lambda i, k: " ".join(f"s{i}x{j}" for j in range(k))
+    return [(2 * i, text(i, 12)) for i in range(n)] + [(2 * i + 1, text(i, 14)) for i in range(n)]
+
+
+def test_op9_short_texts_lose_no_link(spark):
+    rows = short_pairs()
+    sh, at, *_ = op9_simhash.shingles(*textscan.utf8(pa.array([t for _, t in rows])))
+    f = op9_simhash.fingerprints(sh, at)
+    assert (np.bitwise_count(f[:300] ^ f[300:]).sum(1) > op9_simhash.RADIUS).sum() > 10
+    out = op9_simhash.near_duplicates(table(spark, rows)).collect()
+    assert {r.id: r.class_id for r in out} == {i: i - i % 2 for i in range(600)}
+
+
+@pytest.mark.parametrize("group, pairs, common", [(10_000, 16, 100), (5, 4, 10), (10_000, 1, 0)])
+def test_op9_short_links_equal_all_pairs(spark, monkeypatch, group, pairs, common):
+    """Single links, hot groups in blocks, and shingles that very many sets share; sets of up to 80."""
+    for name, value in (("SHORT_GROUP", group), ("SHORT_PAIRS", pairs), ("COMMON", common), ("PAIRED", 50), ("SHORT_BYTES", 20_000)):
+        monkeypatch.setattr(op9_simhash, name, value)
+    rng, sets = np.random.default_rng(7), []
+    for n in [4, 5, 8, 10, 25, 64] * 6:
+        base = rng.integers(0, 1 << 44, n)
+        for k in range(int(rng.integers(1, 30))):
+            own = rng.permutation(base)[int(rng.integers(0, 1 + n // 5)) :]
+            sets.append({*own.tolist(), *range(50 if n == 25 and k % 2 else 0), *rng.integers(0, 1 << 44, int(rng.integers(0, 1 + n // 4))).tolist()})
+    ids = rng.permutation(len(sets)).tolist()
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in zip(ids, sets)], "id long, few array<long>")
+    found = [(r.a, r.b) for r in op9_simhash.short_links(df, 0.8).collect()]
+    of = dict(zip(ids, sets))
+    real = {(a, b) for a in of for b in of if a < b and len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b]) - 1e-9}
+    assert set(found) <= real and len(found) == len(set(found))
+
+    def least(links):
+        label = {i: i for i in ids}
+        while True:
+            new = {i: min([label[i], *(label[x] for x in near[i])]) for i in ids} if (near := neighbours(links)) else label
+            if new == label:
+                return label
+            label = new
+
+    def neighbours(links):
+        near = {i: [] for i in ids}
+        for a, b in links:
+            near[a].append(b)
+            near[b].append(a)
+        return near
+
+    assert least(found) == least(real) and len(real) > 300
+
+
 def test_op9_unrelated_texts_do_not_link():
     """No chance links among random fingerprints, nor among texts of two or four shingles, and hardly one in 12 million texts."""
     rng = np.random.default_rng(9)
