@@ -43,15 +43,17 @@ def nearest_with_veto(items: DataFrame, rows: DataFrame, keys: list[str], eligib
 
 
 def in_bins(items: DataFrame, rows: DataFrame, channels: list[tuple[str, str]], veto: float) -> DataFrame:
-    """All pairs whose channels differ by at most `veto`, as an equi-join: a row lies in one bin of that width, an item asks its own bin and both neighbours. Exact, and neither side has to be small."""
+    """All pairs whose channels differ by at most `veto`, as an equi-join: an item lies in one bin of that width, a row is put in its own bin and all neighbours. Exact, and neither side has to be small.
+    Rows are broadcast only after they were counted in all their bins; else both sides are shuffled, whatever the sizes of files suggest."""
     bins = [f"__bin{i}" for i in range(len(channels))]
     where = lambda c: F.floor(F.col(c) / F.lit(float(veto))).cast("int")
-    right = rows.select("*", *[where(r).alias(b) for (_, r), b in zip(channels, bins)])
-    left = items
-    for (c, _), b in zip(channels, bins):
-        left = left.withColumn(b, F.explode(F.array(where(c) - 1, where(c), where(c) + 1)))
+    right = rows
+    for (_, r), b in zip(channels, bins):
+        right = right.withColumn(b, F.explode(F.array(where(r) - 1, where(r), where(r) + 1)))
+    left = items.select("*", *[where(c).alias(b) for (c, _), b in zip(channels, bins)])
     near = reduce(Column.__and__, [F.abs(F.col(c) - F.col(r)) <= veto for c, r in channels])
-    return left.join(right, bins).where(near).drop(*bins)
+    few = rows.limit(BROADCAST_ROWS + 1).count() * 3 ** len(channels) <= BROADCAST_ROWS
+    return left.join(F.broadcast(right) if few else right.hint("merge"), bins).where(near).drop(*bins)
 
 
 def nearest_in_bins(items: DataFrame, rows: DataFrame, keys: list[str], channels: list[tuple[str, str]], veto: float, eligible: Column, distance: Column, order: str, tolerance: float, keep: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ from inventa.operators import scan as SC
 from inventa.operators import state as ST
 from inventa.operators import views as V
 from inventa.operators import windows as WN
-from inventa.sources.items import items, ordinals, parts, read
+from inventa.sources.items import items, ordinals, parts, read, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -594,10 +594,10 @@ def first_match_rule(spark, sf):
     cells = [(y, x) for y in range(4) for x in range(4)]
     grid = F.array(*[(k * (3 + y * 4 + x) * 7 % 256).cast("double") for y, x in cells])
     filled = F.array(*[(k + y * 2 + x) % 4 > 0 for y, x in cells])
-    p = parts(spark, sf).withColumns({"grid": grid, "filled": filled})
+    p = spread(parts(spark, sf).select("row_id", "size", *"rgb"))
     first = p.groupBy("size").agg(F.min("row_id").alias("row_id")).select("row_id")
-    heads = p.join(first, "row_id").select("row_id", *[F.col(c).alias(f"h{c}") for c in "rgb"], F.col("grid").alias("hgrid"), F.col("filled").alias("hfilled"))
-    new = p.join(first, "row_id", "left_anti").select(F.col("row_id").alias("item"), "r", "g", "b", "grid", "filled")
+    heads = p.join(first, "row_id").select("row_id", *[F.col(c).alias(f"h{c}") for c in "rgb"], grid.alias("hgrid"), filled.alias("hfilled"))
+    new = p.join(first, "row_id", "left_anti").select(k.alias("item"), *"rgb", grid.alias("grid"), filled.alias("filled"))
     colour = S.chebyshev([F.col(c) for c in "rgb"], [F.col(f"h{c}") for c in "rgb"])
     gap = K.grid_gap("hgrid", "grid", "hfilled", "filled")
     return M.first_match(new, heads, ["item"], [(c, f"h{c}") for c in "rgb"], 40, colour, gap, "row_id", 90, 70)

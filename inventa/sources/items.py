@@ -45,10 +45,10 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(k.alias("row_id"), (k * 37 % 256).cast("int").alias("r"), (k * 59 % 256).cast("int").alias("g"), (k * 83 % 256).cast("int").alias("b"), F.col("p_size").alias("size"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("price"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """`df`, a scan, with a task for each core at least: a small table may be one split, and a map over it one task."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+def spread(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """`df`, a scan, with a task for each core at least and for each so many rows: a table may be few splits, and much work for each of its rows."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(tasks) if df._jdf.queryExecution().toRdd().getNumPartitions() < tasks else df
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
