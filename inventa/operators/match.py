@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from inventa.operators.windows import global_rank
 
@@ -80,6 +82,35 @@ def pairs(df: DataFrame, equal: list[str], order: str, differ: str | None = None
     return a.join(b, reduce(Column.__and__, on))
 
 
+def near_pairs(df: DataFrame, equal: list[str], order: str, channels: list[str], most: float, near: Callable[[str, str], Column], block: int = 2000, task_pairs: int = 8_000_000) -> DataFrame:
+    """(a, b): `order` of all pairs a < b of rows equal in some columns, of which no channel differs by more than `most` and for which `near`,
+    a column of two aliases that does not depend on their order, holds. Rows lie in bins of width `most` and meet those of
+    their own bin and of the half of its neighbours that lies ahead. Bins are cut into blocks, and there is a task for
+    each `task_pairs` pairs to be looked at, so none grows with the table; the pairs themselves are quadratic, as the question is."""
+    bins = [f"__bin{i}" for i in range(len(channels))]
+    keys = [*equal, *bins]
+    ahead = [d for d in product((-1, 0, 1), repeat=len(bins)) if d >= (0,) * len(bins)]
+
+    def sent(rows: DataFrame) -> DataFrame:
+        to = F.explode(F.array(*[F.struct(*[(F.col(b) + x).alias(b) for b, x in zip(bins, d)], F.lit(not any(d)).alias("__own")) for d in ahead])).alias("__to")
+        return rows.select(*[c for c in rows.columns if c not in bins], to).select(*[c for c in rows.columns if c not in bins], "__to.*")
+
+    rows = df.withColumns({b: F.floor(F.col(c) / F.lit(float(most))).cast("int") for c, b in zip(channels, bins)})
+    cells = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    met = sent(cells.withColumnRenamed("__n", "__m")).join(cells, keys).agg(F.sum(F.col("__n").cast("double") * F.col("__m"))).first()[0] or 0
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(met // task_pairs) + 1)
+    blocks = cells.select(*keys, F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / block).cast("int") - 1)).alias("__block"))
+    keys = [*keys, "__block"]
+    right = rows.withColumn("__block", F.floor((F.row_number().over(W.partitionBy(*keys[:-1]).orderBy(order)) - 1) / block).cast("int"))
+    left = sent(rows).join(blocks, keys[:-1])
+    a, b = left.repartition(tasks, *keys).alias("a"), right.repartition(tasks, *keys).alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    on += [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= most for c in channels]
+    i, j = F.col(f"a.{order}"), F.col(f"b.{order}")
+    on.append(F.when(F.col("a.__own"), i < j).otherwise(i != j) & near("a", "b"))
+    return a.join(b.hint("shuffle_hash"), reduce(Column.__and__, on)).select(F.least(i, j).alias("a"), F.greatest(i, j).alias("b"))
+
+
 def training_pairs(df: DataFrame, group: str, box: str, order: str, value: Callable[[str], Column], name: str = "d", also: list[str] = ()) -> DataFrame:
     """(i, j, same, name, a_*, b_*): pairs of one group are the same part, pairs of one box and different groups are not.
     Both are equi-joins, as large as groups and boxes are. value: a column of aliases a and b; also: further columns of both."""

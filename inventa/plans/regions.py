@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from inventa.functions.scalars import euclidean
+from inventa.functions.scalars import chebyshev, euclidean
 from inventa.operators import aggregate as A
+from inventa.operators import match as M
 from inventa.operators import regions as R
 from inventa.operators import state as ST
 from inventa.operators import windows as WN
@@ -58,14 +59,10 @@ def part_or_junk(spark, sf):
 @query(f"""WITH {PARTS} SELECT a.row_id AS a, b.row_id AS b FROM parts a JOIN parts b ON a.size = b.size AND a.row_id < b.row_id
 WHERE NOT (greatest(abs(a.r - b.r), abs(a.g - b.g), abs(a.b - b.b)) > 45 OR abs(ln(a.price / 1000) - ln(b.price / 1000)) > 0.09::DOUBLE)""")
 def veto_predicate(spark, sf):
-    from inventa.functions.scalars import chebyshev
-
-    p = parts(spark, sf)
-    a, b = p.alias("a"), p.alias("b")
-    gap = chebyshev([F.col(f"a.{c}") for c in "rgb"], [F.col(f"b.{c}") for c in "rgb"])
-    aspect = F.ln(F.col("a.price") / 1000) - F.ln(F.col("b.price") / 1000)
-    on = (F.col("a.size") == F.col("b.size")) & (F.col("a.row_id") < F.col("b.row_id")) & ~R.vetoed(gap, aspect)
-    return a.join(b, on).select(F.col("a.row_id").alias("a"), F.col("b.row_id").alias("b"))
+    p = parts(spark, sf).select("row_id", "size", "r", "g", "b", F.ln(F.col("price") / 1000).alias("aspect"))
+    gap = lambda a, b: chebyshev([F.col(f"{a}.{c}") for c in "rgb"], [F.col(f"{b}.{c}") for c in "rgb"])
+    near = lambda a, b: ~R.vetoed(gap(a, b), F.col(f"{a}.aspect") - F.col(f"{b}.aspect"))
+    return M.near_pairs(p, ["size"], "row_id", ["r", "g", "b"], 45, near)
 
 
 @query("""SELECT o_orderkey AS id, round((o_orderkey % 97) / 800.0::DOUBLE, 9) AS fx, round((o_orderkey % 89) / 600.0::DOUBLE, 9) AS fy, o_orderkey % 97 + 4 AS x0, o_orderkey % 89 + 4 AS y0

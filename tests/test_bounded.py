@@ -2,9 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inventa.operators import kernels as K
 from inventa.operators import match as M
+from inventa.plans import more, pixels, regions  # noqa: F401
+from inventa.plans.queries import QUERIES
 
 
 def plan_of(df):
@@ -36,3 +39,18 @@ def test_grid_gaps_of_many_pairs(spark):
     got = [r.d for r in df.select("i", K.grid_gap("a", "b", "fa", "fb").alias("d")).orderBy("i").collect()]
     assert got[3] is None and got[7] is None
     assert np.allclose([g for g in got if g is not None], [w for w in want if np.isfinite(w)])
+
+
+def test_near_pairs_are_all_pairs(spark):
+    """Blocks of three rows and tasks of ten pairs: nothing is lost or found twice."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(rng.integers(0, 2)), int(rng.integers(0, 90)), int(rng.choice([0, 45, 90])), float(rng.random())) for k in range(150)]
+    df = spark.createDataFrame(rows, "k long, s int, r int, g int, x double")
+    found = M.near_pairs(df, ["s"], "k", ["r", "g"], 45, lambda a, b: F.abs(F.col(f"{a}.x") - F.col(f"{b}.x")) <= 0.5, 3, 10)
+    got = [tuple(r) for r in found.collect()]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= 45 and abs(a[3] - b[3]) <= 45 and abs(a[4] - b[4]) <= 0.5}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_vetoed_pairs_meet_in_bins(spark, small):
+    assert "__bin" in plan_of(QUERIES["veto_predicate"](spark, small))
