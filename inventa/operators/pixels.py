@@ -1,19 +1,22 @@
 """Operators over pictures in columns, as Arrow UDFs.
 
 A picture is a binary column and its width: one byte a pixel for masks, three for colours. All of a row's work is on
-that row, so these are maps; what comes out are numbers, structs and smaller pictures. Batches are as large as
-spark.sql.execution.arrow.maxRecordsPerBatch says, so set it by the size of the pictures.
+that row, so these are maps; what comes out are numbers, structs and smaller pictures. A batch is taken in pieces whose
+values, read and made, are some PIECE bytes, and each piece is handed on before the next is made: what a worker holds
+follows neither the number of rows in a batch nor the size of what is painted for them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from inventa.operators import kernels as K
 from inventa.operators import regions as R
@@ -38,21 +41,58 @@ def image_of(data: bytes, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(-1, width, 3)
 
 
+#: Bytes of values, and rows, that a worker has in hand at once.
+PIECE, MOST_ROWS = 4 << 20, 512
+
+
+def values_of(c: pa.Array) -> list:
+    """c.to_pylist(), for lists of numbers without a value of their own for each."""
+    if c.null_count == 0 and pa.types.is_list(c.type):
+        inner, at = values_of(c.flatten()), (c.offsets.to_numpy() - c.offsets[0].as_py()).tolist()
+        return [inner[a:b] for a, b in zip(at, at[1:])]
+    if c.null_count == 0 and pa.types.is_integer(c.type):
+        return c.to_numpy().tolist()
+    return c.to_pylist()
+
+
+def in_pieces(batches: Iterator[tuple], run: Callable[..., list], back: pa.DataType) -> Iterator[pa.Array]:
+    """What `run` makes of lists of values, piece by piece; a piece is as large as the rows of the one before allow."""
+    rows = 16
+    for batch in batches:
+        at = 0
+        while at < len(batch[0]):
+            part = [c.slice(at, rows) for c in batch]
+            out = pa.array(run(*[values_of(c) for c in part]), back)
+            n, size = len(out), out.nbytes + sum(c.nbytes for c in part)
+            yield out
+            at += n
+            rows = max(1, min(MOST_ROWS, 2 * rows, PIECE * n // max(size, 1)))
+
+
+def arrow_of(run: Callable[..., list], kind: T.DataType, n: int) -> Callable[..., Column]:
+    """A UDF of n columns: `run` gets a list of values for each of them and gives a list."""
+    back = to_arrow_type(kind)
+
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from in_pieces(((b,) for b in batches), run, back)
+
+    def more(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        yield from in_pieces(batches, run, back)
+
+    f = one if n == 1 else more
+    f.__annotations__ = {"batches": Iterator[pa.Array] if n == 1 else Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(f, kind)
+
+
 def per_row(kind: T.DataType, f: Callable, read: Callable = mask_of) -> Callable[..., Column]:
     """A UDF over (data, width, ...): f gets the picture and the other values of the row; no picture gives null."""
-    def one(data, width, *more):
-        return None if data is None or width is None else f(read(data, int(width)), *more)
+    names = kind.names if isinstance(kind, T.StructType) else None
 
-    if isinstance(kind, T.StructType):
-        def run(*columns: pd.Series) -> pd.DataFrame:
-            rows = [one(*v) for v in zip(*columns)]
-            none = (None,) * len(kind)
-            return pd.DataFrame([none if r is None else tuple(r) for r in rows], columns=kind.names).astype(object)
-    else:
-        def run(*columns: pd.Series) -> pd.Series:
-            return pd.Series([one(*v) for v in zip(*columns)], dtype=object)
+    def one(data, width, *more):
+        r = None if data is None or width is None else f(read(data, int(width)), *more)
+        return r if r is None or names is None else dict(zip(names, r))
 
-    return lambda *columns: pandas_of(run, kind, len(columns))(*columns)
+    return lambda *columns: arrow_of(lambda *c: [one(*v) for v in zip(*c)], kind, len(columns))(*columns)
 
 
 def pandas_of(run: Callable, kind: T.DataType, n: int):
@@ -75,22 +115,27 @@ def named(names: list[str], rows: list[tuple]) -> list[dict]:
 # Making pictures -----------------------------------------------------------------------------------------------------
 
 
-def paint(width: int, height: int, rects: np.ndarray | None, background: np.ndarray | None = None) -> bytes:
+def paint(width: int, height: int, rects: list | None, background: list | None = None) -> bytes:
     """Rectangles (x0, y0, x1, y1 exclusive, and a colour where there is a background), one over the other."""
-    img = np.zeros((height, width), np.uint8) if background is None else np.tile(np.array([*background], np.uint8), (height, width, 1))
-    for r in rects if rects is not None else ():
-        img[int(r[1]) : int(r[3]), int(r[0]) : int(r[2])] = 1 if background is None else [int(v) for v in r[4:7]]
+    if background is None:
+        img = np.zeros((height, width), np.uint8)
+        for x0, y0, x1, y1, *_ in rects or ():
+            img[y0:y1, x0:x1] = 1
+    else:
+        img = np.frombuffer(bytearray(bytes(background) * (width * height)), np.uint8).reshape(height, width, 3)
+        for r in rects or ():
+            img[r[1] : r[3], r[0] : r[2]] = r[4:7]
     return img.tobytes()
 
 
 def painted(width: Column, height: Column, rects: Column, background: Column | None = None) -> Column:
     columns = [width, height, rects] + ([] if background is None else [background])
-    return pandas_of(lambda *c: pd.Series([paint(*v) for v in zip(*c)], dtype=object), T.BinaryType(), len(columns))(*columns)
+    return arrow_of(lambda *c: [paint(*v) for v in zip(*c)], T.BinaryType(), len(columns))(*columns)
 
 
 def written(text: Column, font: dict[str, list[str]], scale: int = 3, gap: int = 1) -> Column:
     """(data, width, height) of a line of text in a font of dots."""
-    return pandas_of(lambda c: pd.DataFrame([picture(line_of(t, font, scale, gap)) if t else (None, None, None) for t in c], columns=PICTURE.names).astype(object), PICTURE, 1)(text)
+    return arrow_of(lambda c: [dict(zip(PICTURE.names, picture(line_of(t, font, scale, gap)))) if t else dict.fromkeys(PICTURE.names) for t in c], PICTURE, 1)(text)
 
 
 def line_of(text: str, font: dict[str, list[str]], scale: int, gap: int = 1) -> np.ndarray:
@@ -98,7 +143,7 @@ def line_of(text: str, font: dict[str, list[str]], scale: int, gap: int = 1) ->
     for c in text:
         sign = np.array([[x == "#" for x in row] for row in font[c]])
         dots += [sign, np.zeros((len(sign), gap), bool)]
-    return np.kron(np.hstack(dots), np.ones((scale, scale), bool))
+    return np.hstack(dots).repeat(scale, 0).repeat(scale, 1)
 
 
 # Measuring them ------------------------------------------------------------------------------------------------------

@@ -1,13 +1,17 @@
 """What large tables need: no step that holds, sends or looks at more than its share."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from inventa.operators import kernels as K
 from inventa.operators import match as M
+from inventa.operators import pixels as P
+from inventa.operators import regions as R
 from inventa.plans import more, pixels, regions  # noqa: F401
 from inventa.plans.queries import QUERIES
+from inventa.sources import items as I
 
 
 def plan_of(df):
@@ -54,3 +58,27 @@ def test_near_pairs_are_all_pairs(spark):
 
 def test_vetoed_pairs_meet_in_bins(spark, small):
     assert "__bin" in plan_of(QUERIES["veto_predicate"](spark, small))
+
+
+def pieces(run, back, *columns):
+    return list(P.in_pieces(iter([tuple(columns)]), run, back))
+
+
+def test_pictures_are_handed_on_in_pieces():
+    """A batch of 3,000 pictures of 30 KB is not painted as a whole."""
+    n = 3000
+    out = pieces(lambda w, h, r, b: [P.paint(*v) for v in zip(w, h, r, b)], pa.binary(), pa.array([100] * n), pa.array([100] * n), pa.array([[[1, 2, 5, 9, 7, 8, k % 256]] for k in range(n)]), pa.array([[1, 2, 3]] * n))
+    assert max(x.nbytes for x in out) < 2 * P.PIECE and sum(map(len, out)) == n
+    k = [k for x in out for k in x.to_pylist()]
+    assert [P.image_of(x, 100)[3, 2, 2] for x in k] == [i % 256 for i in range(n)]
+
+
+def test_pictures_are_spread_by_rows(spark, tmp_path):
+    spark.range(1000).write.parquet(f"{tmp_path}/t")
+    assert I.spread(spark.read.parquet(f"{tmp_path}/t"), 50).rdd.getNumPartitions() == 20
+
+
+def test_lists_of_numbers():
+    c = pa.array([[[1, 2], []], [], [[3], [4, 5]]])
+    assert [P.values_of(c.slice(k)) for k in range(3)] == [c.slice(k).to_pylist() for k in range(3)]
+    assert P.values_of(pa.array([[1, None], None])) == [[1, None], None]
