@@ -82,3 +82,14 @@ def test_lists_of_numbers():
     c = pa.array([[[1, 2], []], [], [[3], [4, 5]]])
     assert [P.values_of(c.slice(k)) for k in range(3)] == [c.slice(k).to_pylist() for k in range(3)]
     assert P.values_of(pa.array([[1, None], None])) == [[1, None], None]
+
+
+def test_networks_multiply_matrices(monkeypatch):
+    """One product of matrices a layer, as the sum over the window says."""
+    monkeypatch.setattr(np, "einsum", None)
+    rng = np.random.default_rng(2)
+    x, w, b = rng.normal(size=(3, 7, 6)), rng.normal(size=(4, 3, 3, 3)), rng.normal(size=4)
+    p = np.pad(x, ((0, 0), (1, 1), (1, 1)))
+    want = [[[(p[:, i : i + 3, j : j + 3] * w[o]).sum() + b[o] for j in range(6)] for i in range(7)] for o in range(4)]
+    assert np.allclose(R.conv3x3(x, w, b), want)
+    assert np.allclose(R.pool(x), np.maximum(x[:, :6].reshape(3, 3, 2, 3, 2).max((2, 4)), 0))
