@@ -93,3 +93,13 @@ def test_networks_multiply_matrices(monkeypatch):
     want = [[[(p[:, i : i + 3, j : j + 3] * w[o]).sum() + b[o] for j in range(6)] for i in range(7)] for o in range(4)]
     assert np.allclose(R.conv3x3(x, w, b), want)
     assert np.allclose(R.pool(x), np.maximum(x[:, :6].reshape(3, 3, 2, 3, 2).max((2, 4)), 0))
+
+
+def test_details_share_their_counts():
+    """How many pixels lie around each is counted once for all pictures of a size."""
+    K._cells.cache_clear()
+    m = np.random.default_rng(1).random((20, 31)) < 0.4
+    assert np.array_equal(K.detail(m), K.detail(m.copy())) and K._cells.cache_info().misses == 1
+    p = np.pad(m.astype(float), 4)
+    around = lambda x: np.array([[x[i : i + 9, j : j + 9].sum() for j in range(31)] for i in range(20)])
+    assert np.allclose(K.detail(m), m - around(p) / around(np.pad(np.ones(m.shape), 4)))
