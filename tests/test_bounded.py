@@ -103,3 +103,11 @@ def test_details_share_their_counts():
     p = np.pad(m.astype(float), 4)
     around = lambda x: np.array([[x[i : i + 9, j : j + 9].sum() for j in range(31)] for i in range(20)])
     assert np.allclose(K.detail(m), m - around(p) / around(np.pad(np.ones(m.shape), 4)))
+
+
+def test_spectra_are_no_larger_than_they_must_be():
+    assert [K.fast_size(n) for n in (192, 193, 7, 128)] == [192, 200, 8, 128]
+    m = np.random.default_rng(4).random((11, 14))
+    r, d = K.autocorrelation(m), m - m.mean()
+    want = [[(d[max(0, y) : 11 + min(0, y), max(0, x) : 14 + min(0, x)] * d[max(0, -y) : 11 - max(0, y), max(0, -x) : 14 - max(0, x)]).sum() for x in range(-10, 11)] for y in range(-10, 11)]
+    assert np.allclose(r, np.array(want) / (d * d).sum())
