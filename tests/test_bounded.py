@@ -111,3 +111,11 @@ def test_spectra_are_no_larger_than_they_must_be():
     r, d = K.autocorrelation(m), m - m.mean()
     want = [[(d[max(0, y) : 11 + min(0, y), max(0, x) : 14 + min(0, x)] * d[max(0, -y) : 11 - max(0, y), max(0, -x) : 14 - max(0, x)]).sum() for x in range(-10, 11)] for y in range(-10, 11)]
     assert np.allclose(r, np.array(want) / (d * d).sum())
+
+
+def test_signs_are_labelled_once(monkeypatch):
+    calls, runs = [], K.labelled_runs
+    monkeypatch.setattr(K, "labelled_runs", lambda *a: calls.append(1) or runs(*a))
+    text = P.line_of("27x", pixels.FONT, 3, 1)
+    assert R.read_quantity(text, pixels.TEMPLATES) == (27, False) and len(calls) == 1
+    assert R.has_digit(text, pixels.TEMPLATES) and len(calls) == 2
