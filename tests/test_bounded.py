@@ -119,3 +119,12 @@ def test_signs_are_labelled_once(monkeypatch):
     text = P.line_of("27x", pixels.FONT, 3, 1)
     assert R.read_quantity(text, pixels.TEMPLATES) == (27, False) and len(calls) == 1
     assert R.has_digit(text, pixels.TEMPLATES) and len(calls) == 2
+
+
+def test_fullest_bins_without_a_sort(monkeypatch):
+    monkeypatch.setattr(np, "unique", None)
+    px = np.array([[9, 9, 9], [200, 1, 1], [8, 8, 10], [203, 2, 3], [90, 90, 90]], np.uint8)
+    assert K.modal_colour(px).tolist() == [8.5, 8.5, 9.5] and K.modal_colour(px[1:]).tolist() == [201.5, 1.5, 2.0]
+    img = np.full((30, 30, 3), 250, np.uint8)
+    img[5:25, 5:25] = 120, 130, 140
+    assert K.flat_pixels(img).sum() == 16 * 16 and K.flat_areas(img).sum() == 900 - (24 * 24 - 16 * 16)
