@@ -43,6 +43,11 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def hamming_words(a: Column, b: Column) -> Column:
+    """Differing bits of two arrays of packed words."""
+    return F.aggregate(F.zip_with(a, b, hamming_packed), F.lit(0), lambda s, x: s + x.cast("int"))
+
+
 def hamming_packed(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 

@@ -29,19 +29,25 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def argmin(left: DataFrame, right: DataFrame, keys: list[str], on: Column, distance: Column, order: str, keep: list[str]) -> DataFrame:
-    """For each row of left (by `keys`) the eligible row of right with the least distance; the first in `order` wins ties. `keep`: columns of right."""
-    best = F.min(F.struct(distance.alias("distance"), F.col(order), *[F.col(k) for k in keep if k != order])).alias("best")
-    return left.join(small(right), on).groupBy(*keys).agg(best).select(*keys, "best.*")
+def argmin(left: DataFrame, right: DataFrame, keys: list[str], distance: Callable[[Column], Column], order: str, keep: list[str], eligible: Callable[[Column], Column] | None = None) -> DataFrame:
+    """For each row of left (by `keys`) the eligible row of right with the least distance; the first in `order` wins ties. `keep`: columns of right.
+    Right is one array of rows that meets each row of left on its spot: no pair is a row, so none is sorted or sent."""
+    names = [order, *[k for k in keep if k != order]]
+    rows = small(right).groupBy().agg(F.collect_list(F.struct(*right.columns)).alias("__rows"))
+    met = left.join(F.broadcast(rows))  # one row
+    among = F.col("__rows") if eligible is None else F.filter("__rows", eligible)
+    best = F.array_min(F.transform(among, lambda t: F.struct(distance(t).alias("distance"), *[t[n].alias(n) for n in names])))
+    found = met.select(*keys, best.alias("best")).where("best is not null")
+    return found.groupBy(*keys).agg(F.min("best").alias("best")).select(*keys, "best.*")
 
 
-def nearest_template(items: DataFrame, templates: DataFrame, keys: list[str], distance: Column, keep: list[str], order: str = "ord") -> DataFrame:
-    return argmin(items, templates, keys, F.lit(True), distance, order, keep)
+def nearest_template(items: DataFrame, templates: DataFrame, keys: list[str], distance: Callable[[Column], Column], keep: list[str], order: str = "ord") -> DataFrame:
+    return argmin(items, templates, keys, distance, order, keep)
 
 
-def nearest_with_veto(items: DataFrame, rows: DataFrame, keys: list[str], eligible: Column, distance: Column, order: str, tolerance: float, keep: list[str]) -> DataFrame:
+def nearest_with_veto(items: DataFrame, rows: DataFrame, keys: list[str], eligible: Callable[[Column], Column], distance: Callable[[Column], Column], order: str, tolerance: float, keep: list[str]) -> DataFrame:
     """Nearest row among those that no veto rules out, if within the tolerance (inclusive)."""
-    return argmin(items, rows, keys, eligible, distance, order, keep).where(F.col("distance") <= tolerance)
+    return argmin(items, rows, keys, distance, order, keep, eligible).where(F.col("distance") <= tolerance)
 
 
 def in_bins(items: DataFrame, rows: DataFrame, channels: list[tuple[str, str]], veto: float) -> DataFrame:
@@ -168,6 +174,40 @@ def twins(df: DataFrame, key: str, vector: str, n: int, block: int = 2000) -> Da
     return met.groupBy("i", "j").applyInPandas(near, "a long, b long, distance double").orderBy("distance", "a", "b").limit(n)
 
 
+def least_gaps(df: DataFrame, group: str, key: str, vector: str, a: Column, b: Column, block: int = 4096) -> DataFrame:
+    """(group, gap): the least distance between rows of the sides a and b of each group, null where none of their pairs has one. Sides are cut
+    in blocks of about `block` rows; each two of them meet in one task, as a product of matrices. Only pairs whose product may be the
+    least are then measured one by one. That is quadratic in the size of a group, as the question is."""
+    own = df.select(F.col(group).alias("g"), F.xxhash64(key).alias("h"), F.col(vector).alias("v"), a.alias("a"), b.alias("b")).where(F.col("g").isNotNull())
+    sides = own.groupBy("g").agg(F.count_if("a").alias("m"), F.count_if("b").alias("n")).where("m > 0 and n > 0")
+    whole = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+    placed = own.where(whole).join(sides, "g").select("g", F.size("v").alias("d"), "v", "a", "b", *[F.ceil(F.col(n) / block).cast("int").alias(n) for n in "mn"], "h")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda n: F.pmod("h", F.col(n)).cast("int")
+    left = placed.where("a").select("g", "d", at("m").alias("i"), every("n").alias("j"), "v")
+    right = placed.where("b").select("g", "d", every("m").alias("i"), at("n").alias("j"), "v").toDF("g", "d", "i", "j", "v")
+
+    def near(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"g": [], "gap": []})
+        x, y = (np.stack(f["v"].to_numpy()).astype(float) for f in (p, q))
+        sx, sy, best = (x * x).sum(1), (y * y).sum(1), np.inf
+        slack = 1e-12 * (sx.max() + sy.max())
+        for s in range(0, len(x), 512):
+            d = sx[s : s + 512, None] + sy - 2 * (x[s : s + 512] @ y.T)
+            i, j = np.nonzero(d <= min(d.min(), best * best) + slack)
+            for k in range(0, len(i), 4096):
+                best = min(best, float(np.sqrt(((x[s + i[k : k + 4096]] - y[j[k : k + 4096]]) ** 2).sum(1)).min()))
+                if best == 0:
+                    break
+        return pd.DataFrame({"g": p["g"].iloc[:1], "gap": [best]})
+
+    kind = df.schema[group].dataType.simpleString()
+    on = ["g", "d", "i", "j"]
+    gaps = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(near, f"g {kind}, gap double").groupBy("g").agg(F.min("gap").alias("gap"))
+    return sides.join(gaps, "g", "left").select(F.col("g").alias(group), "gap")
+
+
 def lookup(refs: DataFrame, items: DataFrame, on: list[str]) -> DataFrame:
     """References resolved to items; those that lead nowhere are skipped."""
     return refs.join(items, on)

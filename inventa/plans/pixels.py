@@ -229,16 +229,16 @@ def learned_glyphs(spark, sf):
 @query(f"WITH {PARTS} SELECT row_id, CASE WHEN row_id % 10 = 3 THEN '2' ELSE (row_id % 10)::VARCHAR END AS label, CASE WHEN row_id % 10 = 3 THEN 'learned' ELSE 'built in' END AS source FROM parts")
 def learned_first(spark, sf):
     """Learned shapes and built-in ones together: the nearest wins, of equal ones the learned. Here a document draws its 2 like our 3."""
-    from inventa.functions.scalars import hamming
+    from inventa.functions.scalars import hamming_words
     from inventa.operators.match import nearest_template
 
-    bits = lambda t: t.ravel().astype(int).tolist()
-    learned = spark.createDataFrame([("learned", "2", bits(TEMPLATES[3][1]))], "source string, label string, bits array<int>")
+    bits = lambda t: [int("".join(map(str, w)), 2) for w in t.reshape(-1, 60).tolist()]
+    learned = spark.createDataFrame([("learned", "2", bits(TEMPLATES[3][1]))], "source string, label string, bits array<long>")
     built_in = spark.createDataFrame([("built in", c, bits(t)) for c, t in TEMPLATES if c != "x"], learned.schema)
     both = learned.withColumn("ord", F.lit(0)).unionByName(built_in.withColumn("ord", F.ascii("label")))
-    shapes = spark.createDataFrame([(c, bits(t)) for c, t in TEMPLATES], "c string, own array<int>")
+    shapes = spark.createDataFrame([(c, bits(t)) for c, t in TEMPLATES], "c string, own array<long>")
     g = parts(spark, sf).select("row_id", (_k() % 10).cast("string").alias("c")).join(F.broadcast(shapes), "c")  # eleven shapes
-    return nearest_template(g, both, ["row_id"], hamming(F.col("own"), F.col("bits")), ["label", "source"]).select("row_id", "label", "source")
+    return nearest_template(g, both, ["row_id"], lambda x: hamming_words(F.col("own"), x["bits"]), ["label", "source"]).select("row_id", "label", "source")
 
 
 @query("SELECT p_partkey AS row_id, 48 AS dim, 1.0::DOUBLE AS length FROM part")

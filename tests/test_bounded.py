@@ -128,3 +128,15 @@ def test_fullest_bins_without_a_sort(monkeypatch):
     img = np.full((30, 30, 3), 250, np.uint8)
     img[5:25, 5:25] = 120, 130, 140
     assert K.flat_pixels(img).sum() == 16 * 16 and K.flat_areas(img).sum() == 900 - (24 * 24 - 16 * 16)
+
+
+def test_nearest_rows_without_pairs(spark):
+    """No pair is a row that is sorted: rows of right are one array."""
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 64, 40).tolist(), rng.integers(0, 64, 9).tolist()
+    left = spark.createDataFrame(list(enumerate(a)), "i int, x int")
+    right = spark.createDataFrame([(j, y, f"t{j}") for j, y in enumerate(b)], "ord int, y int, label string")
+    found = M.argmin(left, right, ["i"], lambda t: F.abs(F.col("x") - t["y"]), "ord", ["label"], lambda t: t["y"] % 2 == F.col("x") % 2)
+    assert "Sort [" not in plan_of(found).split("BroadcastNestedLoopJoin")[1]
+    want = {i: min((abs(x - y), j) for j, y in enumerate(b) if y % 2 == x % 2) for i, x in enumerate(a) if any(y % 2 == x % 2 for y in b)}
+    assert {r.i: (r.distance, r.ord) for r in found.collect()} == want
