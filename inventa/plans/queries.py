@@ -554,8 +554,8 @@ TEMPLATE_SQL = "templates(ord, bits, label) AS (VALUES " + ", ".join(f"({i}, {b}
 SELECT row_id, distance, ord, label FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY distance, ord) AS k FROM d) WHERE k = 1""")
 def nearest_template_hamming(spark, sf):
     t = spark.createDataFrame(TEMPLATES, "ord int, bits long, label string")
-    p = parts(spark, sf).select("row_id", (F.col("row_id") % 1024).alias("own"))
-    return M.nearest_template(p, t, ["row_id"], S.hamming_packed(F.col("own"), F.col("bits")), ["label"])
+    p = spread(parts(spark, sf).select("row_id", (F.col("row_id") % 1024).alias("own")))
+    return M.nearest_template(p, t, ["row_id"], lambda x: S.hamming_packed(F.col("own"), x["bits"]), ["label"])
 
 
 @query(f"""WITH {VECTORS}, heads AS (SELECT min(vec_id) AS row_id FROM e GROUP BY label),

@@ -140,3 +140,8 @@ def test_nearest_rows_without_pairs(spark):
     assert "Sort [" not in plan_of(found).split("BroadcastNestedLoopJoin")[1]
     want = {i: min((abs(x - y), j) for j, y in enumerate(b) if y % 2 == x % 2) for i, x in enumerate(a) if any(y % 2 == x % 2 for y in b)}
     assert {r.i: (r.distance, r.ord) for r in found.collect()} == want
+
+
+def test_templates_are_met_by_spread_parts(spark, small):
+    plan = plan_of(QUERIES["nearest_template_hamming"](spark, small))
+    assert "RoundRobinPartitioning" in plan and "array_min" in plan
