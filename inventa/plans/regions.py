@@ -125,9 +125,8 @@ def lattice_broadcast(spark, sf):
 @query("WITH p AS (SELECT vec_id, label, embedding, vec_id % 2 AS side FROM embeddings) SELECT a.label AS pair_id, round(min(" + DIST.format(a="a.embedding", b="b.embedding") + "), 6) AS gap FROM p a JOIN p b ON a.label = b.label AND a.side = 0 AND b.side = 1 GROUP BY a.label")
 def truth_pair_gap(spark, sf):
     e = read(spark, sf, "embeddings")
-    a, b = e.where("vec_id % 2 = 0").alias("a"), e.where("vec_id % 2 = 1").alias("b")
-    d = euclidean(F.col("a.embedding"), F.col("b.embedding"))
-    return a.join(b, F.col("a.label") == F.col("b.label")).groupBy(F.col("a.label").alias("pair_id")).agg(F.round(F.min(d), 6).alias("gap"))
+    gaps = M.least_gaps(e, "label", "vec_id", "embedding", F.col("vec_id") % 2 == 0, F.col("vec_id") % 2 == 1)
+    return gaps.select(F.col("label").alias("pair_id"), F.round("gap", 6).alias("gap"))
 
 
 # Records and sets ----------------------------------------------------------------------------------------------------

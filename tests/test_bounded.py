@@ -145,3 +145,16 @@ def test_nearest_rows_without_pairs(spark):
 def test_templates_are_met_by_spread_parts(spark, small):
     plan = plan_of(QUERIES["nearest_template_hamming"](spark, small))
     assert "RoundRobinPartitioning" in plan and "array_min" in plan
+
+
+def test_least_gaps_meet_in_blocks(spark):
+    """Blocks of three rows; a group with one side only is not there, one whose vectors have nothing in common has no gap."""
+    rng = np.random.default_rng(8)
+    rows = [(k, int(k % 5 > 2), rng.normal(size=4).round(3).tolist()) for k in range(60)] + [(100, 7, [1.0]), (101, 8, [1.0, None]), (102, 8, None), (103, 8, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "k long, g int, v array<float>")
+    found = M.least_gaps(df, "g", "k", "v", F.col("k") % 2 == 0, F.col("k") % 2 == 1, 3)
+    assert "CoGroup" in plan_of(found)
+    got = {r.g: r.gap for r in found.collect()}
+    f = lambda v: np.array(v, np.float32).astype(float)
+    want = {g: min(np.linalg.norm(f(a[2]) - f(b[2])) for a in rows[:60] for b in rows[:60] if a[1] == b[1] == g and a[0] % 2 == 0 and b[0] % 2 == 1) for g in (0, 1)}
+    assert set(got) == {0, 1, 8} and got[8] is None and all(abs(got[g] - want[g]) < 1e-9 for g in want)
