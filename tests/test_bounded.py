@@ -158,3 +158,13 @@ def test_least_gaps_meet_in_blocks(spark):
     f = lambda v: np.array(v, np.float32).astype(float)
     want = {g: min(np.linalg.norm(f(a[2]) - f(b[2])) for a in rows[:60] for b in rows[:60] if a[1] == b[1] == g and a[0] % 2 == 0 and b[0] % 2 == 1) for g in (0, 1)}
     assert set(got) == {0, 1, 8} and got[8] is None and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+
+
+def test_glyphs_are_learned_batch_by_batch(spark):
+    """Documents that share a task keep apart, and each sign counts once, in its order."""
+    bits = [t.ravel() for _, t in pixels.TEMPLATES]
+    rows = [(d, k, bytearray(bits[(2, 7, 10)[k % 3]].tobytes()), k % 3 == 2) for d in (1, 2) for k in range(36 * d)] + [(3, k, bytearray(bits[2].tobytes()), False) for k in range(5)]
+    df = spark.createDataFrame(rows, "doc int, k int, bits binary, last boolean").repartition(5)
+    found = R.learned_templates(df, "doc", "k", pixels.TEMPLATES)
+    assert "MapInArrow" in plan_of(found)
+    assert {(r.doc, r.label, r.n) for r in found.collect()} == {(d, c, 12 * d) for d in (1, 2) for c in "27x"}
