@@ -168,3 +168,11 @@ def test_glyphs_are_learned_batch_by_batch(spark):
     found = R.learned_templates(df, "doc", "k", pixels.TEMPLATES)
     assert "MapInArrow" in plan_of(found)
     assert {(r.doc, r.label, r.n) for r in found.collect()} == {(d, c, 12 * d) for d in (1, 2) for c in "27x"}
+
+
+def test_callouts_share_batches(spark):
+    signs = [(b, 10 * k, 0, 10 * k + 6, 14, str((b + k) % 10)) for b in range(40) for k in range(3)]
+    out = R.merged_labels(spark.createDataFrame(signs, "box long, x0 long, y0 long, x1 long, y1 long, label string"), "box")
+    assert "FlatMapGroups" not in plan_of(out)
+    want = {(b, *line) for b in range(40) for line in R.merge_labels([s[1:] for s in signs if s[0] == b])}
+    assert {tuple(r) for r in out.collect()} == want and len(want) == 40
