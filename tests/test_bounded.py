@@ -176,3 +176,13 @@ def test_callouts_share_batches(spark):
     assert "FlatMapGroups" not in plan_of(out)
     want = {(b, *line) for b in range(40) for line in R.merge_labels([s[1:] for s in signs if s[0] == b])}
     assert {tuple(r) for r in out.collect()} == want and len(want) == 40
+
+
+PICTURES = ["image_signatures"]
+
+
+@pytest.mark.parametrize("name", PICTURES)
+def test_pictures_go_in_iterators(spark, small, name):
+    """No UDF of a query takes or gives a batch as a whole (251 is an iterator over Arrow arrays, 200 was a frame)."""
+    plan = plan_of(QUERIES[name](spark, small))
+    assert ", 251" in plan and ", 200" not in plan
