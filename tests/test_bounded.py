@@ -178,7 +178,7 @@ def test_callouts_share_batches(spark):
     assert {tuple(r) for r in out.collect()} == want and len(want) == 40
 
 
-PICTURES = ["image_signatures", "glyph_frames", "diagonal_areas", "thumbnail_sizes", "mask_areas"]
+PICTURES = ["image_signatures", "glyph_frames", "diagonal_areas", "thumbnail_sizes", "mask_areas", "digit_bands"]
 
 
 @pytest.mark.parametrize("name", PICTURES)
